@@ -46,13 +46,13 @@ def developers(raw: Raw) -> DataFrame:
 
 
 def games(raw: Raw) -> DataFrame:
-    n_studios = raw["supplier"].count()  # one scalar, used as a literal
+    n_studios = raw["supplier"].agg(F.count(F.lit(1))).scalar()  # scalar sub-query
     return raw["part"].select(
         F.col("p_partkey").alias("app_id"),
         F.col("p_name").alias("name"),
         F.lit(None).cast("string").alias("description"),
         F.lit(None).cast("date").alias("release_date"),
-        (F.col("p_partkey") % F.lit(n_studios)).cast("bigint").alias("dev_id"),
+        (F.col("p_partkey") % n_studios).cast("bigint").alias("dev_id"),
         F.when(F.col("p_partkey") % NULL_PRICE_EVERY == 0, F.lit(None))
          .when(F.col("p_size") <= 5, F.lit(Decimal("0")))
          .otherwise(_list_price()).cast("decimal(10,2)").alias("base_price_usd"),
