@@ -145,14 +145,14 @@ def parse_genres(c: Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
-def parse_genre_field(raw_json: Column) -> Column:
-    """C16 on a JSON field that is either a string or a list of strings."""
-    as_list = F.from_json(raw_json, "array<string>")
+def parse_genre_field(raw: Column) -> Column:
+    """C16 on a field read as text: a JSON list (``["A", "B"]``, as the JSON
+    reader hands over a list in a string column) or a plain comma string."""
+    as_list = F.from_json(raw, "array<string>")
     from_list = F.filter(F.transform(as_list, lambda x: F.trim(x)), lambda x: x != "")
-    as_str = F.get_json_object(F.concat(F.lit('{"v":'), raw_json, F.lit("}")), "$.v")
-    return F.when(raw_json.isNull(), F.array().cast("array<string>")) \
-            .when(F.trim(raw_json).startswith("["), F.coalesce(from_list, F.array().cast("array<string>"))) \
-            .otherwise(parse_genres(as_str))
+    return (F.when(raw.isNull(), F.array().cast("array<string>"))
+             .when(F.trim(raw).startswith("["), F.coalesce(from_list, F.array().cast("array<string>")))
+             .otherwise(parse_genres(raw)))
 
 
 def tag_names(raw_json: Column) -> Column:

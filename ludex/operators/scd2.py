@@ -63,11 +63,13 @@ def apply(history: DataFrame, batch: DataFrame, keys, tracked, ts: str,
     """
     keys, tracked, tiebreak = list(keys), list(tracked), list(tiebreak)
     cur = history.filter(F.col("is_current"))
+    types = {f.name: f.dataType for f in batch.schema.fields}
+    extra = [c for c in tiebreak if c not in (*keys, *tracked, ts)]
     seed = cur.select(*keys, *tracked, F.col("valid_from").alias(ts),
-                      *[F.lit(None).cast("string").alias(c) for c in tiebreak],
+                      *[F.lit(None).cast(types[c]).alias(c) for c in extra],
                       F.lit(0).alias("_src"))
     starts = cur.select(*keys, F.col("valid_from").alias("_cur_from"))
-    b = batch.select(*keys, *tracked, ts, *[F.col(c).cast("string").alias(c) for c in tiebreak])
+    b = batch.select(*keys, *tracked, ts, *extra)
     b = b.join(starts, keys, "left")
     late = b.filter(F.col(ts) < F.col("_cur_from")).drop("_cur_from")
     fresh = (b.filter(F.col("_cur_from").isNull() | (F.col(ts) >= F.col("_cur_from")))

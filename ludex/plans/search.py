@@ -1 +1,93 @@
-"""(filled in below)"""
+"""Search views: semantic review search (exact and approximate), name search,
+review embedding."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ludex.functions.numeric import rnd
+from ludex.operators import text as TX
+from ludex.operators import vectors as V
+from ludex.plans.common import latest_ccu
+from ludex.plans.prelude import rnd as srnd
+from ludex.plans.prelude import sql
+from ludex.plans.registry import register
+from ludex.plans.reviews import TEST_NEGATIVE, TEST_POSITIVE
+
+QUERY_REVIEW = 0   # the query vector is this review's embedding
+NAME_QUERY = "red"
+
+
+def query_vector(t, review_id: int = QUERY_REVIEW):
+    """Embedding of one review as a literal vector Column.
+
+    The reference embeds the search text in the application and sends one
+    vector literal; here one stored vector (fixed size: the embedding width)
+    is fetched the same way.  Spark does not allow a scalar sub-query inside
+    the higher-order functions that compute the cosine."""
+    row = t["reviews_full"].filter(F.col("review_id") == review_id).select("review_embedding").first()
+    return V.vector_literal(row[0])
+
+
+# Q51 -----------------------------------------------------------------------
+@register("review_search", sql(f"""
+SELECT r.review_id, r.app_id, g.name, left(r.review_text, 600) AS review_text, r.is_positive,
+       {srnd('list_cosine_similarity(CAST(r.review_embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[]))', 6)} AS similarity,
+       {TX.lexicon_sql('r.review_text', TEST_POSITIVE, TEST_NEGATIVE)}
+FROM reviews_full r JOIN games g ON g.app_id = r.app_id,
+     (SELECT review_embedding AS v FROM reviews_full WHERE review_id = {QUERY_REVIEW}) q
+WHERE r.review_embedding IS NOT NULL
+ORDER BY list_cosine_similarity(CAST(r.review_embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[])) DESC, r.review_id
+LIMIT 12"""))
+def review_search(t, query=None, k: int = 12, positive=TEST_POSITIVE, negative=TEST_NEGATIVE):
+    """Reviews nearest to a query vector by cosine, with game name, a 600-char
+    snippet and the lexicon label (computed on the whole text)."""
+    q = query if query is not None else query_vector(t)
+    r = t["reviews_full"].join(t["games"].select("app_id", "name"), "app_id")
+    hits = V.knn(r, "review_embedding", q, k, out="_sim", tiebreak="review_id")
+    hits = TX.with_lexicon(hits, "review_text", positive, negative)
+    return hits.select("review_id", "app_id", "name", F.left(F.col("review_text"), F.lit(600)).alias("review_text"),
+                       "is_positive", rnd(F.col("_sim"), 6).alias("similarity"),
+                       "lex_pos", "lex_neg", "lex_score", "lex_label")
+
+
+# V4 ------------------------------------------------------------------------
+@register("review_search_ann")
+def review_search_ann(t, k: int = 12):
+    """Approximate nearest reviews by LSH (rows-only check; recall in tests)."""
+    qv = t["reviews_full"].filter(F.col("review_id") == QUERY_REVIEW).select("review_embedding").first()[0]
+    return V.ann(t["reviews_full"], "review_id", "review_embedding", qv, k)
+
+
+# V2 ------------------------------------------------------------------------
+@register("review_embeddings")
+def review_embeddings(t, dim: int = 64):
+    """Embed every review text (hashing encoder by default) -- the write side of search."""
+    r = t["reviews_full"].filter(F.col("review_text").isNotNull()).select("review_id", "review_text")
+    return V.embed(r, "review_text", "embedding", dim=dim).select("review_id", "embedding")
+
+
+# Q52 -----------------------------------------------------------------------
+@register("name_search", sql(f"""
+SELECT s.app_id, s.name, COALESCE(lc.concurrent_players, 0) AS concurrent_players,
+       COALESCE(lc.owners_estimate, '0') AS owners_estimate
+FROM (SELECT app_id, name FROM games WHERE name ILIKE '%{NAME_QUERY}%'
+      ORDER BY CASE WHEN name ILIKE '{NAME_QUERY}%' THEN 0 WHEN name ILIKE '% {NAME_QUERY}%' THEN 1 ELSE 2 END,
+               name, app_id LIMIT 8) s
+LEFT JOIN (SELECT DISTINCT ON (app_id) app_id, concurrent_players, owners_estimate FROM player_counts
+           ORDER BY app_id, snapshot_time DESC) lc ON lc.app_id = s.app_id"""))
+def name_search(t, q: str = NAME_QUERY, limit: int = 8):
+    """Case-insensitive substring match on names: prefix, then word-prefix, then
+    other matches, by name; latest CCU and owners looked up for the hits only."""
+    q = q.strip()
+    limit = min(max(int(limit), 1), 20)
+    ql = q.lower()
+    name = F.lower(F.col("name"))
+    tier = F.when(name.startswith(ql), 0).when(name.contains(" " + ql), 1).otherwise(2)
+    hits = (t["games"].filter(name.contains(ql)).select("app_id", "name")
+             .orderBy(tier, "name", "app_id").limit(limit))
+    pc = t["player_counts"].join(hits.select("app_id"), "app_id", "left_semi")
+    lc = latest_ccu({"player_counts": pc}).select("app_id", "concurrent_players", "owners_estimate")
+    return hits.join(lc, "app_id", "left").select(
+        "app_id", "name", F.coalesce(F.col("concurrent_players"), F.lit(0)).alias("concurrent_players"),
+        F.coalesce(F.col("owners_estimate"), F.lit("0")).alias("owners_estimate"))
