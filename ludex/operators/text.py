@@ -13,24 +13,33 @@ from ludex import config
 
 
 def tokens(text: Column) -> Column:
-    """lower-case, every char outside [a-z] and whitespace -> space, split on whitespace."""
-    cleaned = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z\s]", " ")
-    return F.split(cleaned, r"\s+")
+    """Lower-cased maximal runs of [a-z] (everything else separates tokens).
 
+    Same tokens as replacing every char outside [a-z] and whitespace by a
+    space and splitting on whitespace, in one regex pass; the empty tokens a
+    leading separator leaves match no lexicon word."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z]+")
 
-def lexicon_counts(text: Column, positive=None, negative=None) -> tuple[Column, Column]:
+
+def lexicon_counts(toks: Column, positive=None, negative=None) -> Column:
+    """struct(p, n): positive and negative token counts in one pass over the tokens."""
     pos = F.array(*[F.lit(w) for w in (positive or config.POSITIVE_WORDS)])
     neg = F.array(*[F.lit(w) for w in (negative or config.NEGATIVE_WORDS)])
-    toks = tokens(text)
-    n_pos = F.size(F.filter(toks, lambda x: F.array_contains(pos, x)))
-    n_neg = F.size(F.filter(toks, lambda x: F.array_contains(neg, x)))
-    return n_pos, n_neg
+    zero = F.struct(F.lit(0).alias("p"), F.lit(0).alias("n"))
+    return F.aggregate(toks, zero, lambda acc, x: F.struct(
+        (acc["p"] + F.when(F.array_contains(pos, x), 1).otherwise(0)).alias("p"),
+        (acc["n"] + F.when(F.array_contains(neg, x), 1).otherwise(0)).alias("n")))
 
 
 def with_lexicon(df: DataFrame, text_col: str, positive=None, negative=None, prefix: str = "lex_") -> DataFrame:
-    """Add pos, neg (token counts with multiplicity), score = pos - neg, label by sign."""
-    n_pos, n_neg = lexicon_counts(F.col(text_col), positive, negative)
-    out = df.withColumn(prefix + "pos", n_pos).withColumn(prefix + "neg", n_neg)
+    """Add pos, neg (token counts with multiplicity), score = pos - neg, label by sign.
+
+    Tokens are materialised once in their own projection, so the regex runs
+    once per text."""
+    cols = df.columns
+    out = (df.select(*cols, tokens(F.col(text_col)).alias("_toks"))
+             .select(*cols, lexicon_counts(F.col("_toks"), positive, negative).alias("_lex"))
+             .select(*cols, F.col("_lex.p").alias(prefix + "pos"), F.col("_lex.n").alias(prefix + "neg")))
     score = F.col(prefix + "pos") - F.col(prefix + "neg")
     return (out.withColumn(prefix + "score", score)
                .withColumn(prefix + "label", F.when(score > 0, "positive").when(score < 0, "negative")

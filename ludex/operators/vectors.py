@@ -71,20 +71,27 @@ def ann(df: DataFrame, id_col: str, vec_col: str, query_values, k: int, bucket_l
 
 
 def hashing_encoder(dim: int = 64):
-    """Deterministic bag-of-words hashing encoder: texts -> unit vectors (float32)."""
-    import re
-    import zlib
+    """Deterministic bag-of-words hashing encoder: texts -> unit vectors (float32).
 
-    token = re.compile(r"[a-z0-9]+")
+    Vectorised per Arrow batch: tokens of the whole batch are hashed at once
+    (``pandas.util.hash_array``, fixed key) and summed with one ``bincount``."""
+    token = r"[a-z0-9]+"
 
     def encode(texts: pd.Series) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float32)
-        for i, t in enumerate(texts.fillna("")):
-            for w in token.findall(t.lower()):
-                h = zlib.crc32(w.encode())
-                out[i, h % dim] += 1.0 if (h >> 16) & 1 else -1.0
-        n = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(n == 0, 1, n)
+        n = len(texts)
+        toks = texts.fillna("").str.lower().str.findall(token)
+        lens = toks.str.len().to_numpy(dtype=np.int64)
+        out = np.zeros(n * dim, dtype=np.float64)
+        if lens.sum():
+            flat = np.concatenate([np.asarray(x, dtype=object) for x in toks.to_numpy() if len(x)])
+            h = pd.util.hash_array(flat)
+            rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+            idx = rows * dim + (h % np.uint64(dim)).astype(np.int64)
+            sign = np.where((h >> np.uint64(16)) & np.uint64(1), 1.0, -1.0)
+            out += np.bincount(idx, weights=sign, minlength=n * dim)
+        out = out.reshape(n, dim)
+        norm_ = np.linalg.norm(out, axis=1, keepdims=True)
+        return (out / np.where(norm_ == 0, 1, norm_)).astype(np.float32)
     return encode
 
 

@@ -19,5 +19,6 @@ def register(name: str, sql: str | None = None):
 
 def load_all():
     # importing the modules fills REGISTRY
-    from ludex.plans import market, prices, series, reviews, tags, studios, search, categories, ingest_checks  # noqa: F401
+    from ludex.plans import (market, prices, series, reviews, tags, studios, search,  # noqa: F401
+                             categories, ingest_checks, reports)
     return REGISTRY

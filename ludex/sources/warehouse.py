@@ -202,14 +202,54 @@ class Materialized(dict):
 
     def __missing__(self, name):
         df = self.spark.read.parquet(f"{self.root}/{name}")
+        if name == "price_history":  # partition columns come back last and inferred
+            df = df.select("app_id", "currency_code", "price", "discount_pct", "valid_from", "valid_to",
+                           F.col("is_current").cast("boolean").alias("is_current"))
         self[name] = df
         return df
 
 
+# Physical layout of stored tables: partition columns (pruned on read) and
+# the sort inside files (min/max statistics let Parquet skip row groups).
+LAYOUT = {
+    "price_history": dict(partition=["is_current", "currency_code"], sort=["app_id", "valid_from"]),
+    "player_counts": dict(partition=[], sort=["app_id", "snapshot_time"]),
+    "reviews": dict(partition=[], sort=["app_id", "review_time"]),
+    "game_tags": dict(partition=[], sort=["tag_id", "app_id"]),
+}
+
+
 def materialize(wh: Warehouse, root: str, names=None) -> Materialized:
+    """Write the tables once (e.g. by the ingest job) and return a reader.
+
+    ``price_history`` is partitioned by (is_current, currency_code): the
+    current-price lookups of nearly every query read one small partition.
+    Fact tables are clustered by app_id (range partitioning, then a sort), so
+    per-game filters skip row groups by Parquet statistics."""
     for name in names or TABLES:
         df = wh[name]
-        if name == "player_counts":
-            df = df.repartition("app_id").sortWithinPartitions("app_id", "snapshot_time")
-        df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
+        lay = LAYOUT.get(name)
+        w = df
+        if lay:
+            if lay["sort"]:
+                w = df.repartitionByRange(lay["sort"][0]).sortWithinPartitions(*lay["sort"])
+            writer = w.write.mode("overwrite")
+            if lay["partition"]:
+                writer = writer.partitionBy(*lay["partition"])
+        else:
+            writer = w.write.mode("overwrite")
+        writer.parquet(f"{root.rstrip('/')}/{name}")
     return Materialized(wh.spark, root)
+
+
+def query(wh, text: str, **args):
+    """Run parameterised SQL over warehouse tables.
+
+    ``{name}`` placeholders name warehouse tables (passed as DataFrames, no
+    global views); ``:param`` markers bind values from ``args``.
+        query(t, "SELECT * FROM {games} WHERE app_id = :id", id=7)
+    """
+    import re
+    names = set(re.findall(r"\{(\w+)\}", text))
+    frames = {n: wh[n] for n in names}
+    return wh.spark.sql(text, args=args or None, **frames)
