@@ -43,8 +43,13 @@ def review_search(t, query=None, k: int = 12, positive=TEST_POSITIVE, negative=T
     """Reviews nearest to a query vector by cosine, with game name, a 600-char
     snippet and the lexicon label (computed on the whole text)."""
     q = query if query is not None else query_vector(t)
-    r = t["reviews_full"].join(t["games"].select("app_id", "name"), "app_id")
-    hits = V.knn(r, "review_embedding", q, k, out="_sim", tiebreak="review_id")
+    full = t["reviews_full"]
+    # top-k over (id, vector) only: the sort carries k small rows per task, no texts
+    r = full.select("review_id", "app_id", "review_embedding").join(t["games"].select("app_id"), "app_id", "left_semi")
+    top = V.knn(r, "review_embedding", q, k, out="_sim", tiebreak="review_id").select("review_id", "app_id", "_sim")
+    # then fetch text and name for the k hits only (k rows: broadcast side)
+    hits = (full.select("review_id", "is_positive", "review_text").join(F.broadcast(top), "review_id")
+                .join(t["games"].select("app_id", "name"), "app_id"))
     hits = TX.with_lexicon(hits, "review_text", positive, negative)
     return hits.select("review_id", "app_id", "name", F.left(F.col("review_text"), F.lit(600)).alias("review_text"),
                        "is_positive", rnd(F.col("_sim"), 6).alias("similarity"),
