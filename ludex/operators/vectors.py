@@ -95,9 +95,15 @@ def hashing_encoder(dim: int = 64):
     return encode
 
 
-def embed(df: DataFrame, text_col: str, out: str = "embedding", encoder=None, dim: int = 64) -> DataFrame:
-    """V2: add ``out`` = encoder(text) as array<float>, batch by batch (Arrow)."""
+def embed(df: DataFrame, text_col: str, out: str = "embedding", encoder=None, dim: int = 64,
+          batch_size: int | None = None) -> DataFrame:
+    """V2: add ``out`` = encoder(text) as array<float>, batch by batch (Arrow).
+
+    ``batch_size`` (K12) caps rows per Arrow batch handed to the encoder
+    (the reference encodes 500 texts at a time)."""
     encoder = encoder or hashing_encoder(dim)
+    if batch_size:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(int(batch_size)))
     from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
     schema = StructType(df.schema.fields + [StructField(out, ArrayType(FloatType()), True)])
     cols = df.columns

@@ -175,9 +175,8 @@ SELECT app_id, currency_code, price, discount_pct, valid_from, valid_to, is_curr
 def scd2_apply(t, split: str = SPLIT_TS):
     """Load the price feed in two batches (before / from ``split``): collapse the
     first, apply the second.  Equals one collapse of the whole feed."""
-    from ludex.sources.warehouse import price_feed
-    feed = price_feed(t.raw)
-    tb = ["l_orderkey", "l_linenumber", "price", "discount_pct", "l_suppkey", "l_quantity"]
+    from ludex.sources.warehouse import FEED_ORDER as tb
+    feed = t["price_feed"]
     at = F.lit(split).cast("timestamp_ntz")
     first = scd2.collapse(feed.filter(F.col("ts") < at), ["app_id", "currency_code"], ["price", "discount_pct"],
                           "ts", tiebreak=tb)

@@ -42,6 +42,7 @@ LIMIT 12"""))
 def review_search(t, query=None, k: int = 12, positive=TEST_POSITIVE, negative=TEST_NEGATIVE):
     """Reviews nearest to a query vector by cosine, with game name, a 600-char
     snippet and the lexicon label (computed on the whole text)."""
+    k = min(int(k), 30)  # the reference caps result size at 30
     q = query if query is not None else query_vector(t)
     full = t["reviews_full"]
     # top-k over (id, vector) only: the sort carries k small rows per task, no texts

@@ -73,8 +73,12 @@ def latest_file(df: DataFrame, by: str = "name") -> DataFrame:
     return df.filter(F.col(col) == newest).drop("_file", "_file_time")
 
 
-def read_snapshot(spark: SparkSession, path: str, latest_only: bool = True) -> DataFrame:
-    """Snapshot CSV -> (app_id, name, snapshot_time, owners_estimate, price, discount_pct)."""
+def read_snapshot(spark: SparkSession, path: str, latest_only: bool = True,
+                  missing_price: str = "zero") -> DataFrame:
+    """Snapshot CSV -> (app_id, name, snapshot_time, owners_estimate, price, discount_pct).
+
+    A missing price becomes 0 like the reference's loader (and so counts as
+    free); ``missing_price='null'`` keeps it unknown instead."""
     raw = spark.read.csv(path, header=True, schema=SNAPSHOT_SCHEMA)
     if latest_only:
         raw = latest_file(raw)
@@ -84,7 +88,8 @@ def read_snapshot(spark: SparkSession, path: str, latest_only: bool = True) -> D
         _blank_to(F.col("name"), F.concat(F.lit("app_"), F.col("app_id").cast("string"))).alias("name"),
         F.coalesce(F.to_timestamp(ts), F.current_timestamp()).alias("snapshot_time"),
         _blank_to(F.col("owners"), F.lit("0")).alias("owners_estimate"),
-        (F.coalesce(F.col("price"), F.lit(0.0)) / 100).cast("decimal(10,2)").alias("price"),
+        ((F.col("price") if missing_price == "null" else F.coalesce(F.col("price"), F.lit(0.0))) / 100)
+        .cast("decimal(10,2)").alias("price"),
         F.coalesce(F.col("discount"), F.lit(0.0)).cast("int").alias("discount_pct"),
     )
 
@@ -96,13 +101,13 @@ def read_app_details(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_app_details(raw: DataFrame) -> DataFrame:
-    cents = lambda c: (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) / 100).cast("decimal(10,2)")
+    cents = lambda c: (F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) / 100).cast("decimal(10,2)")
     return raw.select(
         F.col("appid").alias("app_id"), "name",
         F.coalesce(F.col("developer"), F.lit("Unknown")).alias("developer"),
         cents("initialprice").alias("base_price_usd"),
         cents("price").alias("price"),
-        F.coalesce(F.col("discount").cast("double"), F.lit(0.0)).cast("int").alias("discount_pct"),
+        F.coalesce(F.col("discount").try_cast("double"), F.lit(0.0)).cast("int").alias("discount_pct"),
         F.coalesce(F.col("ccu"), F.lit(0)).cast("int").alias("ccu"),
         F.coalesce(F.col("owners"), F.lit("0")).alias("owners"),
         L.tag_names(F.col("tags")).alias("tags"),
@@ -144,8 +149,8 @@ def parse_price_payload(df: DataFrame, payload_col: str = "payload", currency: s
     final = F.get_json_object(data, "$.price_overview.final")
     disc = F.get_json_object(data, "$.price_overview.discount_percent")
     has_ov = is_obj & overview.isNotNull() & (overview != "{}") & (overview != "null")
-    keep = ~has_ov | (((cur == "") | (cur == currency.upper())) & final.isNotNull())
-    price = F.when(has_ov, (final.cast("double") / 100)).otherwise(F.lit(0.0))
-    discount = F.when(has_ov, F.coalesce(disc.cast("double"), F.lit(0.0)).cast("int")).otherwise(F.lit(0))
+    keep = ~has_ov | (((cur == "") | (cur == currency.upper())) & final.try_cast("double").isNotNull())
+    price = F.when(has_ov, (final.try_cast("double") / 100)).otherwise(F.lit(0.0))
+    discount = F.when(has_ov, F.coalesce(disc.try_cast("double"), F.lit(0.0)).cast("int")).otherwise(F.lit(0))
     return m.filter(keep).select(F.col("app").cast("bigint").alias("app_id"),
                                  price.cast("decimal(10,2)").alias("price"), discount.alias("discount_pct"))

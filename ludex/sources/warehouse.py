@@ -121,10 +121,17 @@ def price_feed(raw: Raw) -> DataFrame:
     )
 
 
+FEED_ORDER = ["l_orderkey", "l_linenumber", "price", "discount_pct", "l_suppkey", "l_quantity"]
+
+
+def collapse_feed(feed: DataFrame) -> DataFrame:
+    """SCD2 versions of a price feed per (app_id, currency_code)."""
+    return scd2.collapse(feed, keys=["app_id", "currency_code"], tracked=["price", "discount_pct"],
+                         ts="ts", tiebreak=FEED_ORDER)
+
+
 def price_history(raw: Raw) -> DataFrame:
-    return scd2.collapse(
-        price_feed(raw), keys=["app_id", "currency_code"], tracked=["price", "discount_pct"],
-        ts="ts", tiebreak=["l_orderkey", "l_linenumber", "price", "discount_pct", "l_suppkey", "l_quantity"])
+    return collapse_feed(price_feed(raw))
 
 
 def reviews(raw: Raw) -> DataFrame:
@@ -164,6 +171,8 @@ class Warehouse(dict):
             df = _dimension(genre_names(raw), "genre_name", "genre_id")
         elif name == "game_genres":
             df = genre_names(raw).join(self["genres"], "genre_name").select("app_id", "genre_id")
+        elif name == "price_history":
+            df = collapse_feed(self["price_feed"])
         elif name in _BUILDERS:
             df = _BUILDERS[name](raw)
         else:
@@ -183,7 +192,7 @@ _BUILDERS = {
 }
 
 TABLES = ["developers", "games", "tags", "game_tags", "genres", "game_genres",
-          "player_counts", "price_history", "reviews", "reviews_full"]
+          "player_counts", "price_feed", "price_history", "reviews", "reviews_full"]
 
 
 def build(spark: SparkSession, sf_dir: str) -> Warehouse:
@@ -216,6 +225,7 @@ LAYOUT = {
     "player_counts": dict(partition=[], sort=["app_id", "snapshot_time"]),
     "reviews": dict(partition=[], sort=["app_id", "review_time"]),
     "game_tags": dict(partition=[], sort=["tag_id", "app_id"]),
+    "price_feed": dict(partition=[], sort=["app_id", "ts"]),
 }
 
 

@@ -131,29 +131,58 @@ SCD2_OUT = ("app_id long, currency_code string, price double, discount_pct int,
 SCD2_STATE = "price double, discount_pct int, valid_from timestamp"
 
 
+def _same(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Null-safe equality (IS NOT DISTINCT FROM)."""
+    return (a == b) | (a.isna() & b.isna())
+
+
 def _scd2_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One key's rows of a micro-batch against its stored open version.
+
+    Vectorised over the batch: late rows (before the open version) go to the
+    side output; a row opens a version when it differs null-safely from the
+    row before it (the first from the stored state); each opening closes the
+    previous open version at its time."""
     app_id, currency = key
-    if state.exists:
-        price, disc, since = state.get
-    else:
-        price = disc = since = None
+    rows = pd.concat(list(pdfs)).sort_values("ts", kind="stable").reset_index(drop=True)
+    rows["price"] = rows["price"].astype("float64")
+    rows["discount_pct"] = rows["discount_pct"].astype("float64")
     have = state.exists
     out = []
-    rows = pd.concat(list(pdfs)).sort_values("ts", kind="stable")
-    for r in rows.itertuples(index=False):
-        p = None if pd.isna(r.price) else float(r.price)
-        d = None if pd.isna(r.discount_pct) else int(r.discount_pct)
-        if have and r.ts < since:
-            out.append((app_id, currency, p, d, r.ts, None, True))     # late: side output
-            continue
-        if not have or (p, d) != (price, disc):
-            if have:  # close the open version
-                out.append((app_id, currency, price, disc, since, r.ts, False))
-            price, disc, since, have = p, d, r.ts, True
-    state.update((price, disc, since))
+    if have:
+        s_price, s_disc, s_since = state.get
+        late = rows["ts"] < pd.Timestamp(s_since)
+        for r in rows[late].itertuples(index=False):
+            out.append((r.price, r.discount_pct, r.ts, None, True))
+        rows = rows[~late].reset_index(drop=True)
+        prev = pd.DataFrame({"price": [s_price], "discount_pct": [s_disc]}, dtype="float64")
+    else:
+        prev = pd.DataFrame({"price": [float("nan")], "discount_pct": [float("nan")]})
+    if len(rows):
+        p_prev = pd.concat([prev["price"], rows["price"].iloc[:-1]], ignore_index=True)
+        d_prev = pd.concat([prev["discount_pct"], rows["discount_pct"].iloc[:-1]], ignore_index=True)
+        changed = ~(_same(rows["price"], p_prev) & _same(rows["discount_pct"], d_prev))
+        if not have:
+            changed.iloc[0] = True
+        opens = rows[changed]
+        # versions open before each opening: the stored one, then the earlier openings
+        starts = ([(s_price, s_disc, s_since)] if have else []) + list(
+            zip(opens["price"], opens["discount_pct"], opens["ts"]))
+        ends = list(opens["ts"])
+        if not have:
+            starts, ends = starts[:-1], ends[1:]
+        for (p, d, since), until in zip(starts, ends):
+            out.append((p, d, since, until, False))
+        if len(opens):
+            last = opens.iloc[-1]
+            state.update((None if pd.isna(last["price"]) else float(last["price"]),
+                          None if pd.isna(last["discount_pct"]) else int(last["discount_pct"]), last["ts"]))
     if out:
-        yield pd.DataFrame(out, columns=["app_id", "currency_code", "price", "discount_pct", "valid_from",
-                                         "valid_to", "late"])
+        df = pd.DataFrame(out, columns=["price", "discount_pct", "valid_from", "valid_to", "late"])
+        df.insert(0, "currency_code", currency)
+        df.insert(0, "app_id", app_id)
+        df["discount_pct"] = df["discount_pct"].astype("Int64")
+        yield df
 
 
 def scd2_stream(feed: DataFrame) -> DataFrame:

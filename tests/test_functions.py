@@ -114,3 +114,17 @@ def test_name_search_wildcards_are_literal(spark):
     pc = spark.createDataFrame([], "app_id long, snapshot_time timestamp_ntz, concurrent_players int, owners_estimate string")
     out = name_search({"games": games, "player_counts": pc}, q="100%").collect()
     assert [r.app_id for r in out] == [1, 3]
+
+
+def test_full_count_and_short_labels(spark):
+    vals = col_values(spark, [(1234,), (None,)], "n long", L.full_count(F.col("n")))
+    assert vals == ["1,234", "—"]
+    vals = col_values(spark, [("A very long category name",), ("Short",)], "s string", L.short_label(F.col("s"), 10))
+    assert vals == ["A very lo…", "Short"]
+    vals = col_values(spark, [("10,000,000 .. 20,000,000",)], "s string", L.short_band(F.col("s"), 40))
+    assert vals == ["10000000–20000000"]
+
+
+def test_parse_num(spark):
+    vals = col_values(spark, [("1,234",), ("abc",), ("",)], "s string", L.parse_num(F.col("s")))
+    assert vals == [1234.0, None, 0.0]

@@ -65,3 +65,10 @@ def test_price_payload_cases(spark):
     df = spark.createDataFrame([(json.dumps(payload),)], "payload string")
     got = {r.app_id: (r.price, r.discount_pct) for r in FS.parse_price_payload(df).collect()}
     assert got == {2: (Decimal("0.00"), 0), 4: (Decimal("499.00"), 10), 5: (Decimal("0.00"), 0)}
+
+
+def test_snapshot_missing_price_option(spark, tmpdir_session):
+    d = os.path.join(tmpdir_session, "snap_null")
+    _write(f"{d}/steamspy_snapshot_2024-02-01.csv", "app_id,name,snapshot_time,owners,price,discount\n5,X,,,,\n")
+    assert FS.read_snapshot(spark, d).collect()[0].price == Decimal("0.00")
+    assert FS.read_snapshot(spark, d, missing_price="null").collect()[0].price is None
