@@ -38,7 +38,7 @@ def main():
     from ludex.sources.warehouse import build, materialize
 
     scratch = tempfile.mkdtemp(prefix="ludex-bench-", dir=os.environ.get("LUDEX_SCRATCH", "/tmp"))
-    spark = get_spark(f"local[{cpus}]", app="ludex-bench", shuffle_partitions=max(8, cpus * 2),
+    spark = get_spark(f"local[{cpus}]", app="ludex-bench", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(8, cpus * 2))),
                       extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g"),
                              "spark.checkpoint.dir": os.path.join(scratch, "ckpt"),
                              "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024)})

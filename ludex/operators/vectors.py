@@ -70,6 +70,68 @@ def ann(df: DataFrame, id_col: str, vec_col: str, query_values, k: int, bucket_l
     return res.select(id_col, (F.lit(1.0) - F.col("_d") * F.col("_d") / 2).alias("similarity"))
 
 
+def knn_join(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str, vec: str, k: int,
+             exclude_self: bool = False, max_broadcast_rows: int = 20_000) -> DataFrame:
+    """V5: exact top-``k`` cosine neighbours in ``corpus`` for every query vector.
+
+    The query set is broadcast only behind a row-count check; a larger set is
+    split into hash chunks of at most about ``max_broadcast_rows`` rows, one
+    pass per chunk.  Every corpus Arrow batch computes one matrix product and
+    keeps its own top ``k`` per query (``argpartition``), so candidates are
+    k x queries x batches -- never all pairs; Spark then takes the exact top
+    ``k`` per query with ``row_number() <= k`` (WindowGroupLimit before the
+    shuffle).  Ties break on the corpus id.  Returns (q_id, c_id, similarity).
+    """
+    from functools import reduce
+
+    from pyspark.sql import Window
+
+    n_q = queries.filter(F.col(vec).isNotNull()).count()
+    n_chunks = max(1, -(-n_q // max_broadcast_rows))
+    c = corpus.filter(F.col(vec).isNotNull()).select(F.col(c_id).alias("_cid"), F.col(vec).alias("_v"))
+    schema = "_qid long, _cid long, similarity double"
+    parts = []
+    for chunk in range(n_chunks):
+        qs = queries.filter(F.col(vec).isNotNull())
+        if n_chunks > 1:
+            qs = qs.filter(F.pmod(F.xxhash64(F.col(q_id)), F.lit(n_chunks)) == chunk)
+        rows = qs.select(F.col(q_id).cast("long"), vec).collect()  # bounded by the check above
+        if not rows:
+            continue
+        q_ids = np.array([r[0] for r in rows], dtype=np.int64)
+        qm = np.array([r[1] for r in rows], dtype=np.float64)
+        qm = qm / np.where(np.linalg.norm(qm, axis=1, keepdims=True) == 0, 1,
+                           np.linalg.norm(qm, axis=1, keepdims=True))
+        bq = corpus.sparkSession.sparkContext.broadcast((q_ids, qm))
+
+        def top_per_batch(batches, bq=bq):
+            ids, qmat = bq.value
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                cm = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
+                cn = np.linalg.norm(cm, axis=1)
+                sims = (cm @ qmat.T) / np.where(cn == 0, np.nan, cn)[:, None]   # rows: corpus, cols: queries
+                cids = pdf["_cid"].to_numpy(dtype=np.int64)
+                if exclude_self:
+                    sims[cids[:, None] == ids[None, :]] = np.nan
+                sims = np.where(np.isnan(sims), -np.inf, sims)
+                kk = min(k, len(cids))
+                top = np.argpartition(-sims, kk - 1, axis=0)[:kk] if kk < len(cids) else \
+                    np.tile(np.arange(len(cids))[:, None], (1, len(ids)))
+                rr = top.ravel()
+                qq = np.tile(np.arange(len(ids)), kk)
+                vals = sims[rr, qq]
+                keep = np.isfinite(vals)
+                yield pd.DataFrame({"_qid": ids[qq[keep]], "_cid": cids[rr[keep]], "similarity": vals[keep]})
+        parts.append(c.mapInPandas(top_per_batch, schema))
+    cand = reduce(lambda a, b: a.unionByName(b), parts) if parts else \
+        corpus.sparkSession.createDataFrame([], schema)
+    w = Window.partitionBy("_qid").orderBy(F.desc("similarity"), F.asc("_cid"))
+    best = cand.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
+    return best.select(F.col("_qid").alias(q_id), F.col("_cid").alias(c_id), "similarity", F.col("_rn").alias("rank"))
+
+
 def hashing_encoder(dim: int = 64):
     """Deterministic bag-of-words hashing encoder: texts -> unit vectors (float32).
 

@@ -97,3 +97,22 @@ def name_search(t, q: str = NAME_QUERY, limit: int = 8):
     return hits.join(lc, "app_id", "left").select(
         "app_id", "name", F.coalesce(F.col("concurrent_players"), F.lit(0)).alias("concurrent_players"),
         F.coalesce(F.col("owners_estimate"), F.lit("0")).alias("owners_estimate"))
+
+
+# V5 ------------------------------------------------------------------------
+@register("review_knn_join", sql(f"""
+SELECT q_id, c_id, {srnd('sim', 6)} AS similarity, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT q.review_id AS q_id, c.review_id AS c_id,
+         list_cosine_similarity(CAST(q.review_embedding AS DOUBLE[]), CAST(c.review_embedding AS DOUBLE[])) AS sim,
+         row_number() OVER (PARTITION BY q.review_id ORDER BY
+           list_cosine_similarity(CAST(q.review_embedding AS DOUBLE[]), CAST(c.review_embedding AS DOUBLE[])) DESC,
+           c.review_id) AS rank
+  FROM reviews_full q JOIN reviews_full c ON q.review_id <> c.review_id
+  WHERE q.review_embedding IS NOT NULL AND c.review_embedding IS NOT NULL)
+WHERE rank <= 5"""))
+def review_knn_join(t, k: int = 5):
+    """For every review with an embedding, its ``k`` most similar other reviews (exact)."""
+    r = t["reviews_full"].select("review_id", "review_embedding")
+    out = V.knn_join(r, r, "review_id", "review_id", "review_embedding", k, exclude_self=True)
+    return out.toDF("q_id", "c_id", "similarity", "rank").select(
+        "q_id", "c_id", rnd(F.col("similarity"), 6).alias("similarity"), "rank")

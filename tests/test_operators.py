@@ -92,3 +92,17 @@ def test_constraint_audit_on_sf0001(spark):
     rows = {(r.rule, r.table): r.violations for r in Q.audit(t).collect()}
     assert rows[("one_current", "price_history")] == 0
     assert rows[("pk", "games")] == 0
+
+
+def test_knn_join_exact_with_chunks(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(120, 6))
+    df = spark.createDataFrame([(i, m[i].tolist()) for i in range(120)], "id long, v array<double>").repartition(3)
+    got = V.knn_join(df, df, "id", "id", "v", 3, exclude_self=True, max_broadcast_rows=25)  # 5 query chunks
+    rows = got.collect()
+    nm = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sims = nm @ nm.T
+    np.fill_diagonal(sims, -np.inf)
+    want = {(q, int(c)) for q in range(120) for c in np.argsort(-sims[q], kind="stable")[:3]}
+    got_pairs = {(r[0], r[1]) for r in rows}
+    assert got_pairs == want and len(rows) == 360
