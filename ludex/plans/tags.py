@@ -52,7 +52,7 @@ def major_tag_pairs(t, names=TEST_MAJOR_TAGS, k: int = 10):
 
 
 # Q10 / Q11 -------------------------------------------------------------------
-def _niches(t, filters, lo, hi, k):
+def _niches(t, filters, lo, hi, k, nulls_first: bool = False):
     games = t["games"].select("app_id", "name")
     if filters is not None:
         games = P.real_games(games, t, filters)
@@ -62,7 +62,8 @@ def _niches(t, filters, lo, hi, k):
         df = df.filter(P.relevant_tag(F.col("tag_name"), filters))
     ratio = F.col("avg_players") / F.nullif(F.col("num_games"), F.lit(0))
     return (df.withColumn("_ratio", ratio)
-              .orderBy(F.desc_nulls_last("_ratio"), "tag_name").limit(k)
+              .orderBy(F.desc_nulls_first("_ratio") if nulls_first else F.desc_nulls_last("_ratio"), "tag_name")
+              .limit(k)
               .select("tag_name", "num_games", rnd(F.col("avg_players"), 1).alias("avg_players"),
                       rnd(F.col("_ratio"), 1).alias("demand_per_supply_ratio")))
 
@@ -83,12 +84,12 @@ ORDER BY d.avg_players / NULLIF(s.num_games, 0) DESC NULLS LAST, t.tag_name LIMI
 
 
 @register("busy_niches", _niches_sql(True, 20))
-def busy_niches(t, filters=FILTERS, lo: int = 5, hi: int = 100, k: int = 20):
+def busy_niches(t, filters=FILTERS, lo: int = 5, hi: int = 100, k: int = 20, nulls_first: bool = False):
     """Relevant tags of real games with 5..100 games, by average latest CCU per game.
 
-    Ties and NULL ratios: NULLs last (the reference's DESC puts them first),
-    then tag name."""
-    return _niches(t, filters, lo, hi, k)
+    Ties and NULL ratios: NULLs last by default (a NULL ratio is not a niche);
+    ``nulls_first=True`` gives the reference's Postgres DESC order.  Then tag name."""
+    return _niches(t, filters, lo, hi, k, nulls_first)
 
 
 @register("busy_niches_unfiltered", _niches_sql(False, 12))

@@ -187,7 +187,11 @@ def _scd2_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iter
 
 def scd2_stream(feed: DataFrame) -> DataFrame:
     """Closed versions (and late rows) emitted as the feed arrives; the
-    open version of each key lives in state (read it with ``current``)."""
+    open version of each key lives in state.
+
+    One key's rows of one micro-batch form one pandas group; bound the
+    micro-batch (``maxFilesPerTrigger`` / ``maxBytesPerTrigger`` on the
+    source) so a hot key's group stays bounded."""
     return feed.groupBy("app_id", "currency_code").applyInPandasWithState(
         _scd2_state_fn, outputStructType=SCD2_OUT, stateStructType=SCD2_STATE,
         outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
