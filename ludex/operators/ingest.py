@@ -12,16 +12,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def sequential_ids(df: DataFrame, order_col: str, id_col: str, start=0, partitions: int | None = None) -> DataFrame:
+    """Dense ids ``start + 1, start + 2, ...`` in ``order_col`` order (values distinct).
+
+    No single-task window: rows are range-partitioned by ``order_col``,
+    numbered inside each range, and shifted by the row count of the earlier
+    ranges (a window over one row per partition)."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, order_col).withColumn("_pid", F.spark_partition_id())
+    r = r.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(order_col)))
+    counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offs = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    start_col = start if isinstance(start, F.Column) else F.lit(start)
+    return (r.join(F.broadcast(offs), "_pid")
+             .withColumn(id_col, (start_col + F.col("_off") + F.col("_rn")).cast("bigint"))
+             .drop("_pid", "_rn", "_off"))
+
+
 def assign_keys(dim: DataFrame, names: DataFrame, id_col: str, name_col: str) -> DataFrame:
     """K1: ids for every name in ``names``; names not in ``dim`` get new ids
     after the current max, in name order.  Returns (name, id) for all names.
 
-    The new-name set is the dimension delta (distinct names), numbered with a
-    window over that delta only."""
+    The new-name set (the dimension delta) is numbered with ``sequential_ids``."""
     incoming = names.select(name_col).distinct()
     new = incoming.join(dim.select(name_col), name_col, "left_anti")
     max_id = dim.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("bigint")).scalar()
-    new = new.select(name_col, (max_id + F.row_number().over(Window.orderBy(name_col))).cast("bigint").alias(id_col))
+    new = sequential_ids(new.select(name_col), name_col, id_col, start=max_id).select(name_col, id_col)
     known = incoming.join(dim.select(name_col, id_col), name_col)
     return known.unionByName(new)
 

@@ -73,10 +73,10 @@ def game_tag_names(raw: Raw) -> DataFrame:
 
 
 def _dimension(names: DataFrame, name_col: str, id_col: str) -> DataFrame:
-    """Surrogate ids by name order over a small distinct name set."""
-    from pyspark.sql import Window
+    """Surrogate ids 1..n by name order over the distinct names (distributed numbering)."""
+    from ludex.operators.ingest import sequential_ids
     d = names.select(name_col).distinct()
-    return d.select(F.row_number().over(Window.orderBy(name_col)).cast("bigint").alias(id_col), name_col)
+    return sequential_ids(d, name_col, id_col).select(id_col, name_col)
 
 
 def genre_names(raw: Raw) -> DataFrame:

@@ -106,3 +106,9 @@ def test_knn_join_exact_with_chunks(spark):
     want = {(q, int(c)) for q in range(120) for c in np.argsort(-sims[q], kind="stable")[:3]}
     got_pairs = {(r[0], r[1]) for r in rows}
     assert got_pairs == want and len(rows) == 360
+
+
+def test_sequential_ids_dense_in_order(spark):
+    names = spark.createDataFrame([(f"n{i:04d}",) for i in range(997)], "name string").repartition(7)
+    got = IG.sequential_ids(names, "name", "id", start=10, partitions=5).collect()
+    assert sorted((r.name, r.id) for r in got) == [(f"n{i:04d}", 11 + i) for i in range(997)]
