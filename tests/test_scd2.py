@@ -144,3 +144,14 @@ def test_apply_rejects_late_rows_and_is_idempotent(spark):
     applied, late = scd2.apply(hist, batch, KEYS, TRACKED, "ts", tiebreak=["seq"])
     assert [r.ts for r in late.collect()] == [T(2)]
     assert applied.count() == 1  # same state again: no-op
+
+
+def test_collapse_with_one_hot_key(spark):
+    rnd = random.Random(11)
+    rows = []
+    for i in range(900):
+        k = 0 if i % 3 else rnd.randrange(1, 30)          # key 0 holds two thirds of the feed
+        day = dt.datetime(2022, 1, 1) + dt.timedelta(days=rnd.randrange(700), hours=rnd.randrange(24))
+        rows.append((k, "USD", rnd.choice([D("1.00"), D("2.00"), D("3.00")]), rnd.choice([0, 5]), day, i))
+    got = scd2.collapse(spark.createDataFrame(rows, SCHEMA), KEYS, TRACKED, "ts", tiebreak=["seq"])
+    assert sorted([tuple(r) for r in got.collect()], key=str) == _plain_collapse(rows)
