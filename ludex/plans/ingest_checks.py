@@ -212,8 +212,8 @@ def price_payload_roundtrip(t):
 
 
 @register("price_load_report", sql("""
-SELECT 0 AS linked, count(*) FILTER (WHERE app_id % 7 <> 0 AND price <> 0) AS ok,
-       count(*) FILTER (WHERE app_id % 7 <> 0 AND price = 0) AS empty, 0 AS error,
+SELECT CAST(0 AS BIGINT) AS linked, count(*) FILTER (WHERE app_id % 7 <> 0 AND price <> 0) AS ok,
+       count(*) FILTER (WHERE app_id % 7 <> 0 AND price = 0) AS empty, CAST(0 AS BIGINT) AS error,
        count(*) FILTER (WHERE app_id % 7 = 0) AS skipped, count(*) AS total
 FROM price_history WHERE is_current AND currency_code = 'INR'"""))
 def price_load_report(t):
