@@ -9,9 +9,9 @@ Semantics (one key = e.g. (app_id, currency_code)):
   (``valid_from == valid_to``), which ``as_of`` never returns;
 * A -> B -> A gives three versions; an unchanged state is a no-op.
 
-LAG and LEAD run per (key, month) with edge rows carried between months
-(``operators.sequence``), so a key with a third of all rows is split over many
-tasks instead of one window partition.
+Change flags and ``valid_to`` are computed per (key, month) with edge
+values carried between months, so a key with a third of all rows is split
+over many tasks instead of one window partition.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ludex.operators.sequence import lag_within, lead_within
+from ludex.operators.sequence import HOT_ROWS, month_bucket, split_hot
 
 
 def _changed(tracked) -> Column:
@@ -30,25 +30,83 @@ def _changed(tracked) -> Column:
 
 
 def collapse(feed: DataFrame, keys, tracked, ts: str, tiebreak=(), keep=(),
-             bucket: Column | None = None) -> DataFrame:
+             bucket: Column | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Versions from an ordered feed.
 
     Returns ``keys + tracked + keep + [valid_from, valid_to, is_current]``.
     ``tiebreak`` completes the order after ``ts`` so the result is deterministic.
+
+    Keys with at most ``hot_rows`` feed rows use one plain window per key;
+    hotter keys are split by month (``_collapse_bucketed``).  Same result.
+    """
+    keys, tracked, keep, tiebreak = list(keys), list(tracked), list(keep), list(tiebreak)
+    light, heavy = split_hot(feed, keys, hot_rows)
+    parts = []
+    if light is not None:
+        parts.append(_collapse_plain(light, keys, tracked, ts, tiebreak, keep))
+    if heavy is not None:
+        parts.append(_collapse_bucketed(heavy, keys, tracked, ts, tiebreak, keep, bucket))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _collapse_plain(feed, keys, tracked, ts, tiebreak, keep):
+    order = [F.col(ts), *[F.col(c) for c in tiebreak]]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    f = feed.select(*keys, *tracked, *keep, *order[:1], *[F.col(c) for c in tiebreak if c not in (*keys, *tracked, *keep, ts)])
+    f = f.withColumn("_first", F.lag(F.lit(1)).over(w).isNull())
+    for c in tracked:
+        f = f.withColumn("prev_" + c, F.lag(c).over(w))
+    kept = f.filter(F.col("_first") | _changed(tracked))
+    valid_to = F.lead(F.col(ts)).over(w)
+    return kept.select(*keys, *tracked, *keep, F.col(ts).alias("valid_from"), valid_to.alias("valid_to"),
+                       valid_to.isNull().alias("is_current"))
+
+
+def _collapse_bucketed(feed: DataFrame, keys, tracked, ts: str, tiebreak=(), keep=(),
+                       bucket: Column | None = None) -> DataFrame:
+    """Month-bucketed collapse for hot keys.
+
+    One window pass per (key, month) computes the change flags (LAG) and the
+    next change inside the month; two small per-(key, month) summaries carry
+    what crosses a month edge: the month's last row (a partial ``max_by``
+    aggregate over the feed) forward, and the month's first change backward.
     """
     keys, tracked, keep, tiebreak = list(keys), list(tracked), list(keep), list(tiebreak)
     order = ["valid_from", *[f"_tb{i}" for i in range(len(tiebreak))]]
     base = feed.select(*keys, *tracked, *keep, F.col(ts).alias("valid_from"),
                        *[F.col(c).alias(f"_tb{i}") for i, c in enumerate(tiebreak)])
-    flagged = lag_within(base, keys, order, tracked, bucket=bucket, prefix="prev_",
-                         marker="_has_prev", keep_bucket=True)
-    kept = flagged.filter(~F.col("_has_prev") | _changed(tracked)).select(*keys, *tracked, *keep, *order, "_bkt")
-    out = lead_within(kept, keys, order, ["valid_from"], prefix="next_")
-    return out.select(
-        *keys, *tracked, *keep, "valid_from",
-        F.col("next_valid_from").alias("valid_to"),
-        F.col("next_valid_from").isNull().alias("is_current"),
-    )
+    b = base.withColumn("_bkt", bucket if bucket is not None else month_bucket("valid_from"))
+    w = Window.partitionBy(*keys, "_bkt").orderBy(*[F.col(c) for c in order])
+    by_bucket = Window.partitionBy(*keys).orderBy("_bkt")
+
+    # last row of every month (partial aggregate), handed to the next month
+    last = b.groupBy(*keys, "_bkt").agg(
+        F.max_by(F.struct(*[F.col(c) for c in tracked]), F.struct(*[F.col(o) for o in order])).alias("_edge"))
+    carry = last.select(*keys, "_bkt", F.lag("_edge").over(by_bucket).alias("_carry"))
+
+    f = b.withColumn("_first", F.lag(F.lit(1)).over(w).isNull())
+    for c in tracked:
+        f = f.withColumn("prev_" + c, F.lag(c).over(w))
+    f = f.join(carry, [*keys, "_bkt"], "left")
+    first = F.col("_first")
+    for c in tracked:
+        f = f.withColumn("prev_" + c, F.when(first, F.col(f"_carry.{c}")).otherwise(F.col("prev_" + c)))
+    has_prev = ~first | F.col("_carry").isNotNull()
+    f = f.withColumn("_chg", ~has_prev | _changed(tracked))
+
+    # next change inside the month; else the first change of a later month
+    after = w.rowsBetween(1, Window.unboundedFollowing)
+    f = f.withColumn("_next", F.first(F.when(F.col("_chg"), F.col("valid_from")), ignorenulls=True).over(after))
+    firsts = f.groupBy(*keys, "_bkt").agg(F.min(F.when(F.col("_chg"), F.col("valid_from"))).alias("_fc"))
+    later = by_bucket.rowsBetween(1, Window.unboundedFollowing)
+    nxt = firsts.select(*keys, "_bkt", F.first("_fc", ignorenulls=True).over(later).alias("_next_bkt"))
+    out = f.filter(F.col("_chg")).join(nxt, [*keys, "_bkt"], "left")
+    valid_to = F.coalesce(F.col("_next"), F.col("_next_bkt"))
+    return out.select(*keys, *tracked, *keep, "valid_from", valid_to.alias("valid_to"),
+                      valid_to.isNull().alias("is_current"))
 
 
 def apply(history: DataFrame, batch: DataFrame, keys, tracked, ts: str,

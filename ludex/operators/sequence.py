@@ -15,6 +15,12 @@ month of the timestamp by default):
 Results equal the single-window form for any bucket function that is
 non-decreasing along the order; the bucket only controls how work is split.
 Order columns are given by name and are ascending.
+
+Only hot keys pay for this: ``split_hot`` counts rows per key (a partial
+aggregate) and keys with at most ``hot_rows`` rows take the plain window
+(each task then holds at most ``hot_rows`` rows of one key); the rest take
+the bucketed path.  ``hot_rows=0`` forces the bucketed path for every key,
+``hot_rows=None`` the plain one.
 """
 
 from __future__ import annotations
@@ -27,6 +33,29 @@ def _names(x):
     return [x] if isinstance(x, str) else list(x)
 
 
+HOT_ROWS = 1_000_000
+
+
+def split_hot(df: DataFrame, keys, hot_rows: int | None = HOT_ROWS):
+    """(light, heavy) rows by key size; either side may be None."""
+    keys = _names(keys)
+    if hot_rows is None:
+        return df, None
+    if hot_rows <= 0:
+        return None, df
+    heavy_keys = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+                    .filter(F.col("_n") > hot_rows).select(*keys))
+    return df.join(heavy_keys, keys, "left_anti"), df.join(heavy_keys, keys, "left_semi")
+
+
+def _union(parts):
+    parts = [p for p in parts if p is not None]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def month_bucket(col: str) -> Column:
     """Default bucket: calendar month of a timestamp column."""
     return F.date_trunc("month", F.col(col)).cast("timestamp_ntz")
@@ -43,8 +72,8 @@ def _prep(df, keys, order, bucket):
     return b, w
 
 
-def lag_within(df: DataFrame, keys, order, cols, bucket: Column | None = None,
-               prefix: str = "prev_", marker: str | None = None, keep_bucket: bool = False) -> DataFrame:
+def _lag_bucketed(df: DataFrame, keys, order, cols, bucket: Column | None = None,
+                  prefix: str = "prev_", marker: str | None = None, keep_bucket: bool = False) -> DataFrame:
     """``LAG(c) OVER (PARTITION BY keys ORDER BY order)`` for each c in ``cols``.
 
     ``marker`` (optional): boolean column, TRUE when a previous row exists.
@@ -69,8 +98,8 @@ def lag_within(df: DataFrame, keys, order, cols, bucket: Column | None = None,
     return b if keep_bucket else b.drop("_bkt")
 
 
-def lead_within(df: DataFrame, keys, order, cols, bucket: Column | None = None,
-                prefix: str = "next_", keep_bucket: bool = False) -> DataFrame:
+def _lead_bucketed(df: DataFrame, keys, order, cols, bucket: Column | None = None,
+                   prefix: str = "next_", keep_bucket: bool = False) -> DataFrame:
     """``LEAD(c) OVER (PARTITION BY keys ORDER BY order)`` for each c in ``cols``."""
     keys, order, cols = _names(keys), _names(order), _names(cols)
     b, w = _prep(df, keys, order, bucket)
@@ -89,8 +118,8 @@ def lead_within(df: DataFrame, keys, order, cols, bucket: Column | None = None,
     return b if keep_bucket else b.drop("_bkt")
 
 
-def rolling_avg(df: DataFrame, keys, order, value: str, n: int, out: str,
-                bucket: Column | None = None) -> DataFrame:
+def _rolling_bucketed(df: DataFrame, keys, order, value: str, n: int, out: str,
+                     bucket: Column | None = None) -> DataFrame:
     """``AVG(value) OVER (... ROWS BETWEEN n-1 PRECEDING AND CURRENT ROW)``.
 
     Within a bucket the window frame gives sum and count; the first n-1 rows
@@ -129,3 +158,63 @@ def rolling_avg(df: DataFrame, keys, order, value: str, n: int, out: str,
     total_s = F.coalesce(F.col("_s").cast("double"), F.lit(0.0)) + cs
     b = b.withColumn(out, F.when(total_c > 0, total_s / total_c))
     return b.drop("_bkt", "_p", "_rd", "_s", "_c", "_carry")
+
+
+# ---------------------------------------------------------------------------
+# public operators: plain window for ordinary keys, bucketed for hot keys
+# ---------------------------------------------------------------------------
+
+def _plain_window(keys, order):
+    return Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order])
+
+
+def lag_within(df: DataFrame, keys, order, cols, bucket: Column | None = None, prefix: str = "prev_",
+               marker: str | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """``LAG(c) OVER (PARTITION BY keys ORDER BY order)`` for each c in ``cols``.
+
+    ``marker`` (optional): boolean column, TRUE when a previous row exists."""
+    keys, order, cols = _names(keys), _names(order), _names(cols)
+    light, heavy = split_hot(df, keys, hot_rows)
+    parts = []
+    if light is not None:
+        w = _plain_window(keys, order)
+        p = light
+        for c in cols:
+            p = p.withColumn(prefix + c, F.lag(c).over(w))
+        if marker:
+            p = p.withColumn(marker, F.lag(F.lit(1)).over(w).isNotNull())
+        parts.append(p)
+    if heavy is not None:
+        parts.append(_lag_bucketed(heavy, keys, order, cols, bucket=bucket, prefix=prefix, marker=marker))
+    return _union(parts)
+
+
+def lead_within(df: DataFrame, keys, order, cols, bucket: Column | None = None, prefix: str = "next_",
+                hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """``LEAD(c) OVER (PARTITION BY keys ORDER BY order)`` for each c in ``cols``."""
+    keys, order, cols = _names(keys), _names(order), _names(cols)
+    light, heavy = split_hot(df, keys, hot_rows)
+    parts = []
+    if light is not None:
+        w = _plain_window(keys, order)
+        p = light
+        for c in cols:
+            p = p.withColumn(prefix + c, F.lead(c).over(w))
+        parts.append(p)
+    if heavy is not None:
+        parts.append(_lead_bucketed(heavy, keys, order, cols, bucket=bucket, prefix=prefix))
+    return _union(parts)
+
+
+def rolling_avg(df: DataFrame, keys, order, value: str, n: int, out: str, bucket: Column | None = None,
+                hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """``AVG(value) OVER (... ROWS BETWEEN n-1 PRECEDING AND CURRENT ROW)``."""
+    keys, order = _names(keys), _names(order)
+    light, heavy = split_hot(df, keys, hot_rows)
+    parts = []
+    if light is not None:
+        w = _plain_window(keys, order).rowsBetween(-(n - 1), 0)
+        parts.append(light.withColumn(out, F.avg(F.col(value)).over(w)))
+    if heavy is not None:
+        parts.append(_rolling_bucketed(heavy, keys, order, value, n, out, bucket=bucket))
+    return _union(parts)

@@ -248,7 +248,11 @@ def materialize(wh: Warehouse, root: str, names=None) -> Materialized:
                 writer = writer.partitionBy(*lay["partition"])
         else:
             writer = w.write.mode("overwrite")
-        writer.parquet(f"{root.rstrip('/')}/{name}")
+        path = f"{root.rstrip('/')}/{name}"
+        writer.parquet(path)
+        # later tables derive from the stored copy (price_history from price_feed,
+        # game_tags from tags), not from a re-derivation of the raw tables
+        wh[name] = wh.spark.read.parquet(path)
     return Materialized(wh.spark, root)
 
 

@@ -95,9 +95,10 @@ def _plain_collapse(rows):
     return sorted(out, key=str)
 
 
-def test_collapse_matches_brute_force(spark):
+@pytest.mark.parametrize("hot", [None, 0, 90])
+def test_collapse_matches_brute_force(spark, hot):
     rows = _random_feed()
-    got = scd2.collapse(spark.createDataFrame(rows, SCHEMA), KEYS, TRACKED, "ts", tiebreak=["seq"])
+    got = scd2.collapse(spark.createDataFrame(rows, SCHEMA), KEYS, TRACKED, "ts", tiebreak=["seq"], hot_rows=hot)
     assert sorted([tuple(r) for r in got.collect()], key=str) == _plain_collapse(rows)
 
 
@@ -153,5 +154,6 @@ def test_collapse_with_one_hot_key(spark):
         k = 0 if i % 3 else rnd.randrange(1, 30)          # key 0 holds two thirds of the feed
         day = dt.datetime(2022, 1, 1) + dt.timedelta(days=rnd.randrange(700), hours=rnd.randrange(24))
         rows.append((k, "USD", rnd.choice([D("1.00"), D("2.00"), D("3.00")]), rnd.choice([0, 5]), day, i))
-    got = scd2.collapse(spark.createDataFrame(rows, SCHEMA), KEYS, TRACKED, "ts", tiebreak=["seq"])
-    assert sorted([tuple(r) for r in got.collect()], key=str) == _plain_collapse(rows)
+    for hot in [0, 100]:   # key 0 (600 rows) takes the bucketed path, the rest the plain one
+        got = scd2.collapse(spark.createDataFrame(rows, SCHEMA), KEYS, TRACKED, "ts", tiebreak=["seq"], hot_rows=hot)
+        assert sorted([tuple(r) for r in got.collect()], key=str) == _plain_collapse(rows)
