@@ -236,6 +236,7 @@ def materialize(wh: Warehouse, root: str, names=None) -> Materialized:
     current-price lookups of nearly every query read one small partition.
     Fact tables are clustered by app_id (range partitioning, then a sort), so
     per-game filters skip row groups by Parquet statistics."""
+    stored = Materialized(wh.spark, root)
     for name in names or TABLES:
         df = wh[name]
         lay = LAYOUT.get(name)
@@ -248,12 +249,11 @@ def materialize(wh: Warehouse, root: str, names=None) -> Materialized:
                 writer = writer.partitionBy(*lay["partition"])
         else:
             writer = w.write.mode("overwrite")
-        path = f"{root.rstrip('/')}/{name}"
-        writer.parquet(path)
+        writer.parquet(f"{root.rstrip('/')}/{name}")
         # later tables derive from the stored copy (price_history from price_feed,
         # game_tags from tags), not from a re-derivation of the raw tables
-        wh[name] = wh.spark.read.parquet(path)
-    return Materialized(wh.spark, root)
+        wh[name] = stored[name]
+    return stored
 
 
 def query(wh, text: str, **args):

@@ -27,9 +27,9 @@ def test_query_with_parameters(spark):
 def test_materialized_price_history_roundtrip(spark):
     t = build(spark, SF)
     root = tempfile.mkdtemp(prefix="ludex-wh-")
+    a = sorted(map(tuple, t["price_history"].collect()), key=str)   # derived, before storing
     st = materialize(t, root, names=["price_history", "games"])
     assert os.path.isdir(os.path.join(root, "price_history", "is_current=true"))
-    a = sorted(map(tuple, t["price_history"].collect()), key=str)
     b = sorted(map(tuple, st["price_history"].collect()), key=str)
     assert a == b
     plan = st["price_history"].filter("is_current AND currency_code = 'USD'")._jdf.queryExecution() \
