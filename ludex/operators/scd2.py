@@ -118,6 +118,9 @@ def apply(history: DataFrame, batch: DataFrame, keys, tracked, ts: str,
     time.  Batch rows older than the stored current ``valid_from`` are late:
     they are returned in the second frame and not applied.
     Returns ``(new_history, late_rows)``.
+
+    ``history`` is read several times (current rows, their starts, closed
+    rows): pass a stored table or a checkpointed frame, not a long lazy plan.
     """
     keys, tracked, tiebreak = list(keys), list(tracked), list(tiebreak)
     cur = history.filter(F.col("is_current"))

@@ -180,6 +180,11 @@ def scd2_apply(t, split: str = SPLIT_TS):
     at = F.lit(split).cast("timestamp_ntz")
     first = scd2.collapse(feed.filter(F.col("ts") < at), ["app_id", "currency_code"], ["price", "discount_pct"],
                           "ts", tiebreak=tb)
+    # the first load is stored before the second one reads it (as a loader
+    # would): cut lineage into the session's shared checkpoint folder
+    from ludex.session import checkpoint_dir
+    checkpoint_dir(first.sparkSession)
+    first = first.checkpoint(eager=True)
     second = feed.filter(F.col("ts") >= at)
     hist, _late = scd2.apply(first, second, ["app_id", "currency_code"], ["price", "discount_pct"], "ts", tiebreak=tb)
     return hist
