@@ -152,14 +152,25 @@ def reviews_full(raw: Raw) -> DataFrame:
     return reviews(raw).join(texts, "review_id", "left").join(emb, "review_id", "left")
 
 
+# Derived tables that are costly to recompute and read several times per
+# query: staged once (reliable checkpoint) when the warehouse is derived on the fly.
+STAGED = {"price_history", "tags", "genres", "game_tags", "game_genres", "player_counts"}
+
+
 class Warehouse(dict):
-    """Lazy name -> DataFrame mapping of the star schema."""
+    """Lazy name -> DataFrame mapping of the star schema.
+
+    With ``stage=True`` the tables in ``STAGED`` are computed once on first
+    use and checkpointed into the session's shared checkpoint folder (the
+    on-the-fly stand-in for the stored tables of an ingest job), so a query
+    that reads price history in five places derives it once."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, stage: bool = False):
         super().__init__()
         self.raw = load(spark, sf_dir)
         self.spark = spark
         self.sf_dir = sf_dir
+        self.stage = stage
 
     def __missing__(self, name: str) -> DataFrame:
         raw = self.raw
@@ -177,6 +188,10 @@ class Warehouse(dict):
             df = _BUILDERS[name](raw)
         else:
             raise KeyError(name)
+        if self.stage and name in STAGED:
+            from ludex.session import checkpoint_dir
+            checkpoint_dir(self.spark)
+            df = df.checkpoint(eager=True)
         self[name] = df
         return df
 
@@ -195,8 +210,8 @@ TABLES = ["developers", "games", "tags", "game_tags", "genres", "game_genres",
           "player_counts", "price_feed", "price_history", "reviews", "reviews_full"]
 
 
-def build(spark: SparkSession, sf_dir: str) -> Warehouse:
-    return Warehouse(spark, sf_dir)
+def build(spark: SparkSession, sf_dir: str, stage: bool = False) -> Warehouse:
+    return Warehouse(spark, sf_dir, stage=stage)
 
 
 class Materialized(dict):
