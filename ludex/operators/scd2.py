@@ -154,7 +154,8 @@ def current(history: DataFrame, currency: str | None = None, currency_col: str =
     return df if currency is None else df.filter(F.col(currency_col) == currency)
 
 
-def as_of_join(facts: DataFrame, history: DataFrame, keys, fact_ts: str, cols) -> DataFrame:
+def as_of_join(facts: DataFrame, history: DataFrame, keys, fact_ts: str, cols,
+               hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Attach to every fact the version valid at the fact's time.
 
     Facts and version starts are merged into one time-ordered stream per key;
@@ -162,18 +163,39 @@ def as_of_join(facts: DataFrame, history: DataFrame, keys, fact_ts: str, cols) -
     linear in rows (a sort), unlike a range join that compares every fact with
     every version of its key.  Versions are gap-free, so the carried version
     is the valid one; zero-length versions are never valid and are left out.
-    A fact before the first version gets NULLs.
+    A fact before the first version gets NULLs.  Hot keys (more than
+    ``hot_rows`` rows) are carried per (key, month), with the last version
+    start of earlier months carried across month edges.
     """
     keys, cols = list(keys), list(cols)
+    vtype = history.select(F.struct(*[F.col(c) for c in cols]).alias("s")).schema["s"].dataType
     f = (facts.withColumn("_kind", F.lit(1)).withColumn("_t", F.col(fact_ts))
-              .withColumn("_v", F.lit(None).cast(
-                  history.select(F.struct(*[F.col(c) for c in cols]).alias("s")).schema["s"].dataType)))
+              .withColumn("_v", F.lit(None).cast(vtype)))
     live = history.filter(F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from")))
     v = live.select(*keys, F.col("valid_from").alias("_t"), F.lit(0).alias("_kind"),
                     F.struct(*[F.col(c) for c in cols]).alias("_v"))
     u = f.unionByName(v, allowMissingColumns=True)
-    w = (Window.partitionBy(*keys).orderBy("_t", "_kind")
-               .rowsBetween(Window.unboundedPreceding, 0))
-    u = u.withColumn("_cv", F.last("_v", ignorenulls=True).over(w))
-    out = u.filter(F.col("_kind") == 1)
+    light, heavy = split_hot(u, keys, hot_rows)
+    parts = []
+    if light is not None:
+        w = (Window.partitionBy(*keys).orderBy("_t", "_kind")
+                   .rowsBetween(Window.unboundedPreceding, 0))
+        parts.append(light.withColumn("_cv", F.last("_v", ignorenulls=True).over(w)))
+    if heavy is not None:
+        b = heavy.withColumn("_bkt", month_bucket("_t"))
+        w = (Window.partitionBy(*keys, "_bkt").orderBy("_t", "_kind")
+                   .rowsBetween(Window.unboundedPreceding, 0))
+        b = b.withColumn("_cv", F.last("_v", ignorenulls=True).over(w))
+        # one row per month that has any row (facts-only months too); NULL when it has no version
+        is_v = F.col("_kind") == 0
+        ends = b.groupBy(*keys, "_bkt").agg(
+            F.max_by(F.when(is_v, F.col("_v")), F.when(is_v, F.col("_t"))).alias("_end"))
+        before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+        carry = ends.select(*keys, "_bkt", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+        b = b.join(carry, [*keys, "_bkt"], "left").withColumn("_cv", F.coalesce("_cv", "_carry"))
+        parts.append(b.drop("_bkt", "_carry"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = out.filter(F.col("_kind") == 1)
     return out.select(*facts.columns, *[F.col(f"_cv.{c}").alias(c) for c in cols])

@@ -157,3 +157,22 @@ def test_collapse_with_one_hot_key(spark):
     for hot in [0, 100]:   # key 0 (600 rows) takes the bucketed path, the rest the plain one
         got = scd2.collapse(spark.createDataFrame(rows, SCHEMA), KEYS, TRACKED, "ts", tiebreak=["seq"], hot_rows=hot)
         assert sorted([tuple(r) for r in got.collect()], key=str) == _plain_collapse(rows)
+
+
+@pytest.mark.parametrize("hot", [None, 0, 50])
+def test_as_of_join_matches_range_join(spark, hot):
+    rows = _random_feed(n_keys=3, n=300, seed=21)
+    hist = scd2.collapse(spark.createDataFrame(rows, SCHEMA), KEYS, TRACKED, "ts", tiebreak=["seq"])
+    versions = [tuple(r) for r in hist.collect()]
+    rnd = random.Random(4)
+    facts = [(k, "USD", dt.datetime(2022, 12, 1) + dt.timedelta(hours=rnd.randrange(24 * 480)), i)
+             for i, k in enumerate([rnd.randrange(3) for _ in range(200)])]
+    fdf = spark.createDataFrame(facts, "app_id long, currency_code string, at timestamp_ntz, fid int")
+    got = {r.fid: (r.price, r.discount_pct) for r in
+           scd2.as_of_join(fdf, hist, KEYS, "at", ["price", "discount_pct"], hot_rows=hot).collect()}
+    want = {}
+    for k, c, at, fid in facts:
+        hit = [v for v in versions if v[0] == k and v[1] == c and v[4] <= at and (v[5] is None or v[5] > at)]
+        assert len(hit) <= 1
+        want[fid] = (hit[0][2], hit[0][3]) if hit else (None, None)
+    assert got == want
