@@ -6,7 +6,7 @@ paragraphs' order, and adding or taking away a paragraph adds or takes away its
 
 Lanes, each modulo 2^60:
 - ``EXACT`` lanes sum hashes of the whole paragraph: equality;
-- one lane counts the paragraph's pieces: pairs of neighbouring words, or its only word;
+- one lane counts the paragraph's pieces, runs of about two words that end at certain letters;
 - ``PACKED`` lanes hold four 15-bit fields each, sums of hash bits of the pieces.  Each bit is
   a fair coin, so the squared +-1 sums of a difference of two fingerprints average to the
   squared size of the multiset difference of their pieces.  That gives a likeness of two
@@ -49,10 +49,9 @@ def as_text(fp: Column) -> Column:
     return F.lower(F.array_join(F.transform(fp, lambda x: F.lpad(F.hex(x), 15, "0")), ""))
 
 
-def _piece_hashes(text: Column) -> Column:
-    words = F.transform(F.split(text, "\n"), lambda p: F.filter(F.split(p, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    return F.flatten(F.transform(words, lambda ws: F.when(F.size(ws) < 2, F.transform(ws, lambda w: F.xxhash64(w))).otherwise(
-        F.zip_with(F.slice(ws, 1, F.size(ws) - 1), F.slice(ws, 2, F.size(ws) - 1), lambda a, b: F.xxhash64(a, b)))))
+#: Paragraphs end at a line break; inside them a piece ends at white space after one of these
+#: characters, so where pieces end depends on the words beside and not on their place.
+PIECE_END = r"\s*\n\s*|(?<=[aeiouyns.,;:!?])[\x20\x09-\x0D]+"
 
 
 def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
@@ -69,19 +68,21 @@ def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
         return lambda acc, p: _add(acc, F.xxhash64(p, F.lit(i)).bitwiseAND(F.lit(MOD)))
 
     exact = {f"_x{i}": F.aggregate(F.split(whole, "\n"), zero, added(i)) for i in range(EXACT)}
+    # the lanes of whole paragraphs are made before the explode, once a row
     pieces = (rows.select(*others, F.monotonically_increasing_id().alias("_row"),
-                          *[c.alias(n) for n, c in exact.items()], _piece_hashes(whole).alias("_h"))
-              .select(*others, "_row", *exact, F.explode_outer("_h").alias("_h0")))
+                          *[c.alias(n) for n, c in exact.items()], F.split(whole, PIECE_END).alias("_ps"))
+              .select(*others, "_row", *exact, F.explode("_ps").alias("_p"))
+              .select(*others, "_row", *exact, F.when(F.col("_p") != "", F.xxhash64("_p")).otherwise(zero).alias("_h0")))
+    # an empty piece hashes to zeros, which add nothing
     turns = -(-FIELDS // 2 // _SHIFTS)
-    pieces = pieces.select("*", *[F.xxhash64(F.col("_h0"), F.lit(t)).alias(f"_h{t}") for t in range(1, turns)])
+    pieces = pieces.select("*", *[F.when(F.col("_h0") != 0, F.xxhash64("_h0", F.lit(t))).otherwise(zero).alias(f"_h{t}")
+                                  for t in range(1, turns)])
     sums = [F.sum(F.shiftrightunsigned(F.col(f"_h{i // _SHIFTS}"), i % _SHIFTS).bitwiseAND(F.lit(_PAIR))).alias(f"_s{i}")
             for i in range(FIELDS // 2)]
-    # a null piece (a text without words) has h0 null; xxhash64 of null isn't null
-    summed = pieces.groupBy("_row", *others, *exact).agg(F.count("_h0").alias("_n"), *sums)
+    summed = pieces.groupBy("_row", *others, *exact).agg(F.sum((F.col("_h0") != 0).cast("long")).alias("_n"), *sums)
 
     def field(i):
-        s = F.shiftright(F.col(f"_s{i // 2}"), 30) if i % 2 else F.col(f"_s{i // 2}").bitwiseAND(F.lit((1 << 30) - 1))
-        return F.when(F.col("_n") == 0, zero).otherwise(s)
+        return F.shiftright(F.col(f"_s{i // 2}"), 30) if i % 2 else F.col(f"_s{i // 2}").bitwiseAND(F.lit((1 << 30) - 1))
 
     packed = [sum((F.shiftleft(field(4 * lane + k), 15 * k) if k else field(4 * lane) for k in range(1, 4)),
                   field(4 * lane)).bitwiseAND(F.lit(MOD)) for lane in range(PACKED)]
