@@ -47,7 +47,7 @@ def crc_bucket(col: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
+def texts(batch: pa.RecordBatch | pa.Table, name: str) -> list[bytes]:
     """UTF-8 bytes of a text column; null texts are empty."""
     return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lthash, mixing, packing, rabitq, simhash, simple8b
+from . import lthash, mixing, packing, ppm, quality, rabitq, simhash, simple8b, toxicity
 from .common import shared_path, table
 from .encoding import default_path
 
@@ -24,6 +24,11 @@ def op3_simple8b(spark, sf_dir):
     return simple8b.crcs(simple8b.read(spark, path))
 
 
+def op5_ppm_scores(spark, sf_dir):
+    """Unigram and PPM scores of every document."""
+    return ppm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_best_fit_packing(spark, sf_dir):
     """Every document's pieces packed into sequences of 2048 ids."""
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), default_path())
@@ -39,10 +44,22 @@ def op8_simhash_bktree(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_subword_toxicity(spark, sf_dir):
+    """Toxicity scores of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_neighbour_quality(spark, sf_dir):
+    """Quality scores of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries():
     return {f.__name__: f for f in (
-        op1_embedding_near_dup, op2_multiset_fingerprints, op3_simple8b, op6_best_fit_packing, op7_source_mixing,
-        op8_simhash_bktree)}
+        op1_embedding_near_dup, op2_multiset_fingerprints, op3_simple8b, op5_ppm_scores, op6_best_fit_packing,
+        op7_source_mixing, op8_simhash_bktree, op9_subword_toxicity, op10_neighbour_quality)}
 
 
 def oracle_sql():
