@@ -71,7 +71,7 @@ def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
     # the lanes of whole paragraphs are made before the explode, once a row
     pieces = (rows.select(*others, F.monotonically_increasing_id().alias("_row"),
                           *[c.alias(n) for n, c in exact.items()], F.split(whole, PIECE_END).alias("_ps"))
-              .select(*others, "_row", *exact, F.explode("_ps").alias("_p"))
+              .select(*others, "_row", *exact, F.explode_outer("_ps").alias("_p"))
               .select(*others, "_row", *exact, F.when(F.col("_p") != "", F.xxhash64("_p")).otherwise(zero).alias("_h0")))
     # an empty piece hashes to zeros, which add nothing
     turns = -(-FIELDS // 2 // _SHIFTS)

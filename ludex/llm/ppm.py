@@ -3,12 +3,14 @@
 The model is a trie of byte contexts trained on the corpus.  A token (a word and its end, or
 the end of the text) is coded byte by byte; the contexts of a byte are the bytes before it in
 its word, at most ``ORDER`` of them, the word's start included.  A byte unseen in its longest
-context escapes to the next shorter one (escape probability by the number of different bytes
-seen there, method C), where the bytes seen in the longer contexts are excluded; below the
-empty context all remaining symbols are equally likely.  Contexts of three and more symbols
+context escapes to the next shorter one (escape method D: half a count of every different
+byte seen there), where the bytes seen in the longer contexts are excluded; below the empty
+context all remaining symbols are equally likely.  Above the trie stands one level whose
+symbols are whole tokens: a token takes its training count less a half, and the halves are
+the escape to its spelling by the trie.  Contexts of three and more symbols
 are hashed to ``SLOTS`` slots: contexts that meet share their counts, and every slot still
 gives probabilities that sum to 1.  The trie therefore has at most
-(1 + 258 + 258^2 + 3 * 2^15) * 258 counts whatever the corpus, and far fewer in practice.
+(1 + 259 + 259^2 + 2 * 2^15) * 258 counts whatever the corpus, and far fewer in practice.
 
 A word's probability depends on the word alone.  So the corpus is reduced to its distinct
 tokens, each is scored once, and the scores return to chunks of documents by a join on
@@ -27,10 +29,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import crc_bucket, parts, stored, texts
 
-ORDER = 5
+ORDER = 4
 SLOTS = 1 << 15
 WORD_END, TEXT_END, START = 256, 257, 258
 SYMBOLS = 258
+#: Escape method D: every symbol seen in a context gives this much of its count to the escape.
+DISCOUNT = 0.5
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -148,11 +152,11 @@ class Trie:
             count = self._at(_key(k, e.slots[k][step], e.symbol[step]))
             hit = count > 0
             # no escape is needed where every symbol is seen or excluded
-            whole = total + np.where(excluded + kinds >= SYMBOLS, 0, kinds)
-            logp[step[hit]] += np.log10(count[hit] / whole[hit])
+            off = np.where(excluded + kinds >= SYMBOLS, 0.0, DISCOUNT)
+            logp[step[hit]] += np.log10((count[hit] - off[hit]) / total[hit])
             open_[step[hit]] = False
             miss = ~hit & (kinds > 0)
-            logp[step[miss]] += np.log10(kinds[miss] / whole[miss])
+            logp[step[miss]] += np.log10(off[miss] * kinds[miss] / total[miss])
             step, row = step[~hit], row[~hit]
             size = self.last[row] - self.first[row]
             which = np.repeat(self.first[row] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -165,6 +169,14 @@ class Trie:
         return np.bincount(e.token, weights=logp, minlength=len(words))
 
 
+def whole_tokens(spelled: np.ndarray, counts: np.ndarray, total: int, kinds: int) -> np.ndarray:
+    """log10 probability of tokens from that of their spelling and their training counts."""
+    if not total:
+        return spelled
+    return np.log10(np.maximum(counts - DISCOUNT, 0) / total + DISCOUNT * kinds / total * 10.0 ** np.maximum(spelled, -290.0)
+                    ) + np.minimum(spelled + 290.0, 0) * (counts == 0)
+
+
 def token_counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
     """docs (train boolean, t) -> (token, c): every token of any text and its number in the
     training texts.  Tasks add up before the shuffle."""
@@ -224,7 +236,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
 
     def score_tokens(batches):
         for b in batches:
-            logp = trie.value.log10(b.column("token").to_pylist())
+            logp = whole_tokens(trie.value.log10(b.column("token").to_pylist()), b.column("c").to_numpy(), all_tokens, kinds)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(logp, pa.float64())], names=["token", "c", "logp"])
 
     scored = counted.mapInArrow(score_tokens, "token binary, c bigint, logp double")

@@ -148,3 +148,19 @@ def score(docs: DataFrame, space: Space, key: str = "doc_id", text: str = "text"
     return (docs.select(F.col(key).alias("k"), (crc_bucket(key, modulus) == held).alias("held_out"), F.col(text).alias("t"))
             .mapInArrow(run, f"k {kind}, held_out boolean, score double")
             .select(F.col("k").alias(key), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted")))
+
+
+def keep(docs: DataFrame, space: Space, text: str = "text", k: int = 15, threshold: float = 0.3, block: int = 256) -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``threshold`` or more; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(space)
+    place = docs.columns.index(text)
+
+    def run(batches):
+        terms, known = Terms(), shared.value
+        for b in batches:
+            for s in range(0, b.num_rows, block):
+                part = b.slice(s, block)
+                votes = vote(known, np.stack([terms(t) for t in texts(part, part.schema.names[place])]), k)
+                yield part.filter(pa.array(votes >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

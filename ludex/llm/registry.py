@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lthash, mixing, packing, ppm, quality, rabitq, simhash, simple8b, toxicity
+from . import licenses, lthash, mixing, packing, ppm, quality, rabitq, simhash, simple8b, toxicity
 from .common import shared_path, table
 from .encoding import default_path
 
@@ -24,6 +24,11 @@ def op3_simple8b(spark, sf_dir):
     return simple8b.crcs(simple8b.read(spark, path))
 
 
+def op4_license_scan(spark, sf_dir):
+    """Licence wordings in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_ppm_scores(spark, sf_dir):
     """Unigram and PPM scores of every document."""
     return ppm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -58,9 +63,28 @@ def op10_neighbour_quality(spark, sf_dir):
 
 def queries():
     return {f.__name__: f for f in (
-        op1_embedding_near_dup, op2_multiset_fingerprints, op3_simple8b, op5_ppm_scores, op6_best_fit_packing,
-        op7_source_mixing, op8_simhash_bktree, op9_subword_toxicity, op10_neighbour_quality)}
+        op1_embedding_near_dup, op2_multiset_fingerprints, op3_simple8b, op4_license_scan, op5_ppm_scores,
+        op6_best_fit_packing, op7_source_mixing, op8_simhash_bktree, op9_subword_toxicity, op10_neighbour_quality)}
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), link AS (
+    SELECT a.vec_id AS a, b.vec_id AS b
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(vec_id, other) AS (
+    SELECT vec_id, vec_id FROM v
+    UNION
+    SELECT r.vec_id, l.b FROM reach r JOIN link l ON l.a = r.other
+)
+SELECT v.vec_id,
+       (SELECT count(*) FROM link l WHERE l.a = v.vec_id) AS n_links,
+       (SELECT min(other) FROM reach r WHERE r.vec_id = v.vec_id) AS component_id,
+       (SELECT min(other) FROM reach r WHERE r.vec_id = v.vec_id) = v.vec_id AS kept
+FROM v
+"""
 
 
 def oracle_sql():
-    return {}
+    return {"op1_embedding_near_dup": OP1_SQL}

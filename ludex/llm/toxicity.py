@@ -192,3 +192,17 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return (docs.select(F.col(key).alias("k"), (crc_bucket(key, modulus) == held).alias("held_out"), F.col(text).alias("t"))
             .mapInArrow(run, f"k {kind}, held_out boolean, score double")
             .select(F.col("k").alias(key), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted")))
+
+
+def keep(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``threshold``; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for b in batches:
+            low = [scorer(t) < threshold for t in texts(b, b.schema.names[place])]
+            yield b.filter(pa.array(low, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
