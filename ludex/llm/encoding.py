@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -24,30 +25,35 @@ class WordEncoder:
     """Ids of a text, as the library's ``encode(text, add_special_tokens=False)`` gives them.
 
     No token of this kind of vocabulary crosses white space, so a text's ids are those of its
-    words in turn.  Ids of words are kept in a memo of at most ``cap`` words (then emptied).
+    words in turn.  Ids of words are kept in a memo of two halves of about ``cap`` words each.
     """
 
-    def __init__(self, path: str, cap: int = 400_000):
+    def __init__(self, path: str, cap: int = 350_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cap = Tokenizer.from_file(path), cap
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
         self.chars = _byte_chars()
 
     def _whole(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _run(self, run: str) -> bytes:
         ids = self.runs.get(run)
         if ids is None:
+            if len(self.runs) > self.cap:
+                self.runs.clear()
             plain = run if run.isascii() else "".join(map(self.chars.__getitem__, run.encode()))
-            ids = self.runs[run] = np.array([t.id for t in self.model.tokenize(plain)], np.uint32).tobytes()
+            ids = self.runs[run] = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
         return ids
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self._run(word.lower())
         m = _SIMPLE.fullmatch(word)
         if m is None:
             return self._whole(word)
@@ -58,18 +64,23 @@ class WordEncoder:
         if not text:
             return np.zeros(0, np.uint32)
         words = text.replace("\n", " ").split(" ")
+        if len(self.words) > self.cap:
+            # the words in use move on from the older half as they come up again
+            self.old, self.words = self.words, {}
         memo = self.words
-        try:
-            found = list(map(memo.__getitem__, words))
-        except KeyError:
-            if len(memo) > self.cap:
-                memo.clear()
-            if len(self.runs) > self.cap:
-                self.runs.clear()
-            for w in words:
-                if w not in memo:
-                    memo[w] = self._word(w)
-            found = list(map(memo.__getitem__, words))
+        found = list(map(memo.get, words))
+        if None in found:
+            old = self.old
+            for i, ids in enumerate(found):
+                if ids is None:
+                    w = words[i]
+                    ids = memo.get(w)
+                    if ids is None:
+                        ids = old.get(w)
+                        if ids is None:
+                            ids = self._word(w)
+                        memo[w] = ids
+                    found[i] = ids
         return np.frombuffer(b"".join(found), np.uint32)
 
 

@@ -28,6 +28,20 @@ BLOCK = ("shard int, seq int, first bigint, n_ids bigint, doc_ids array<{id}>, l
          "words binary, escape_at array<bigint>, escape_value array<bigint>")
 
 
+_SMALL = np.array([v.bit_length() for v in range(1 << 16)], np.uint8)
+
+
+def _bit_lengths(values: np.ndarray) -> np.ndarray:
+    high = int(values.max()) if len(values) else 0
+    if high < 1 << 16:
+        return _SMALL[values]
+    out = np.zeros(len(values), np.uint8)
+    for shift in range(0, high.bit_length(), 16):
+        part = (values >> np.uint64(shift)) & np.uint64(0xFFFF)
+        out = np.where(part > 0, _SMALL[part] + shift, out).astype(np.uint8)
+    return out
+
+
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Non-negative ids -> (words uint64, escape positions, escaped values)."""
     ids = np.asarray(ids, np.uint64)
@@ -37,19 +51,17 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     padded[:len(ids)] = ids
     padded[at] = 0
     n = len(ids)
-    pick = np.full(n, len(COUNTS) - 1, np.uint8)
-    for s in range(len(COUNTS) - 2, -1, -1):
-        wide = np.flatnonzero(padded >> np.uint64(WIDTHS[s]))
-        starts = np.concatenate([[0], wide + 1])
-        lasts = np.concatenate([wide, [len(padded)]]) - COUNTS[s] + 1  # one past the last start that fits
-        long = lasts > starts
-        if not long.any():
-            break
-        mark = np.zeros(len(padded) + 1, np.int8)
-        mark[starts[long]] += 1
-        mark[lasts[long]] -= 1
-        pick[np.cumsum(mark[:n], dtype=np.int8).astype(bool)] = s
-    step = np.array(COUNTS)[pick].tolist()
+    # a selector that fits makes all of fewer ids fit, so the first that fits is told by how
+    # many don't; most[c] is the largest bit length among the c ids from each place
+    most = {1: _bit_lengths(padded)}
+    for c in range(2, COUNTS[0] + 1):
+        if c in COUNTS:
+            a = max(x for x in most if x < c and 2 * x >= c)
+            most[c] = np.maximum(most[a][:len(padded) - c + 1], most[a][c - a:][:len(padded) - c + 1])
+    pick = np.zeros(n, np.uint8)
+    for c, w in zip(COUNTS[:-1], WIDTHS[:-1]):
+        pick += (most[c][:n] > w).view(np.uint8)
+    step = np.array(COUNTS, np.uint8)[pick].tobytes()
     where, i = [], 0
     while i < n:
         where.append(i)
@@ -60,10 +72,8 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for s, (c, w) in enumerate(zip(COUNTS, WIDTHS)):
         rows = np.flatnonzero(chosen == s)
         if len(rows):
-            word = np.full(len(rows), s << 60, np.uint64)
-            for k in range(c):
-                word |= padded[where[rows] + k] << np.uint64(k * w)
-            words[rows] = word
+            group = padded[where[rows, None] + np.arange(c)] << (np.arange(c, dtype=np.uint64) * np.uint64(w))
+            words[rows] = np.bitwise_or.reduce(group, axis=1) | np.uint64(s << 60)
     return words, at, values
 
 
@@ -76,9 +86,8 @@ def decode(words: np.ndarray, n: int, at=(), values=()) -> np.ndarray:
     for s, (c, w) in enumerate(zip(COUNTS, WIDTHS)):
         rows = np.flatnonzero(selector == s)
         if len(rows):
-            mask = np.uint64((1 << w) - 1)
-            for k in range(c):
-                out[place[rows] + k] = (words[rows] >> np.uint64(k * w)) & mask
+            group = words[rows, None] >> (np.arange(c, dtype=np.uint64) * np.uint64(w))
+            out[place[rows, None] + np.arange(c)] = group & np.uint64((1 << w) - 1)
     out = out[:n]
     out[np.asarray(at, np.int64)] = np.asarray(values, np.uint64)
     return out
@@ -116,7 +125,7 @@ def _writer(path: str, end: int | None, block_ids: int, key_type: pa.DataType):
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text",
-          end: int | None = 1, block_ids: int = 16384) -> None:
+          end: int | None = 1, block_ids: int = 32768) -> None:
     """Encode every whole text and write the blocks in ascending key order (null keys first,
     equal keys by text) as shards, one for each range of keys.  Null texts are empty."""
     kind = docs.schema[key].dataType
@@ -129,8 +138,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
      .write.option("compression", "zstd").parquet(path))
 
 
-def read(spark: SparkSession, path: str, key: str = "doc_id", key_type: str = "bigint") -> DataFrame:
-    """(key, start, n_tokens, ids) of every document in the files at ``path``.
+def read(spark: SparkSession, path: str, key: str = "doc_id", key_type: str = "bigint", digest: bool = False) -> DataFrame:
+    """(key, start, n_tokens, ids) of every document in the files at ``path``; with ``digest``
+    the unsigned crc32 of the ids as little-endian uint32 (``ids_crc32``) in place of the ids.
 
     ``start``: ids of all documents before it.  Only one total per shard is windowed.
     """
@@ -140,28 +150,21 @@ def read(spark: SparkSession, path: str, key: str = "doc_id", key_type: str = "b
                 ids = decode(np.frombuffer(r["words"], "<u8"), r["n_ids"], r["escape_at"], r["escape_value"])
                 lengths = np.array(r["lengths"], np.int64)
                 starts = np.cumsum(lengths) - lengths
-                rows = [ids[s:s + n].astype(np.int64) for s, n in zip(starts, lengths)]
+                if digest:
+                    raw = memoryview(ids.astype("<u4").view(np.uint8))
+                    last = pa.array([zlib.crc32(raw[4 * s:4 * (s + n)]) for s, n in zip(starts.tolist(), lengths.tolist())], pa.int64())
+                else:
+                    last = pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc_ids"], b.schema.field("doc_ids").type.value_type), pa.array([r["shard"]] * len(rows), pa.int32()),
-                     pa.array(r["first"] + starts), pa.array(lengths), pa.array(rows, pa.list_(pa.int64()))],
-                    names=["k", "shard", "place", "n_tokens", "ids"])
+                    [pa.array(r["doc_ids"], b.schema.field("doc_ids").type.value_type), pa.array([r["shard"]] * len(lengths), pa.int32()),
+                     pa.array(r["first"] + starts), pa.array(lengths), last],
+                    names=["k", "shard", "place", "n_tokens", name])
 
+    name, kind = ("ids_crc32", "bigint") if digest else ("ids", "array<bigint>")
     blocks = spark.read.schema(BLOCK.format(id=key_type)).parquet(path)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = (blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
             .select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
-    return (blocks.mapInArrow(run, f"k {key_type}, shard int, place bigint, n_tokens bigint, ids array<bigint>")
+    return (blocks.mapInArrow(run, f"k {key_type}, shard int, place bigint, n_tokens bigint, {name} {kind}")
             .join(F.broadcast(base), "shard")
-            .select(F.col("k").alias(key), (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids"))
-
-
-def crcs(docs: DataFrame) -> DataFrame:
-    """Replace ``ids`` by ``ids_crc32``: unsigned crc32 of the ids as little-endian uint32."""
-    def run(batches):
-        for b in batches:
-            ids = b.column("ids")
-            crc = [zlib.crc32(np.asarray(x.values).astype("<u4").tobytes()) for x in ids]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(crc, pa.int64())], names=[*b.schema.names[:-1], "ids_crc32"])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
-    return docs.mapInArrow(run, f"{kinds}, ids_crc32 bigint")
+            .select(F.col("k").alias(key), (F.col("base") + F.col("place")).alias("start"), "n_tokens", name))
