@@ -6,6 +6,7 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 
@@ -14,6 +15,9 @@ import numpy as np
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+_ID = attrgetter("id")
+
+
 def _byte_chars() -> dict[int, str]:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others move past 255."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -28,7 +32,7 @@ class WordEncoder:
     words in turn.  Ids of words are kept in a memo of two halves of about ``cap`` words each.
     """
 
-    def __init__(self, path: str, cap: int = 350_000):
+    def __init__(self, path: str, cap: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -36,29 +40,30 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
         self.chars = _byte_chars()
 
     def _whole(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _run(self, run: str) -> bytes:
-        ids = self.runs.get(run)
-        if ids is None:
-            if len(self.runs) > self.cap:
-                self.runs.clear()
-            plain = run if run.isascii() else "".join(map(self.chars.__getitem__, run.encode()))
-            ids = self.runs[run] = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
-        return ids
+        plain = run if run.isascii() else "".join(map(self.chars.__getitem__, run.encode()))
+        return array("I", map(_ID, self.model.tokenize(plain))).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():
-            return self._run(word.lower())
+        if word.isascii() and word.islower() and word.isalpha():
+            return self._run(word)
         m = _SIMPLE.fullmatch(word)
         if m is None:
             return self._whole(word)
         letters, marks = m.groups()
-        return self._run(letters.lower()) + (self._run(marks) if marks else b"")
+        return self._known(letters.lower()) + (self._known(marks) if marks else b"")
+
+    def _known(self, run: str) -> bytes:
+        # a letter run is a word too; a run of marks can't be mistaken for one
+        ids = self.words.get(run) or self.old.get(run)
+        if ids is None:
+            ids = self.words[run] = self._run(run)
+        return ids
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
