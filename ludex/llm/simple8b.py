@@ -34,7 +34,7 @@ _SMALL = np.array([v.bit_length() for v in range(1 << 16)], np.uint8)
 def _bit_lengths(values: np.ndarray) -> np.ndarray:
     high = int(values.max()) if len(values) else 0
     if high < 1 << 16:
-        return _SMALL[values]
+        return _SMALL[values.astype(np.uint16)]
     out = np.zeros(len(values), np.uint8)
     for shift in range(0, high.bit_length(), 16):
         part = (values >> np.uint64(shift)) & np.uint64(0xFFFF)
@@ -102,30 +102,32 @@ def _writer(path: str, end: int | None, block_ids: int, key_type: pa.DataType):
         enc = encoder(path)
         shard = TaskContext.get().partitionId()
         tail = np.array([] if end is None else [end], np.uint32)
-        docs, held, size, seq, first = [], [], 0, 0, 0
+        docs, held, lengths, size, seq, first = [], [], [], 0, 0, 0
 
         def block():
             words, at, values = encode(np.concatenate(held))
             return pa.RecordBatch.from_pylist([{
                 "shard": shard, "seq": seq, "first": first, "n_ids": size, "doc_ids": docs,
-                "lengths": [len(x) for x in held], "words": words.astype("<u8").tobytes(),
+                "lengths": lengths, "words": words.astype("<u8").tobytes(),
                 "escape_at": at.tolist(), "escape_value": values.astype(np.int64).tolist()}], schema)
 
         for b in batches:
-            for d, t in zip(b.column("k").to_pylist(), b.column("t")):
+            for d, t in zip(b.column("k").to_pylist(), b.column("t").to_pylist()):
                 docs.append(d)
-                held.append(np.concatenate([enc(t.as_py()), tail]))
-                size += len(held[-1])
+                ids = enc(t)
+                held.extend((ids, tail))
+                lengths.append(len(ids) + len(tail))
+                size += lengths[-1]
                 if size >= block_ids:
                     yield block()
-                    docs, held, first, size, seq = [], [], first + size, 0, seq + 1
+                    docs, held, lengths, first, size, seq = [], [], [], first + size, 0, seq + 1
         if docs:
             yield block()
     return run
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text",
-          end: int | None = 1, block_ids: int = 32768) -> None:
+          end: int | None = 1, block_ids: int = 65536) -> None:
     """Encode every whole text and write the blocks in ascending key order (null keys first,
     equal keys by text) as shards, one for each range of keys.  Null texts are empty."""
     kind = docs.schema[key].dataType
