@@ -35,6 +35,8 @@ WORD_END, TEXT_END, START = 256, 257, 258
 SYMBOLS = 258
 #: Escape method D: every symbol seen in a context gives this much of its count to the escape.
 DISCOUNT = 0.5
+#: Coding steps handled at once.
+BLOCK = 8192
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -129,12 +131,19 @@ class Trie:
     def log10(self, words: list[bytes]) -> np.ndarray:
         """log10 probability of each token."""
         e = events(words)
-        n = len(e.symbol)
+        # steps are independent; a block of them bounds the lists of excluded symbols
+        cuts = range(0, len(e.symbol), BLOCK)
+        logp = [self._steps(e.symbol[s:s + BLOCK], [x[s:s + BLOCK] for x in e.slots]) for s in cuts]
+        return np.bincount(e.token, weights=np.concatenate(logp) if logp else None, minlength=len(words))
+
+    def _steps(self, symbol: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
+        """log10 probability of each coding step."""
+        n = len(symbol)
         logp, open_ = np.zeros(n), np.ones(n, bool)
         barred = np.zeros(0, np.int64)  # step * SYMBOLS + symbol, sorted: excluded symbols
         for k in range(ORDER, -1, -1):
-            step = np.flatnonzero(open_ & (e.slots[k] >= 0))
-            row = self._context(k, e.slots[k][step])
+            step = np.flatnonzero(open_ & (slots[k] >= 0))
+            row = self._context(k, slots[k][step])
             step, row = step[row >= 0], row[row >= 0]
             if not len(step):
                 continue
@@ -145,11 +154,11 @@ class Trie:
                 size = hi - lo
                 who = np.repeat(np.arange(len(step)), size)
                 which = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                c = self._at(_key(k, e.slots[k][step[who]], barred[which] % SYMBOLS))
+                c = self._at(_key(k, slots[k][step[who]], barred[which] % SYMBOLS))
                 total = total - np.bincount(who, weights=c, minlength=len(step))
                 kinds = kinds - np.bincount(who, weights=c > 0, minlength=len(step))
                 excluded = size.astype(np.float64)
-            count = self._at(_key(k, e.slots[k][step], e.symbol[step]))
+            count = self._at(_key(k, slots[k][step], symbol[step]))
             hit = count > 0
             # no escape is needed where every symbol is seen or excluded
             off = np.where(excluded + kinds >= SYMBOLS, 0.0, DISCOUNT)
@@ -166,7 +175,7 @@ class Trie:
         if len(step):
             size = np.searchsorted(barred, (step + 1) * SYMBOLS) - np.searchsorted(barred, step * SYMBOLS)
             logp[step] -= np.log10(SYMBOLS - size)
-        return np.bincount(e.token, weights=logp, minlength=len(words))
+        return logp
 
 
 def whole_tokens(spelled: np.ndarray, counts: np.ndarray, total: int, kinds: int) -> np.ndarray:
