@@ -145,13 +145,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, ro
     """(key, text, y) of at most ``rows`` training rows, the first by a hash of the key.
 
     Only keys that occur in ``docs`` count; rows held out (crc32 of the key modulo ``modulus``
-    is ``held``), null keys and null labels don't.
+    is ``held``), null keys and null labels don't.  Of rows that repeat a key, the first by
+    text counts, so the bound holds however often a key occurs.
     """
     marked = (labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (crc_bucket(key, modulus) != held))
               .groupBy(key).agg(F.max(F.col(label).cast("int")).alias("y")))
     chosen = (marked.join(docs.select(key), key, "left_semi")
               .orderBy(F.xxhash64(key), key).limit(rows))
-    return docs.join(F.broadcast(chosen), key).select(F.col(key).alias("key"), "text", "y")
+    return (docs.join(F.broadcast(chosen), key)
+            .groupBy(F.col(key).alias("key"), "y").agg(F.min("text").alias("text")).select("key", "text", "y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
