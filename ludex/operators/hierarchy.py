@@ -9,6 +9,8 @@ levels with ``checkpoint()`` into the session's shared checkpoint folder.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from ludex.session import checkpoint_dir
 
 
 def walk(nodes: DataFrame, roots: DataFrame, id_col: str = "dev_id", parent_col: str = "parent_dev_id",
-         name_col: str = "name", sep: str = " > ", max_depth: int = 100, checkpoint_every: int = 8) -> DataFrame:
+         name_col: str = "name", sep: str = " > ", checkpoint_every: int = 8) -> DataFrame:
     """(id, name, parent, path, depth) for every node reachable from ``roots``.
 
     ``roots`` has the columns of ``nodes``; their depth is 0 and path is the name.
@@ -27,7 +29,7 @@ def walk(nodes: DataFrame, roots: DataFrame, id_col: str = "dev_id", parent_col:
                          F.lit(0).alias("depth"), F.array(F.col(id_col)).alias("_seen"))
     level = level.persist(StorageLevel.MEMORY_AND_DISK)
     levels = [level]
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):  # the path guard ends the loop
         prev = level.select(F.col(id_col).alias("_pid"), F.col("path").alias("_ppath"), "_seen")
         nxt = (base.join(prev, base[parent_col] == prev["_pid"])
                    .filter(~F.array_contains(F.col("_seen"), F.col(id_col)))
@@ -66,7 +68,11 @@ def seed(nodes: DataFrame, mapping: dict, id_col: str = "dev_id", parent_col: st
     mapping order); set the parent of listed children whose parent is NULL."""
     spark = nodes.sparkSession
     parents = spark.createDataFrame([(p, i) for i, p in enumerate(mapping)], f"{name_col} string, _ord int")
-    links = spark.createDataFrame([(c, p) for p, cs in mapping.items() for c in cs],
+    first = {}  # a child listed under several parents goes to the first
+    for p, cs in mapping.items():
+        for c in cs:
+            first.setdefault(c, p)
+    links = spark.createDataFrame(list(first.items()),
                                   f"_child string, _parent string")
     missing = parents.join(nodes.select(name_col), name_col, "left_anti")
     max_id = nodes.agg(F.max(id_col)).scalar()

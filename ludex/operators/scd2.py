@@ -9,9 +9,9 @@ Semantics (one key = e.g. (app_id, currency_code)):
   (``valid_from == valid_to``), which ``as_of`` never returns;
 * A -> B -> A gives three versions; an unchanged state is a no-op.
 
-Change flags and ``valid_to`` are computed per (key, month) with edge
-values carried between months, so a key with a third of all rows is split
-over many tasks instead of one window partition.
+Change flags and ``valid_to`` are computed per (key, hour) with edge values
+carried between hours (``sequence``), so a key with a third of all rows is
+split over many tasks instead of one window partition.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ludex.operators.sequence import HOT_ROWS, month_bucket, split_hot
+from ludex.operators.sequence import hour_bucket, lag_within, lead_within
 
 
 def _changed(tracked) -> Column:
@@ -29,82 +29,23 @@ def _changed(tracked) -> Column:
     return reduce(lambda a, b: a | b, diffs)
 
 
-def collapse(feed: DataFrame, keys, tracked, ts: str, tiebreak=(), keep=(),
-             bucket: Column | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def collapse(feed: DataFrame, keys, tracked, ts: str, tiebreak=(), keep=(), bucket: Column | None = None) -> DataFrame:
     """Versions from an ordered feed.
 
     Returns ``keys + tracked + keep + [valid_from, valid_to, is_current]``.
     ``tiebreak`` completes the order after ``ts`` so the result is deterministic.
 
-    Keys with at most ``hot_rows`` feed rows use one plain window per key;
-    hotter keys are split by month (``_collapse_bucketed``).  Same result.
+    LAG over the feed finds the rows that change something, LEAD over those
+    rows alone closes them; both run per (key, bucket) and are linear.
     """
-    keys, tracked, keep, tiebreak = list(keys), list(tracked), list(keep), list(tiebreak)
-    light, heavy = split_hot(feed, keys, hot_rows)
-    parts = []
-    if light is not None:
-        parts.append(_collapse_plain(light, keys, tracked, ts, tiebreak, keep))
-    if heavy is not None:
-        parts.append(_collapse_bucketed(heavy, keys, tracked, ts, tiebreak, keep, bucket))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _collapse_plain(feed, keys, tracked, ts, tiebreak, keep):
-    order = [F.col(ts), *[F.col(c) for c in tiebreak]]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    f = feed.select(*keys, *tracked, *keep, *order[:1], *[F.col(c) for c in tiebreak if c not in (*keys, *tracked, *keep, ts)])
-    f = f.withColumn("_first", F.lag(F.lit(1)).over(w).isNull())
-    for c in tracked:
-        f = f.withColumn("prev_" + c, F.lag(c).over(w))
-    kept = f.filter(F.col("_first") | _changed(tracked))
-    valid_to = F.lead(F.col(ts)).over(w)
-    return kept.select(*keys, *tracked, *keep, F.col(ts).alias("valid_from"), valid_to.alias("valid_to"),
-                       valid_to.isNull().alias("is_current"))
-
-
-def _collapse_bucketed(feed: DataFrame, keys, tracked, ts: str, tiebreak=(), keep=(),
-                       bucket: Column | None = None) -> DataFrame:
-    """Month-bucketed collapse for hot keys.
-
-    One window pass per (key, month) computes the change flags (LAG) and the
-    next change inside the month; two small per-(key, month) summaries carry
-    what crosses a month edge: the month's last row (a partial ``max_by``
-    aggregate over the feed) forward, and the month's first change backward.
-    """
-    keys, tracked, keep, tiebreak = list(keys), list(tracked), list(keep), list(tiebreak)
+    keys, tracked, keep = list(keys), list(tracked), list(keep)
     order = ["valid_from", *[f"_tb{i}" for i in range(len(tiebreak))]]
-    base = feed.select(*keys, *tracked, *keep, F.col(ts).alias("valid_from"),
-                       *[F.col(c).alias(f"_tb{i}") for i, c in enumerate(tiebreak)])
-    b = base.withColumn("_bkt", bucket if bucket is not None else month_bucket("valid_from"))
-    w = Window.partitionBy(*keys, "_bkt").orderBy(*[F.col(c) for c in order])
-    by_bucket = Window.partitionBy(*keys).orderBy("_bkt")
-
-    # last row of every month (partial aggregate), handed to the next month
-    last = b.groupBy(*keys, "_bkt").agg(
-        F.max_by(F.struct(*[F.col(c) for c in tracked]), F.struct(*[F.col(o) for o in order])).alias("_edge"))
-    carry = last.select(*keys, "_bkt", F.lag("_edge").over(by_bucket).alias("_carry"))
-
-    f = b.withColumn("_first", F.lag(F.lit(1)).over(w).isNull())
-    for c in tracked:
-        f = f.withColumn("prev_" + c, F.lag(c).over(w))
-    f = f.join(carry, [*keys, "_bkt"], "left")
-    first = F.col("_first")
-    for c in tracked:
-        f = f.withColumn("prev_" + c, F.when(first, F.col(f"_carry.{c}")).otherwise(F.col("prev_" + c)))
-    has_prev = ~first | F.col("_carry").isNotNull()
-    f = f.withColumn("_chg", ~has_prev | _changed(tracked))
-
-    # next change inside the month; else the first change of a later month
-    after = w.rowsBetween(1, Window.unboundedFollowing)
-    f = f.withColumn("_next", F.first(F.when(F.col("_chg"), F.col("valid_from")), ignorenulls=True).over(after))
-    firsts = f.groupBy(*keys, "_bkt").agg(F.min(F.when(F.col("_chg"), F.col("valid_from"))).alias("_fc"))
-    later = by_bucket.rowsBetween(1, Window.unboundedFollowing)
-    nxt = firsts.select(*keys, "_bkt", F.first("_fc", ignorenulls=True).over(later).alias("_next_bkt"))
-    out = f.filter(F.col("_chg")).join(nxt, [*keys, "_bkt"], "left")
-    valid_to = F.coalesce(F.col("_next"), F.col("_next_bkt"))
+    f = feed.select(*keys, *tracked, *keep, F.col(ts).alias("valid_from"),
+                    *[F.col(c).alias(f"_tb{i}") for i, c in enumerate(tiebreak)])
+    f = lag_within(f, keys, order, tracked, bucket=bucket, marker="_has", keep_bucket=True)
+    opens = f.filter(~F.col("_has") | _changed(tracked)).select(*keys, *tracked, *keep, *order, "_bkt")
+    out = lead_within(opens, keys, order, ["valid_from"], prefix="_next_")
+    valid_to = F.col("_next_valid_from")
     return out.select(*keys, *tracked, *keep, "valid_from", valid_to.alias("valid_to"),
                       valid_to.isNull().alias("is_current"))
 
@@ -155,17 +96,17 @@ def current(history: DataFrame, currency: str | None = None, currency_col: str =
 
 
 def as_of_join(facts: DataFrame, history: DataFrame, keys, fact_ts: str, cols,
-               hot_rows: int | None = HOT_ROWS) -> DataFrame:
+               bucket: Column | None = None) -> DataFrame:
     """Attach to every fact the version valid at the fact's time.
 
     Facts and version starts are merged into one time-ordered stream per key;
-    the last version start at or before each fact is carried forward.  This is
-    linear in rows (a sort), unlike a range join that compares every fact with
-    every version of its key.  Versions are gap-free, so the carried version
-    is the valid one; zero-length versions are never valid and are left out.
-    A fact before the first version gets NULLs.  Hot keys (more than
-    ``hot_rows`` rows) are carried per (key, month), with the last version
-    start of earlier months carried across month edges.
+    the last version start at or before each fact is carried forward, inside
+    each (key, bucket) and from earlier buckets (the bucket is a function of
+    the merged time ``_t``; default: its hour).  This is linear in rows (a
+    sort), unlike a range join that compares every fact with every version of
+    its key.  Versions are gap-free, so the carried version is the valid one;
+    zero-length versions are never valid and are left out.  A fact before the
+    first version gets NULLs.
     """
     keys, cols = list(keys), list(cols)
     vtype = history.select(F.struct(*[F.col(c) for c in cols]).alias("s")).schema["s"].dataType
@@ -174,28 +115,16 @@ def as_of_join(facts: DataFrame, history: DataFrame, keys, fact_ts: str, cols,
     live = history.filter(F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from")))
     v = live.select(*keys, F.col("valid_from").alias("_t"), F.lit(0).alias("_kind"),
                     F.struct(*[F.col(c) for c in cols]).alias("_v"))
-    u = f.unionByName(v, allowMissingColumns=True)
-    light, heavy = split_hot(u, keys, hot_rows)
-    parts = []
-    if light is not None:
-        w = (Window.partitionBy(*keys).orderBy("_t", "_kind")
-                   .rowsBetween(Window.unboundedPreceding, 0))
-        parts.append(light.withColumn("_cv", F.last("_v", ignorenulls=True).over(w)))
-    if heavy is not None:
-        b = heavy.withColumn("_bkt", month_bucket("_t"))
-        w = (Window.partitionBy(*keys, "_bkt").orderBy("_t", "_kind")
-                   .rowsBetween(Window.unboundedPreceding, 0))
-        b = b.withColumn("_cv", F.last("_v", ignorenulls=True).over(w))
-        # one row per month that has any row (facts-only months too); NULL when it has no version
-        is_v = F.col("_kind") == 0
-        ends = b.groupBy(*keys, "_bkt").agg(
-            F.max_by(F.when(is_v, F.col("_v")), F.when(is_v, F.col("_t"))).alias("_end"))
-        before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-        carry = ends.select(*keys, "_bkt", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
-        b = b.join(carry, [*keys, "_bkt"], "left").withColumn("_cv", F.coalesce("_cv", "_carry"))
-        parts.append(b.drop("_bkt", "_carry"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.filter(F.col("_kind") == 1)
+    bkt = bucket if bucket is not None else hour_bucket("_t")
+    b = f.unionByName(v, allowMissingColumns=True).withColumn("_bkt", bkt)
+    w = Window.partitionBy(*keys, "_bkt").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    b = b.withColumn("_cv", F.last("_v", ignorenulls=True).over(w)).filter(F.col("_kind") == 1)
+    # the last version of each bucket, and the buckets that hold facts; both are few rows a key
+    ends = v.withColumn("_bkt", bkt).groupBy(*keys, "_bkt").agg(F.max_by("_v", "_t").alias("_end"))
+    spots = (f.withColumn("_bkt", bkt).select(*keys, "_bkt").distinct()
+              .unionByName(ends, allowMissingColumns=True)
+              .groupBy(*keys, "_bkt").agg(F.first("_end", ignorenulls=True).alias("_end")))
+    before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    carry = spots.select(*keys, "_bkt", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+    out = b.join(carry, [*keys, "_bkt"], "left").withColumn("_cv", F.coalesce("_cv", "_carry"))
     return out.select(*facts.columns, *[F.col(f"_cv.{c}").alias(c) for c in cols])

@@ -4,23 +4,19 @@ A SQL window ``PARTITION BY key ORDER BY ts`` puts every row of a key into one
 task; if one key holds a third of the data, so does that task.  These
 operators give the same results while splitting the work by (key, bucket),
 where the bucket is a coarse, order-preserving function of the order (the
-month of the timestamp by default):
+hour of the timestamp by default):
 
 * inside each (key, bucket) the ordinary window runs (one shuffle);
-* across bucket edges, a per-(key, bucket) summary -- last row / first row /
-  last n-1 values, all partial aggregates or bounded lists -- is shifted by
-  one bucket with a window over the buckets of a key (one row per bucket,
-  so small) and joined back on (key, bucket).
-
-Results equal the single-window form for any bucket function that is
-non-decreasing along the order; the bucket only controls how work is split.
-Order columns are given by name and are ascending.
-
-Only hot keys pay for this: ``split_hot`` counts rows per key (a partial
-aggregate) and keys with at most ``hot_rows`` rows take the plain window
-(each task then holds at most ``hot_rows`` rows of one key); the rest take
-the bucketed path.  ``hot_rows=0`` forces the bucketed path for every key,
-``hot_rows=None`` the plain one.
+* across bucket edges, a per-(key, bucket) summary -- last row / first row (a
+  partial aggregate) or last n-1 values (a bounded list) -- is shifted by one
+  bucket with a window over the buckets of a key (one row per bucket) and
+  joined back on (key, bucket).
+
+Every key takes this one path, whatever its size, and the work is linear in
+the rows.  Results equal the single-window form for any bucket function that
+is non-decreasing along the order; the bucket only controls how work is split
+(a key that is hot within one hour needs a finer one).  Order columns are
+given by name and are ascending; keys and buckets aren't null.
 """
 
 from __future__ import annotations
@@ -33,32 +29,9 @@ def _names(x):
     return [x] if isinstance(x, str) else list(x)
 
 
-HOT_ROWS = 1_000_000
-
-
-def split_hot(df: DataFrame, keys, hot_rows: int | None = HOT_ROWS):
-    """(light, heavy) rows by key size; either side may be None."""
-    keys = _names(keys)
-    if hot_rows is None:
-        return df, None
-    if hot_rows <= 0:
-        return None, df
-    heavy_keys = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-                    .filter(F.col("_n") > hot_rows).select(*keys))
-    return df.join(heavy_keys, keys, "left_anti"), df.join(heavy_keys, keys, "left_semi")
-
-
-def _union(parts):
-    parts = [p for p in parts if p is not None]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def month_bucket(col: str) -> Column:
-    """Default bucket: calendar month of a timestamp column."""
-    return F.date_trunc("month", F.col(col)).cast("timestamp_ntz")
+def hour_bucket(col: str) -> Column:
+    """Default bucket: the hour of a timestamp column (no time: before all hours)."""
+    return F.coalesce(F.date_trunc("hour", F.col(col)).cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz"))
 
 
 def _prep(df, keys, order, bucket):
@@ -67,59 +40,46 @@ def _prep(df, keys, order, bucket):
     if "_bkt" in df.columns and bucket is None:
         b = df
     else:
-        b = df.withColumn("_bkt", bucket if bucket is not None else month_bucket(order[0]))
+        b = df.withColumn("_bkt", bucket if bucket is not None else hour_bucket(order[0]))
     w = Window.partitionBy(*keys, "_bkt").orderBy(*[F.col(c) for c in order])
     return b, w
 
 
-def _lag_bucketed(df: DataFrame, keys, order, cols, bucket: Column | None = None,
-                  prefix: str = "prev_", marker: str | None = None, keep_bucket: bool = False) -> DataFrame:
-    """``LAG(c) OVER (PARTITION BY keys ORDER BY order)`` for each c in ``cols``.
-
-    ``marker`` (optional): boolean column, TRUE when a previous row exists.
-    """
+def _neighbour(df, keys, order, cols, bucket, prefix, marker, keep_bucket, step, edge):
+    """The row ``step`` places on, from the window of (key, bucket) or, past its edge, from
+    the neighbouring bucket's ``edge`` row (max_by / min_by of the order: a partial aggregate)."""
     keys, order, cols = _names(keys), _names(order), _names(cols)
     b, w = _prep(df, keys, order, bucket)
-    b = b.withColumn("_first", F.lag(F.lit(1)).over(w).isNull()) \
-         .withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
+    row = F.struct(*[F.col(c) for c in cols])
+    edges = b.groupBy(*keys, "_bkt").agg(edge(row, F.struct(*[F.col(c) for c in order])).alias("_edge"))
+    by_bucket = Window.partitionBy(*keys).orderBy("_bkt")
+    carry = edges.select(*keys, "_bkt", F.lead("_edge", step).over(by_bucket).alias("_carry"))
+    b = b.withColumn("_near", F.lead(row, step).over(w))
+    b = b.join(carry, [*keys, "_bkt"], "left").withColumn("_near", F.coalesce("_near", "_carry"))
     for c in cols:
-        b = b.withColumn(prefix + c, F.lag(c).over(w))
-    # last row of every (key, bucket), shifted to the next non-empty bucket
-    edges = b.filter(F.col("_last")).select(*keys, "_bkt", F.struct(*[F.col(c) for c in cols]).alias("_edge"))
-    wb = Window.partitionBy(*keys).orderBy("_bkt")
-    carry = edges.select(*keys, "_bkt", F.lag("_edge").over(wb).alias("_carry"))
-    b = b.join(carry, [*keys, "_bkt"], "left")
-    first = F.col("_first")
-    for c in cols:
-        b = b.withColumn(prefix + c, F.when(first, F.col(f"_carry.{c}")).otherwise(F.col(prefix + c)))
+        b = b.withColumn(prefix + c, F.col(f"_near.{c}"))
     if marker:
-        b = b.withColumn(marker, ~first | F.col("_carry").isNotNull())
-    b = b.drop("_first", "_last", "_carry")
+        b = b.withColumn(marker, F.col("_near").isNotNull())
+    b = b.drop("_near", "_carry")
     return b if keep_bucket else b.drop("_bkt")
 
 
-def _lead_bucketed(df: DataFrame, keys, order, cols, bucket: Column | None = None,
-                   prefix: str = "next_", keep_bucket: bool = False) -> DataFrame:
+def lag_within(df: DataFrame, keys, order, cols, bucket: Column | None = None, prefix: str = "prev_",
+               marker: str | None = None, keep_bucket: bool = False) -> DataFrame:
+    """``LAG(c) OVER (PARTITION BY keys ORDER BY order)`` for each c in ``cols``.
+
+    ``marker`` (optional): boolean column, TRUE when a previous row exists.
+    ``keep_bucket`` leaves the bucket column ``_bkt`` for a further operator."""
+    return _neighbour(df, keys, order, cols, bucket, prefix, marker, keep_bucket, -1, F.max_by)
+
+
+def lead_within(df: DataFrame, keys, order, cols, bucket: Column | None = None, prefix: str = "next_",
+                keep_bucket: bool = False) -> DataFrame:
     """``LEAD(c) OVER (PARTITION BY keys ORDER BY order)`` for each c in ``cols``."""
-    keys, order, cols = _names(keys), _names(order), _names(cols)
-    b, w = _prep(df, keys, order, bucket)
-    b = b.withColumn("_first", F.lag(F.lit(1)).over(w).isNull()) \
-         .withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
-    for c in cols:
-        b = b.withColumn(prefix + c, F.lead(c).over(w))
-    edges = b.filter(F.col("_first")).select(*keys, "_bkt", F.struct(*[F.col(c) for c in cols]).alias("_edge"))
-    wb = Window.partitionBy(*keys).orderBy("_bkt")
-    carry = edges.select(*keys, "_bkt", F.lead("_edge").over(wb).alias("_carry"))
-    b = b.join(carry, [*keys, "_bkt"], "left")
-    last = F.col("_last")
-    for c in cols:
-        b = b.withColumn(prefix + c, F.when(last, F.col(f"_carry.{c}")).otherwise(F.col(prefix + c)))
-    b = b.drop("_first", "_last", "_carry")
-    return b if keep_bucket else b.drop("_bkt")
+    return _neighbour(df, keys, order, cols, bucket, prefix, None, keep_bucket, 1, F.min_by)
 
 
-def _rolling_bucketed(df: DataFrame, keys, order, value: str, n: int, out: str,
-                     bucket: Column | None = None) -> DataFrame:
+def rolling_avg(df: DataFrame, keys, order, value: str, n: int, out: str, bucket: Column | None = None) -> DataFrame:
     """``AVG(value) OVER (... ROWS BETWEEN n-1 PRECEDING AND CURRENT ROW)``.
 
     Within a bucket the window frame gives sum and count; the first n-1 rows
@@ -158,63 +118,3 @@ def _rolling_bucketed(df: DataFrame, keys, order, value: str, n: int, out: str,
     total_s = F.coalesce(F.col("_s").cast("double"), F.lit(0.0)) + cs
     b = b.withColumn(out, F.when(total_c > 0, total_s / total_c))
     return b.drop("_bkt", "_p", "_rd", "_s", "_c", "_carry")
-
-
-# ---------------------------------------------------------------------------
-# public operators: plain window for ordinary keys, bucketed for hot keys
-# ---------------------------------------------------------------------------
-
-def _plain_window(keys, order):
-    return Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order])
-
-
-def lag_within(df: DataFrame, keys, order, cols, bucket: Column | None = None, prefix: str = "prev_",
-               marker: str | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """``LAG(c) OVER (PARTITION BY keys ORDER BY order)`` for each c in ``cols``.
-
-    ``marker`` (optional): boolean column, TRUE when a previous row exists."""
-    keys, order, cols = _names(keys), _names(order), _names(cols)
-    light, heavy = split_hot(df, keys, hot_rows)
-    parts = []
-    if light is not None:
-        w = _plain_window(keys, order)
-        p = light
-        for c in cols:
-            p = p.withColumn(prefix + c, F.lag(c).over(w))
-        if marker:
-            p = p.withColumn(marker, F.lag(F.lit(1)).over(w).isNotNull())
-        parts.append(p)
-    if heavy is not None:
-        parts.append(_lag_bucketed(heavy, keys, order, cols, bucket=bucket, prefix=prefix, marker=marker))
-    return _union(parts)
-
-
-def lead_within(df: DataFrame, keys, order, cols, bucket: Column | None = None, prefix: str = "next_",
-                hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """``LEAD(c) OVER (PARTITION BY keys ORDER BY order)`` for each c in ``cols``."""
-    keys, order, cols = _names(keys), _names(order), _names(cols)
-    light, heavy = split_hot(df, keys, hot_rows)
-    parts = []
-    if light is not None:
-        w = _plain_window(keys, order)
-        p = light
-        for c in cols:
-            p = p.withColumn(prefix + c, F.lead(c).over(w))
-        parts.append(p)
-    if heavy is not None:
-        parts.append(_lead_bucketed(heavy, keys, order, cols, bucket=bucket, prefix=prefix))
-    return _union(parts)
-
-
-def rolling_avg(df: DataFrame, keys, order, value: str, n: int, out: str, bucket: Column | None = None,
-                hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """``AVG(value) OVER (... ROWS BETWEEN n-1 PRECEDING AND CURRENT ROW)``."""
-    keys, order = _names(keys), _names(order)
-    light, heavy = split_hot(df, keys, hot_rows)
-    parts = []
-    if light is not None:
-        w = _plain_window(keys, order).rowsBetween(-(n - 1), 0)
-        parts.append(light.withColumn(out, F.avg(F.col(value)).over(w)))
-    if heavy is not None:
-        parts.append(_rolling_bucketed(heavy, keys, order, value, n, out, bucket=bucket))
-    return _union(parts)

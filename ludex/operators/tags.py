@@ -39,18 +39,18 @@ def named_pairs(pairs: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def lift(game_tags: DataFrame, min_together: int) -> DataFrame:
-    """(tag_a_id, tag_b_id, together, lift) with lift = together / (nA * nB / N).
+    """(tag_a_id, tag_b_id, together, lift) with lift = together * N / (nA * nB)
+    (whole numbers up to one division, so equal lifts are equal doubles).
 
     N (games with any tag) is a scalar sub-query: distinct app ids are found
     with a shuffle on app_id, then counted -- never a single-task distinct."""
     freq = game_tags.groupBy("tag_id").agg(F.count(F.lit(1)).alias("n"))
-    n_games = game_tags.select("app_id").distinct().agg(F.count(F.lit(1)).cast("double")).scalar()
+    n_games = game_tags.select("app_id").distinct().agg(F.count(F.lit(1))).scalar()
     p = pair_counts(game_tags, min_together)
     fa = freq.select(F.col("tag_id").alias("tag_a_id"), F.col("n").alias("na"))
     fb = freq.select(F.col("tag_id").alias("tag_b_id"), F.col("n").alias("nb"))
     p = p.join(fa, "tag_a_id").join(fb, "tag_b_id")
-    expected = F.col("na") * F.col("nb") / n_games
-    return p.withColumn("lift", F.col("together") / F.nullif(expected, F.lit(0.0)))
+    return p.withColumn("lift", (F.col("together") * n_games).cast("double") / (F.col("na") * F.col("nb")).cast("double"))
 
 
 def demand_supply(game_tags: DataFrame, games: DataFrame, latest: DataFrame, value: str = "concurrent_players") -> DataFrame:

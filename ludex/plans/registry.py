@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial, update_wrapper
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
 
-def register(name: str, sql: str | None = None):
-    """Decorator: ``fn(t) -> DataFrame`` with ``t`` a warehouse mapping."""
+def register(name: str, sql: str | None = None, **args):
+    """Decorator: ``fn(t) -> DataFrame`` with ``t`` a warehouse mapping.
+
+    ``args`` go to ``fn`` in the registered query alone: the synthetic tables
+    need other lists and thresholds than the function's own defaults."""
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = (fn, sql)
+        REGISTRY[name] = (update_wrapper(partial(fn, **args), fn) if args else fn, sql)
         return fn
     return deco
 

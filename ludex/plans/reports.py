@@ -12,7 +12,6 @@ from ludex.plans import market as M
 from ludex.plans import reviews as R
 from ludex.plans import series as S
 from ludex.plans import tags as TG
-from ludex.plans.common import IS_FREE_EXPR, LATEST_CCU_SQL
 from ludex.plans.prelude import rnd as srnd
 from ludex.plans.prelude import sql
 from ludex.plans.registry import register
@@ -30,14 +29,7 @@ def _tier_sql(tier: str, games: str, other: str, ccu: str, other_ccu: str, with_
 @register("free_paid_long", sql(
     _tier_sql("free", "free_games", "paid_games", "free_ccu", "paid_ccu", "free_with_ccu") + "\nUNION ALL\n"
     + _tier_sql("paid", "paid_games", "free_games", "paid_ccu", "free_ccu", "paid_with_ccu"),
-    [LATEST_CCU_SQL, ("totals", f"""
-    SELECT count(*) FILTER (WHERE is_free) AS free_games, count(*) FILTER (WHERE NOT is_free) AS paid_games,
-           CAST(COALESCE(sum(ccu) FILTER (WHERE is_free), 0) AS BIGINT) AS free_ccu,
-           CAST(COALESCE(sum(ccu) FILTER (WHERE NOT is_free), 0) AS BIGINT) AS paid_ccu,
-           count(*) FILTER (WHERE is_free AND ccu > 0) AS free_with_ccu,
-           count(*) FILTER (WHERE NOT is_free AND ccu > 0) AS paid_with_ccu
-    FROM (SELECT g.app_id, {IS_FREE_EXPR} AS is_free, COALESCE(lc.concurrent_players, 0) AS ccu
-          FROM games g LEFT JOIN latest_ccu lc ON lc.app_id = g.app_id)""")]))
+    M.TOTALS_SQL))
 def free_paid_long(t):
     """Free/paid totals as one row per tier (chart form): games, CCU, shares and
     the complement share (100 - pct)."""
@@ -58,11 +50,21 @@ def free_paid_long(t):
 
 
 # A14 -----------------------------------------------------------------------
-@register("top_by_genre_nested")
-def top_by_genre_nested(t, k: int = 10):
+@register("top_by_genre_nested", f"""
+SELECT tag_name, string_agg(rn || ':' || app_id || ':' || name || ':' || concurrent_players || ':' || owners_estimate
+                            || ':' || COALESCE(CAST(is_free AS VARCHAR), '?'), '; ' ORDER BY rn) AS games
+FROM ({C._ranked_sql("genre", False)}) GROUP BY tag_name""", **C._GENRES)
+def top_by_genre_line(t, k: int = 10, **args):
+    """The nested lists as one line per genre, in rank order."""
+    parts = F.transform("games", lambda g: F.concat_ws(":", g.rn, g.app_id, g.name, g.concurrent_players, g.owners_estimate,
+                                                       F.coalesce(g.is_free.cast("string"), F.lit("?"))))
+    return top_by_genre_nested(t, k, **args).select("tag_name", F.array_join(parts, "; ").alias("games"))
+
+
+def top_by_genre_nested(t, k: int = 10, **args):
     """Per genre one row with its top ``k`` games as an ordered list of structs
     (the keyed object of the category page).  Lists hold at most ``k`` rows."""
-    r = C.top_by_genre(t, k=k)
+    r = C.top_by_genre(t, k=k, **args)
     return r.groupBy("tag_name").agg(F.sort_array(F.collect_list(
         F.struct("rn", "app_id", "name", "concurrent_players", "owners_estimate", "is_free"))).alias("games"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ludex.config import NEGATIVE_WORDS, POSITIVE_WORDS
 from ludex.functions.numeric import rnd
 from ludex.operators import text as TX
 from ludex.operators import vectors as V
@@ -38,8 +39,9 @@ FROM reviews_full r JOIN games g ON g.app_id = r.app_id,
      (SELECT review_embedding AS v FROM reviews_full WHERE review_id = {QUERY_REVIEW}) q
 WHERE r.review_embedding IS NOT NULL
 ORDER BY list_cosine_similarity(CAST(r.review_embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[])) DESC, r.review_id
-LIMIT 12"""))
-def review_search(t, query=None, k: int = 12, positive=TEST_POSITIVE, negative=TEST_NEGATIVE):
+LIMIT 12"""),
+          positive=TEST_POSITIVE, negative=TEST_NEGATIVE)
+def review_search(t, query=None, k: int = 12, positive=POSITIVE_WORDS, negative=NEGATIVE_WORDS):
     """Reviews nearest to a query vector by cosine, with game name, a 600-char
     snippet and the lexicon label (computed on the whole text)."""
     k = min(int(k), 30)  # the reference caps result size at 30
@@ -48,9 +50,11 @@ def review_search(t, query=None, k: int = 12, positive=TEST_POSITIVE, negative=T
     # top-k over (id, vector) only: the sort carries k small rows per task, no texts
     r = full.select("review_id", "app_id", "review_embedding").join(t["games"].select("app_id"), "app_id", "left_semi")
     top = V.knn(r, "review_embedding", q, k, out="_sim", tiebreak="review_id").select("review_id", "app_id", "_sim")
-    # then fetch text and name for the k hits only (k rows: broadcast side)
-    hits = (full.select("review_id", "is_positive", "review_text").join(F.broadcast(top), "review_id")
-                .join(t["games"].select("app_id", "name"), "app_id"))
+    # then reviews, texts and names, each cut to the k hits before anything is joined to it (k rows: broadcast)
+    hits = F.broadcast(top)
+    texts = t["review_texts"].join(hits.select("review_id"), "review_id")
+    hits = (t["reviews"].select("review_id", "is_positive").join(hits, "review_id")
+            .join(F.broadcast(texts), "review_id", "left").join(t["games"].select("app_id", "name"), "app_id"))
     hits = TX.with_lexicon(hits, "review_text", positive, negative)
     return hits.select("review_id", "app_id", "name", F.left(F.col("review_text"), F.lit(600)).alias("review_text"),
                        "is_positive", rnd(F.col("_sim"), 6).alias("similarity"),

@@ -1,6 +1,6 @@
 """The game-market star schema, derived from the synthetic test tables.
 
-Definitions follow FIXTURES.md section 4; ``plans/oracle.py`` holds the same
+Definitions follow FIXTURES.md section 4; ``plans/prelude.py`` holds the same
 definitions as DuckDB SQL.  Everything is lazy: a query only computes the
 tables (and columns) it touches.
 
@@ -144,10 +144,14 @@ def reviews(raw: Raw) -> DataFrame:
     )
 
 
+def review_texts(raw: Raw) -> DataFrame:
+    return raw["documents"].select(F.col("doc_id").alias("review_id"), F.col("text").alias("review_text"))
+
+
 def reviews_full(raw: Raw) -> DataFrame:
     """reviews with text (documents, doc_id = review_id) and embedding
     (embeddings, vec_id = review_id); both optional."""
-    texts = raw["documents"].select(F.col("doc_id").alias("review_id"), F.col("text").alias("review_text"))
+    texts = review_texts(raw)
     emb = raw["embeddings"].select(F.col("vec_id").alias("review_id"), F.col("embedding").alias("review_embedding"))
     return reviews(raw).join(texts, "review_id", "left").join(emb, "review_id", "left")
 
@@ -203,11 +207,12 @@ _BUILDERS = {
     "price_feed": price_feed,
     "price_history": price_history,
     "reviews": reviews,
+    "review_texts": review_texts,
     "reviews_full": reviews_full,
 }
 
 TABLES = ["developers", "games", "tags", "game_tags", "genres", "game_genres",
-          "player_counts", "price_feed", "price_history", "reviews", "reviews_full"]
+          "player_counts", "price_feed", "price_history", "reviews", "review_texts", "reviews_full"]
 
 
 def build(spark: SparkSession, sf_dir: str, stage: bool = False) -> Warehouse:

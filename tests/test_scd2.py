@@ -95,10 +95,11 @@ def _plain_collapse(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [None, 0, 90])
-def test_collapse_matches_brute_force(spark, hot):
+@pytest.mark.parametrize("unit", ["hour", "month", "century"])
+def test_collapse_matches_brute_force(spark, unit):
     rows = _random_feed()
-    got = scd2.collapse(spark.createDataFrame(rows, SCHEMA), KEYS, TRACKED, "ts", tiebreak=["seq"], hot_rows=hot)
+    got = scd2.collapse(spark.createDataFrame(rows, SCHEMA), KEYS, TRACKED, "ts", tiebreak=["seq"],
+                            bucket=F.date_trunc(unit, "valid_from"))
     assert sorted([tuple(r) for r in got.collect()], key=str) == _plain_collapse(rows)
 
 
@@ -154,13 +155,14 @@ def test_collapse_with_one_hot_key(spark):
         k = 0 if i % 3 else rnd.randrange(1, 30)          # key 0 holds two thirds of the feed
         day = dt.datetime(2022, 1, 1) + dt.timedelta(days=rnd.randrange(700), hours=rnd.randrange(24))
         rows.append((k, "USD", rnd.choice([D("1.00"), D("2.00"), D("3.00")]), rnd.choice([0, 5]), day, i))
-    for hot in [0, 100]:   # key 0 (600 rows) takes the bucketed path, the rest the plain one
-        got = scd2.collapse(spark.createDataFrame(rows, SCHEMA), KEYS, TRACKED, "ts", tiebreak=["seq"], hot_rows=hot)
+    for unit in ["hour", "month"]:
+        got = scd2.collapse(spark.createDataFrame(rows, SCHEMA), KEYS, TRACKED, "ts", tiebreak=["seq"],
+                            bucket=F.date_trunc(unit, "valid_from"))
         assert sorted([tuple(r) for r in got.collect()], key=str) == _plain_collapse(rows)
 
 
-@pytest.mark.parametrize("hot", [None, 0, 50])
-def test_as_of_join_matches_range_join(spark, hot):
+@pytest.mark.parametrize("unit", ["hour", "month", "century"])
+def test_as_of_join_matches_range_join(spark, unit):
     rows = _random_feed(n_keys=3, n=300, seed=21)
     hist = scd2.collapse(spark.createDataFrame(rows, SCHEMA), KEYS, TRACKED, "ts", tiebreak=["seq"])
     versions = [tuple(r) for r in hist.collect()]
@@ -169,7 +171,7 @@ def test_as_of_join_matches_range_join(spark, hot):
              for i, k in enumerate([rnd.randrange(3) for _ in range(200)])]
     fdf = spark.createDataFrame(facts, "app_id long, currency_code string, at timestamp_ntz, fid int")
     got = {r.fid: (r.price, r.discount_pct) for r in
-           scd2.as_of_join(fdf, hist, KEYS, "at", ["price", "discount_pct"], hot_rows=hot).collect()}
+           scd2.as_of_join(fdf, hist, KEYS, "at", ["price", "discount_pct"], bucket=F.date_trunc(unit, "_t")).collect()}
     want = {}
     for k, c, at, fid in facts:
         hit = [v for v in versions if v[0] == k and v[1] == c and v[4] <= at and (v[5] is None or v[5] > at)]

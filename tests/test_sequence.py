@@ -24,10 +24,10 @@ def test_lag_lead_match_window(spark):
     df = _data(spark)
     w = Window.partitionBy("k").orderBy("ts", "seq")
     ref = df.select("seq", F.lag("v").over(w).alias("p"), F.lead("v").over(w).alias("n")).collect()
-    for bucket, hot in [(None, 0), (F.to_date("ts"), 0), (None, None), (None, 150)]:
-        lag = S.lag_within(df, "k", ["ts", "seq"], ["v"], bucket=bucket, marker="has", hot_rows=hot) \
+    for bucket in (None, F.to_date("ts"), F.date_trunc("month", "ts"), F.lit(0)):
+        lag = S.lag_within(df, "k", ["ts", "seq"], ["v"], bucket=bucket, marker="has") \
             .select("seq", "prev_v", "has")
-        lead = S.lead_within(df, "k", ["ts", "seq"], ["v"], bucket=bucket, hot_rows=hot).select("seq", "next_v")
+        lead = S.lead_within(df, "k", ["ts", "seq"], ["v"], bucket=bucket).select("seq", "next_v")
         got_l = {r.seq: r.prev_v for r in lag.collect()}
         got_n = {r.seq: r.next_v for r in lead.collect()}
         assert {r.seq: r.p for r in ref} == got_l
@@ -38,16 +38,19 @@ def test_rolling_avg_matches_window(spark):
     df = _data(spark, seed=4)
     w = Window.partitionBy("k").orderBy("ts", "seq").rowsBetween(-6, 0)
     ref = {r.seq: r.a for r in df.select("seq", F.avg("v").over(w).alias("a")).collect()}
-    for bucket, hot in [(None, 0), (F.to_date("ts"), 0), (None, None), (None, 150)]:
+    for bucket in (None, F.to_date("ts"), F.date_trunc("month", "ts"), F.lit(0)):
         got = {r.seq: r.m for r in
-               S.rolling_avg(df, "k", ["ts", "seq"], "v", 7, "m", bucket=bucket, hot_rows=hot).collect()}
+               S.rolling_avg(df, "k", ["ts", "seq"], "v", 7, "m", bucket=bucket).collect()}
         assert ref.keys() == got.keys()
         for s in ref:
             assert (ref[s] is None and got[s] is None) or abs(ref[s] - got[s]) < 1e-9
 
 
-def test_split_hot(spark):
-    df = _data(spark)
-    light, heavy = S.split_hot(df, "k", 150)
-    assert {r.k for r in heavy.select("k").distinct().collect()} == {0}
-    assert light.count() + heavy.count() == df.count()
+def test_one_key_with_all_rows_in_a_month(spark):
+    df = spark.range(30_000).select(F.lit(1).alias("k"), F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("id") * 7919) % 2_400_000)
+                                    .cast("timestamp_ntz").alias("ts"), F.col("id").alias("seq"), (F.col("id") % 97).alias("v"))
+    w = Window.partitionBy("k").orderBy("ts", "seq")
+    plain = df.withColumn("prev_v", F.lag("v").over(w)).withColumn("next_v", F.lead("v").over(w))
+    got = S.lead_within(S.lag_within(df, "k", ["ts", "seq"], ["v"]), "k", ["ts", "seq"], ["v"])
+    digest = F.sum(F.xxhash64("seq", "prev_v", "next_v").bitwiseAND(F.lit(0xFFFFFF)))
+    assert got.agg(digest).first() == plain.agg(digest).first()
