@@ -2,25 +2,31 @@
 per-row upserts.
 
 Every operator is a join plan over whole tables: no per-row round trips, no
-collect.  Writes go through ``stage_and_swap`` (write a new version folder,
-then point readers at it), since plain Parquet has no MERGE.
+collect.  A new table state is written with ``publish`` and read with
+``published``, since plain Parquet has no MERGE.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ludex import config
+from ludex.session import checkpoint_dir
+
 
 def sequential_ids(df: DataFrame, order_col: str, id_col: str, start=0, partitions: int | None = None) -> DataFrame:
     """Dense ids ``start + 1, start + 2, ...`` in ``order_col`` order (values distinct).
 
     No single-task window: rows are range-partitioned by ``order_col``,
     numbered inside each range, and shifted by the row count of the earlier
-    ranges (a window over one row per partition)."""
+    ranges (a window over one row per partition).  The ranges come from a
+    sample, so the numbered rows are checkpointed: a second evaluation could
+    cut them elsewhere."""
+    checkpoint_dir(df.sparkSession)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     r = df.repartitionByRange(n, order_col).withColumn("_pid", F.spark_partition_id())
-    r = r.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(order_col)))
+    r = r.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(order_col))).checkpoint()
     counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offs = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -43,11 +49,22 @@ def assign_keys(dim: DataFrame, names: DataFrame, id_col: str, name_col: str) ->
     return known.unionByName(new)
 
 
-def upsert(target: DataFrame, updates: DataFrame, key, update_cols) -> DataFrame:
+def one_per_key(df: DataFrame, keys, order=(), last: bool = False) -> DataFrame:
+    """The first (or last) row of each key by ``order``, then by the other columns: a partial aggregate."""
+    rest = [*order, *[c for c in df.columns if c not in keys and c not in order]]
+    if not rest:
+        return df.distinct()
+    pick = F.max if last else F.min
+    return df.groupBy(*keys).agg(pick(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*df.columns)
+
+
+def upsert(target: DataFrame, updates: DataFrame, key, update_cols, order=()) -> DataFrame:
     """K2: insert new keys; for existing keys only ``update_cols`` change
-    (``ON CONFLICT DO UPDATE SET col = EXCLUDED.col``)."""
+    (``ON CONFLICT DO UPDATE SET col = EXCLUDED.col``).  Of several updates of a
+    key the last by ``order`` (columns of ``updates``; ties: the largest row) counts."""
     keys = [key] if isinstance(key, str) else list(key)
     cols = target.columns
+    updates = one_per_key(updates, keys, order, last=True)
     u = updates.select(*keys, *[F.col(c).alias("_u_" + c) for c in cols if c not in keys])
     j = target.withColumn("_t", F.lit(True)).join(u.withColumn("_n", F.lit(True)), keys, "full_outer")
     out = []
@@ -61,14 +78,26 @@ def upsert(target: DataFrame, updates: DataFrame, key, update_cols) -> DataFrame
     return j.select(*out)
 
 
-def insert_missing(target: DataFrame, new: DataFrame, key) -> tuple[DataFrame, DataFrame]:
+def insert_missing(target: DataFrame, new: DataFrame, key, order=()) -> tuple[DataFrame, DataFrame]:
     """K3-K6: insert-or-ignore on ``key``.  Returns (target after insert, the
-    rows really inserted) -- count the second for the loader's report."""
+    rows really inserted) -- count the second for the loader's report.  Of
+    several new rows of a key the first by ``order`` (ties: the smallest row) is kept."""
     keys = [key] if isinstance(key, str) else list(key)
-    fresh = new.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
+    fresh = one_per_key(new, keys, order).join(target.select(*keys), keys, "left_anti")
     return target.unionByName(fresh.select(*target.columns)), fresh
 
 
+def within_quota(reviews: DataFrame, quota: DataFrame, key: str = "app_id", newest: str = "review_time",
+                 tiebreak: str = "review_id") -> DataFrame:
+    """Each game's newest ``pages * per_page`` reviews.  The largest quota cuts hot
+    games on the map side (WindowGroupLimit); ``quota`` is (key, pages, per_page)."""
+    most = max(pages * per_page for _, pages, per_page in config.REVIEW_QUOTA)
+    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(newest), tiebreak)
+    r = reviews.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= most)
+    return (r.join(quota.select(key, (F.col("pages") * F.col("per_page")).alias("_most")), key)
+             .filter(F.col("_rn") <= F.col("_most")).drop("_rn", "_most"))
+
+
 def pending(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Resume ledger -- rows whose key is not in the ``done`` ledger."""
     return todo.join(done.select(key).distinct(), key, "left_anti")
@@ -79,10 +108,22 @@ def missing(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return df.join(other.select(key), key, "left_anti")
 
 
-def stage_and_swap(df: DataFrame, root: str, version: str) -> str:
-    """Write ``df`` to ``{root}/v={version}`` and return the path; readers take
-    the newest complete version (the _SUCCESS marker), so a failed job never
-    exposes a partial table."""
-    path = f"{root.rstrip('/')}/v={version}"
-    df.write.mode("overwrite").parquet(path)
-    return path
+def mark_done(done: DataFrame, key: str, ledger: str) -> None:
+    """Append keys that are done to the ledger (a Parquet folder); repeats do no harm."""
+    done.select(key).distinct().write.mode("append").parquet(ledger)
+
+
+def publish(df: DataFrame, root: str, version: int) -> None:
+    """Write a table's state as ``{root}/v={version}``, then list the version as published.
+
+    Readers see it only then, so a failed job never exposes a partial table; a
+    version written again replaces itself."""
+    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/v={version}")
+    df.sparkSession.range(1).select(F.lit(version).cast("bigint").alias("version")).write.mode("append").parquet(
+        f"{root.rstrip('/')}.published")
+
+
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """The table's newest published state."""
+    newest = spark.read.parquet(f"{root.rstrip('/')}.published").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{root.rstrip('/')}/v={newest}")

@@ -42,7 +42,14 @@ def audit(t) -> DataFrame:
         _row("pk", "game_tags", duplicate_keys(t["game_tags"], ["app_id", "tag_id"])),
         _row("fk_app", "game_tags", orphans(t["game_tags"], "app_id", t["games"], "app_id")),
         _row("fk_tag", "game_tags", orphans(t["game_tags"], "tag_id", t["tags"], "tag_id")),
+        _row("pk", "genres", duplicate_keys(t["genres"], "genre_id")),
+        _row("unique_name", "genres", duplicate_keys(t["genres"], "genre_name")),
+        *[_row("not_null_name", name, t[name].filter(F.col(col).isNull()))
+          for name, col in (("developers", "name"), ("tags", "tag_name"), ("genres", "genre_name"))],
         _row("pk", "game_genres", duplicate_keys(t["game_genres"], ["app_id", "genre_id"])),
+        _row("fk_app", "game_genres", orphans(t["game_genres"], "app_id", t["games"], "app_id")),
+        _row("fk_genre", "game_genres", orphans(t["game_genres"], "genre_id", t["genres"], "genre_id")),
+        _row("fk_app", "price_history", orphans(t["price_history"], "app_id", t["games"], "app_id")),
         _row("pk", "player_counts", duplicate_keys(t["player_counts"], ["app_id", "snapshot_time"])),
         _row("fk_app", "player_counts", orphans(t["player_counts"], "app_id", t["games"], "app_id")),
         _row("one_current", "price_history",

@@ -13,6 +13,8 @@ default here is a hashing encoder, since no model is installed).
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -71,72 +73,65 @@ def ann(df: DataFrame, id_col: str, vec_col: str, query_values, k: int, bucket_l
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str, vec: str, k: int,
-             exclude_self: bool = False, max_broadcast_rows: int = 20_000) -> DataFrame:
+             exclude_self: bool = False, block_rows: int = 4096) -> DataFrame:
     """V5: exact top-``k`` cosine neighbours in ``corpus`` for every query vector.
 
-    The query set is broadcast only behind a row-count check; a larger set is
-    split into hash chunks of at most about ``max_broadcast_rows`` rows, one
-    pass per chunk.  Every corpus Arrow batch computes one matrix product and
-    keeps its own top ``k`` per query (``argpartition``), so candidates are
-    k x queries x batches -- never all pairs; Spark then takes the exact top
-    ``k`` per query with ``row_number() <= k`` (WindowGroupLimit before the
-    shuffle).  Ties break on the corpus id.  Returns (q_id, c_id, similarity).
+    Both sides are cut into hash blocks of about ``block_rows`` rows, and every
+    block of queries meets every block of the corpus in one task: one matrix
+    product of bounded size, of which the best ``k`` a query are kept.  Spark
+    then takes the exact top ``k`` per query (``row_number() <= k``).  Ties
+    break on the corpus id.  Work is queries x corpus, so ``queries`` should be
+    a stated set; no vector passes through the driver and nothing is broadcast.
+    Vectors that are NULL or of length 0 have no neighbours.
+    Returns (q_id, c_id, similarity, rank).
     """
-    from functools import reduce
+    def side(df, id_col, name):
+        v = df.filter(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias(name), F.col(vec).alias("_v"))
+        n = F.greatest(F.ceil(F.count(F.lit(1)) / block_rows).cast("int"), F.lit(1))
+        return v, v.agg(n.alias("n")).scalar()
+
+    (q, n_q), (c, n_c) = side(queries, q_id, "_qid"), side(corpus, c_id, "_cid")
+
+    def blocks(v, id_col, own, n_own, other, n_other):
+        v = v.withColumn("_n", n_own).withColumn("_m", n_other)
+        return (v.withColumn(own, F.pmod(F.xxhash64(id_col), F.col("_n").cast("long")).cast("int"))
+                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).drop("_n", "_m"))
+
+    def unit(vectors):
+        m = np.stack(vectors.to_numpy()).astype(np.float64)
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(size == 0, np.nan, size)
+
+    def best(left, right):
+        if left.empty or right.empty:
+            return pd.DataFrame({"_qid": [], "_cid": [], "similarity": []}).astype({"_qid": "int64", "_cid": "int64"})
+        right = right.sort_values("_cid")
+        qids, cids = left["_qid"].to_numpy(np.int64), right["_cid"].to_numpy(np.int64)
+        sims = unit(left["_v"]) @ unit(right["_v"]).T
+        if exclude_self:
+            sims[qids[:, None] == cids[None, :]] = np.nan
+        sims = np.where(np.isnan(sims), -np.inf, sims)
+        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # ids ascend, so ties keep the smaller
+        value = np.take_along_axis(sims, top, axis=1).ravel()
+        keep = np.isfinite(value)
+        return pd.DataFrame({"_qid": np.repeat(qids, top.shape[1])[keep], "_cid": cids[top.ravel()][keep], "similarity": value[keep]})
 
     from pyspark.sql import Window
 
-    n_q = queries.filter(F.col(vec).isNotNull()).count()
-    n_chunks = max(1, -(-n_q // max_broadcast_rows))
-    c = corpus.filter(F.col(vec).isNotNull()).select(F.col(c_id).alias("_cid"), F.col(vec).alias("_v"))
-    schema = "_qid long, _cid long, similarity double"
-    parts = []
-    for chunk in range(n_chunks):
-        qs = queries.filter(F.col(vec).isNotNull())
-        if n_chunks > 1:
-            qs = qs.filter(F.pmod(F.xxhash64(F.col(q_id)), F.lit(n_chunks)) == chunk)
-        rows = qs.select(F.col(q_id).cast("long"), vec).collect()  # bounded by the check above
-        if not rows:
-            continue
-        q_ids = np.array([r[0] for r in rows], dtype=np.int64)
-        qm = np.array([r[1] for r in rows], dtype=np.float64)
-        qm = qm / np.where(np.linalg.norm(qm, axis=1, keepdims=True) == 0, 1,
-                           np.linalg.norm(qm, axis=1, keepdims=True))
-        bq = corpus.sparkSession.sparkContext.broadcast((q_ids, qm))
-
-        def top_per_batch(batches, bq=bq):
-            ids, qmat = bq.value
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                cm = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
-                cn = np.linalg.norm(cm, axis=1)
-                sims = (cm @ qmat.T) / np.where(cn == 0, np.nan, cn)[:, None]   # rows: corpus, cols: queries
-                cids = pdf["_cid"].to_numpy(dtype=np.int64)
-                if exclude_self:
-                    sims[cids[:, None] == ids[None, :]] = np.nan
-                sims = np.where(np.isnan(sims), -np.inf, sims)
-                kk = min(k, len(cids))
-                top = np.argpartition(-sims, kk - 1, axis=0)[:kk] if kk < len(cids) else \
-                    np.tile(np.arange(len(cids))[:, None], (1, len(ids)))
-                rr = top.ravel()
-                qq = np.tile(np.arange(len(ids)), kk)
-                vals = sims[rr, qq]
-                keep = np.isfinite(vals)
-                yield pd.DataFrame({"_qid": ids[qq[keep]], "_cid": cids[rr[keep]], "similarity": vals[keep]})
-        parts.append(c.mapInPandas(top_per_batch, schema))
-    cand = reduce(lambda a, b: a.unionByName(b), parts) if parts else \
-        corpus.sparkSession.createDataFrame([], schema)
+    cand = (blocks(q, "_qid", "_qb", n_q, "_cb", n_c).groupBy("_qb", "_cb")
+            .cogroup(blocks(c, "_cid", "_cb", n_c, "_qb", n_q).groupBy("_qb", "_cb"))
+            .applyInPandas(best, "_qid long, _cid long, similarity double"))
     w = Window.partitionBy("_qid").orderBy(F.desc("similarity"), F.asc("_cid"))
-    best = cand.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
-    return best.select(F.col("_qid").alias(q_id), F.col("_cid").alias(c_id), "similarity", F.col("_rn").alias("rank"))
+    out = cand.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
+    return out.select(F.col("_qid").alias(q_id), F.col("_cid").alias(c_id), "similarity", F.col("_rn").alias("rank"))
 
 
 def hashing_encoder(dim: int = 64):
     """Deterministic bag-of-words hashing encoder: texts -> unit vectors (float32).
 
-    Vectorised per Arrow batch: tokens of the whole batch are hashed at once
-    (``pandas.util.hash_array``, fixed key) and summed with one ``bincount``."""
+    A token's first eight hex digits of its md5 give its place and sign, so any
+    engine can compute the same vector.  Distinct tokens of an Arrow batch are
+    hashed once and summed with one ``bincount``."""
     token = r"[a-z0-9]+"
 
     def encode(texts: pd.Series) -> np.ndarray:
@@ -146,7 +141,8 @@ def hashing_encoder(dim: int = 64):
         out = np.zeros(n * dim, dtype=np.float64)
         if lens.sum():
             flat = np.concatenate([np.asarray(x, dtype=object) for x in toks.to_numpy() if len(x)])
-            h = pd.util.hash_array(flat)
+            codes, distinct = pd.factorize(flat)
+            h = np.array([int(md5(x.encode()).hexdigest()[:8], 16) for x in distinct], dtype=np.uint64)[codes]
             rows = np.repeat(np.arange(n, dtype=np.int64), lens)
             idx = rows * dim + (h % np.uint64(dim)).astype(np.int64)
             sign = np.where((h >> np.uint64(16)) & np.uint64(1), 1.0, -1.0)
@@ -164,18 +160,17 @@ def embed(df: DataFrame, text_col: str, out: str = "embedding", encoder=None, di
     ``batch_size`` (K12) caps rows per Arrow batch handed to the encoder
     (the reference encodes 500 texts at a time)."""
     encoder = encoder or hashing_encoder(dim)
-    if batch_size:
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(int(batch_size)))
     from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
     schema = StructType(df.schema.fields + [StructField(out, ArrayType(FloatType()), True)])
     cols = df.columns
 
     def run(batches):
-        for pdf in batches:
-            vecs = encoder(pdf[text_col])
-            pdf = pdf[cols].copy()
-            pdf[out] = list(np.asarray(vecs, dtype=np.float32))
-            yield pdf
+        for whole in batches:
+            step = batch_size or max(1, len(whole))
+            for i in range(0, len(whole), step):
+                pdf = whole[cols].iloc[i:i + step].copy()
+                pdf[out] = list(np.asarray(encoder(pdf[text_col].reset_index(drop=True)), dtype=np.float32))
+                yield pdf
     return df.mapInPandas(run, schema)
 
 

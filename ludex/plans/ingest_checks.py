@@ -97,7 +97,15 @@ def _audit_sql():
         ("pk", "game_tags", dup("game_tags", "app_id, tag_id")),
         ("fk_app", "game_tags", orphan("game_tags", "app_id", "games", "app_id")),
         ("fk_tag", "game_tags", orphan("game_tags", "tag_id", "tags", "tag_id")),
+        ("pk", "genres", dup("genres", "genre_id")),
+        ("unique_name", "genres", dup("genres", "genre_name")),
+        ("not_null_name", "developers", "(SELECT count(*) FROM developers WHERE name IS NULL)"),
+        ("not_null_name", "tags", "(SELECT count(*) FROM tags WHERE tag_name IS NULL)"),
+        ("not_null_name", "genres", "(SELECT count(*) FROM genres WHERE genre_name IS NULL)"),
         ("pk", "game_genres", dup("game_genres", "app_id, genre_id")),
+        ("fk_app", "game_genres", orphan("game_genres", "app_id", "games", "app_id")),
+        ("fk_genre", "game_genres", orphan("game_genres", "genre_id", "genres", "genre_id")),
+        ("fk_app", "price_history", orphan("price_history", "app_id", "games", "app_id")),
         ("pk", "player_counts", dup("player_counts", "app_id, snapshot_time")),
         ("fk_app", "player_counts", orphan("player_counts", "app_id", "games", "app_id")),
         ("one_current", "price_history", dup("price_history", "app_id, currency_code", "WHERE is_current")),
@@ -127,8 +135,7 @@ def assign_tag_keys(t):
     keep their ids, new names (brands, sizes, ...) get ids after the max."""
     part = t.raw["part"]
     words = part.select(F.explode(F.split("p_name", " ")).alias("tag_name")).distinct()
-    existing = words.select(F.row_number().over(Window.orderBy("tag_name")).cast("bigint").alias("tag_id"),
-                            "tag_name")
+    existing = IG.sequential_ids(words, "tag_name", "tag_id").select("tag_id", "tag_name")
     from ludex.sources.warehouse import game_tag_names
     return IG.assign_keys(existing, game_tag_names(t.raw).select("tag_name"), "tag_id", "tag_name")
 
@@ -161,6 +168,41 @@ def snapshot_insert(t):
     return inserted.agg(F.count(F.lit(1)).alias("inserted"))
 
 
+# K3 / K4 / K6 ----------------------------------------------------------------
+@register("stub_insert", sql("""
+SELECT app_id, name FROM games
+UNION ALL SELECT DISTINCT app_id + 7, 'App ' || (app_id + 7) FROM player_counts
+WHERE app_id + 7 NOT IN (SELECT app_id FROM games)"""))
+def stub_insert(t, shift: int = 7):
+    """Games after a load of snapshots (of ids moved by ``shift``): ids not known get a stub row."""
+    new = t["player_counts"].select((F.col("app_id") + shift).alias("app_id"))
+    new = new.withColumn("name", F.concat(F.lit("App "), F.col("app_id")))
+    return IG.insert_missing(t["games"].select("app_id", "name"), new, "app_id")[0]
+
+
+@register("bridge_insert", sql("""
+SELECT app_id, tag_id FROM game_tags UNION SELECT app_id, tag_id + 1 FROM game_tags"""))
+def bridge_insert(t):
+    """The tag bridge after a second load that repeats some links and brings new ones."""
+    links = t["game_tags"].select("app_id", "tag_id")
+    return IG.insert_missing(links, links.withColumn("tag_id", F.col("tag_id") + 1), ["app_id", "tag_id"])[0]
+
+
+@register("review_insert", sql("""
+SELECT review_id, min(playtime_at_review) AS playtime_at_review FROM (
+    SELECT review_id, playtime_at_review FROM reviews WHERE is_positive
+    UNION ALL SELECT review_id, playtime_at_review + 1 FROM reviews WHERE NOT is_positive
+    UNION ALL SELECT review_id, playtime_at_review + 2 FROM reviews WHERE NOT is_positive)
+GROUP BY review_id"""))
+def review_insert(t):
+    """Reviews after a load that brings every review twice, with other playtimes: stored ones
+    stay, of the others the row with the smaller playtime is kept."""
+    r = t["reviews"].select("review_id", "playtime_at_review", "is_positive")
+    stored = r.filter("is_positive").drop("is_positive")
+    new = [r.drop("is_positive").withColumn("playtime_at_review", F.col("playtime_at_review") + i) for i in (2, 1)]
+    return IG.insert_missing(stored, new[0].unionByName(new[1]), "review_id", order=["playtime_at_review"])[0]
+
+
 # S7 ------------------------------------------------------------------------
 @register("pending_games", sql("""
 SELECT g.app_id FROM games g WHERE g.app_id NOT IN (SELECT app_id FROM reviews)"""))
@@ -277,3 +319,15 @@ def review_quota(t):
     rest = g.join(top.select("app_id"), "app_id", "left_anti").withColumn("_rank", F.lit(last_tier))
     q = top.unionByName(rest).withColumn("_q", L.review_quota(F.col("_rank")))
     return q.select("app_id", F.col("_q.pages").alias("pages"), F.col("_q.per_page").alias("per_page"))
+
+
+@register("reviews_within_quota", sql(f"""
+SELECT review_id, app_id FROM reviews JOIN ({{quota}}) USING (app_id)
+QUALIFY row_number() OVER (PARTITION BY app_id ORDER BY review_time DESC NULLS LAST, review_id) <= most""".format(quota=f"""
+    SELECT app_id, CASE WHEN rk < 10 THEN 5 WHEN rk < 50 THEN 2 ELSE 1 END
+                   * CASE WHEN rk < 200 THEN 100 WHEN rk < 1000 THEN 50 ELSE 8 END AS most
+    FROM (SELECT app_id, row_number() OVER (ORDER BY COALESCE(concurrent_players, 0) DESC, app_id) - 1 AS rk
+          FROM games LEFT JOIN latest_ccu USING (app_id))"""), [LATEST_CCU_SQL]))
+def reviews_within_quota(t):
+    """Each game's newest reviews, as many as its quota allows."""
+    return IG.within_quota(t["reviews"], review_quota(t)).select("review_id", "app_id")

@@ -56,8 +56,8 @@ SELECT tag_name, string_agg(rn || ':' || app_id || ':' || name || ':' || concurr
 FROM ({C._ranked_sql("genre", False)}) GROUP BY tag_name""", **C._GENRES)
 def top_by_genre_line(t, k: int = 10, **args):
     """The nested lists as one line per genre, in rank order."""
-    parts = F.transform("games", lambda g: F.concat_ws(":", g.rn, g.app_id, g.name, g.concurrent_players, g.owners_estimate,
-                                                       F.coalesce(g.is_free.cast("string"), F.lit("?"))))
+    parts = F.transform("games", lambda g: F.concat_ws(":", g["rn"], g["app_id"], g["name"], g["concurrent_players"],
+                                                       g["owners_estimate"], F.coalesce(g["is_free"].cast("string"), F.lit("?"))))
     return top_by_genre_nested(t, k, **args).select("tag_name", F.array_join(parts, "; ").alias("games"))
 
 

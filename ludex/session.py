@@ -56,10 +56,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and staged tables.
 
     Uses ``spark.checkpoint.dir`` when the cluster names one; otherwise
-    (tests, local runs) creates a scratch folder and registers it.
+    (tests, local runs) creates a scratch folder and registers it.  Off a local
+    master a machine's own folder isn't shared: that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="ludex-ckpt-", dir=os.environ.get("LUDEX_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

@@ -11,6 +11,7 @@ player_counts, price_feed, price_history, reviews, reviews_full.
 from __future__ import annotations
 
 from decimal import Decimal
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -156,18 +157,19 @@ def reviews_full(raw: Raw) -> DataFrame:
     return reviews(raw).join(texts, "review_id", "left").join(emb, "review_id", "left")
 
 
-# Derived tables that are costly to recompute and read several times per
-# query: staged once (reliable checkpoint) when the warehouse is derived on the fly.
+# Derived tables that are costly to recompute and read several times per query:
+# stored once per session when the warehouse is derived on the fly.
+_STORED: set[tuple[str, str]] = set()
 STAGED = {"price_history", "tags", "genres", "game_tags", "game_genres", "player_counts"}
 
 
 class Warehouse(dict):
     """Lazy name -> DataFrame mapping of the star schema.
 
-    With ``stage=True`` the tables in ``STAGED`` are computed once on first
-    use and checkpointed into the session's shared checkpoint folder (the
-    on-the-fly stand-in for the stored tables of an ingest job), so a query
-    that reads price history in five places derives it once."""
+    With ``stage=True`` the tables in ``STAGED`` are written on their first use
+    in a session into its shared checkpoint folder, in their stored layout (the
+    stand-in for the tables of an ingest job).  All later queries of the session
+    scan those files, with pruning and pushdown."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, stage: bool = False):
         super().__init__()
@@ -175,9 +177,24 @@ class Warehouse(dict):
         self.spark = spark
         self.sf_dir = sf_dir
         self.stage = stage
+        self.pending: set[str] = set()
+
+    def _store(self, name: str) -> None:
+        from ludex.session import checkpoint_dir
+        kind = f"{self.spark.sparkContext.applicationId}-{md5(self.sf_dir.encode()).hexdigest()[:12]}"
+        root = f"{checkpoint_dir(self.spark)}/warehouse-{kind}"
+        if (root, name) in _STORED:
+            self[name] = Materialized(self.spark, root)[name]
+        else:
+            materialize(self, root, [name])
+            _STORED.add((root, name))
 
     def __missing__(self, name: str) -> DataFrame:
         raw = self.raw
+        if self.stage and name in STAGED and name not in self.pending:
+            self.pending.add(name)
+            self._store(name)
+            return self[name]
         if name == "tags":
             df = _dimension(game_tag_names(raw), "tag_name", "tag_id")
         elif name == "game_tags":
@@ -192,10 +209,6 @@ class Warehouse(dict):
             df = _BUILDERS[name](raw)
         else:
             raise KeyError(name)
-        if self.stage and name in STAGED:
-            from ludex.session import checkpoint_dir
-            checkpoint_dir(self.spark)
-            df = df.checkpoint(eager=True)
         self[name] = df
         return df
 

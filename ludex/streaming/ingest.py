@@ -29,6 +29,7 @@ from ludex.sources import files as FS
 
 
 # T1 ------------------------------------------------------------------------
+GAME_TABLE_SCHEMA = "app_id bigint, name string"
 SNAP_TABLE_SCHEMA = "app_id bigint, snapshot_time timestamp, concurrent_players int, owners_estimate string"
 PRICE_TABLE_SCHEMA = ("app_id bigint, currency_code string, price decimal(10,2), discount_pct int, "
                       "valid_from timestamp, valid_to timestamp, is_current boolean")
@@ -43,11 +44,12 @@ def snapshot_stream(spark: SparkSession, src_dir: str, out_dir: str, checkpoint:
 
     def process(batch: DataFrame, batch_id: int):
         sess = batch.sparkSession
+        now = _batch_time(sess, f"{out_dir}/batch_times/batch={batch_id}")
         ts = F.when(F.col("snapshot_time").isNull() | (F.col("snapshot_time") == ""), F.lit(None)) \
               .otherwise(F.col("snapshot_time"))
         rows = batch.select(
             F.col("app_id").cast("bigint").alias("app_id"),
-            F.coalesce(F.to_timestamp(ts), F.current_timestamp()).alias("snapshot_time"),
+            F.coalesce(F.to_timestamp(ts), F.lit(now)).alias("snapshot_time"), "name",
             F.coalesce(F.nullif(F.col("owners"), F.lit("")), F.lit("0")).alias("owners_estimate"),
             (F.coalesce(F.col("price"), F.lit(0.0)) / 100).cast("decimal(10,2)").alias("price"),
             F.coalesce(F.col("discount"), F.lit(0.0)).cast("int").alias("discount_pct"))
@@ -59,7 +61,12 @@ def snapshot_stream(spark: SparkSession, src_dir: str, out_dir: str, checkpoint:
         hist = _latest_version(sess, prices_path, PRICE_TABLE_SCHEMA, batch_id)
         feed = rows.select("app_id", F.lit("USD").alias("currency_code"), "price", "discount_pct",
                            F.col("snapshot_time").alias("ts"))
-        new_hist, _late = scd2.apply(hist, feed, ["app_id", "currency_code"], ["price", "discount_pct"], "ts")
+        new_hist, _late = scd2.apply(hist, feed, ["app_id", "currency_code"], ["price", "discount_pct"], "ts",
+                                     tiebreak=["price", "discount_pct"])
+        # ids not known yet get a stub row
+        stubs = rows.select("app_id", F.coalesce("name", F.concat(F.lit("app_"), F.col("app_id"))).alias("name"))
+        games, _ = IG.insert_missing(_latest_version(sess, f"{out_dir}/games", GAME_TABLE_SCHEMA, batch_id), stubs, "app_id")
+        games.write.mode("overwrite").parquet(f"{out_dir}/games/batch={batch_id}")
         snaps.write.mode("overwrite").parquet(f"{snaps_path}/batch={batch_id}")
         new_hist.write.mode("overwrite").parquet(f"{prices_path}/batch={batch_id}")
 
@@ -67,6 +74,13 @@ def snapshot_stream(spark: SparkSession, src_dir: str, out_dir: str, checkpoint:
                .trigger(availableNow=True).start())
 
 
+def _batch_time(spark: SparkSession, path: str):
+    """One time per batch id, stored: a batch that runs again has the same one."""
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        spark.range(1).select(F.current_timestamp().alias("at")).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).first()["at"]
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     """Path check through the Hadoop FileSystem (works for HDFS / object stores)."""
     jvm = spark.sparkContext._jvm
@@ -144,7 +158,7 @@ def _scd2_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iter
     row before it (the first from the stored state); each opening closes the
     previous open version at its time."""
     app_id, currency = key
-    rows = pd.concat(list(pdfs)).sort_values("ts", kind="stable").reset_index(drop=True)
+    rows = pd.concat(list(pdfs)).sort_values(["ts", "price", "discount_pct"]).reset_index(drop=True)
     rows["price"] = rows["price"].astype("float64")
     rows["discount_pct"] = rows["discount_pct"].astype("float64")
     have = state.exists
@@ -194,4 +208,4 @@ def scd2_stream(feed: DataFrame) -> DataFrame:
     source) so a hot key's group stays bounded."""
     return feed.groupBy("app_id", "currency_code").applyInPandasWithState(
         _scd2_state_fn, outputStructType=SCD2_OUT, stateStructType=SCD2_STATE,
-        outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
+        outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout).withColumn("price", F.col("price").cast("decimal(10,2)"))

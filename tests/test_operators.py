@@ -21,6 +21,19 @@ def test_walk_paths_and_cycle_guard(spark):
     assert H.walk(cyc, H.roots_of(cyc)).count() == 2  # id 1 again below B: guard stops the loop
 
 
+def test_walk_has_no_depth_limit(spark):
+    chain = spark.createDataFrame([(i, f"n{i}", i - 1 if i else None) for i in range(106)],
+                                  "dev_id long, name string, parent_dev_id long").repartition(1)
+    got = H.walk(chain, H.roots_of(chain))
+    assert got.agg(F.count("dev_id"), F.max("depth")).first()[:] == (106, 105)
+
+
+def test_seed_gives_a_child_to_its_first_parent(spark):
+    nodes = spark.createDataFrame([(1, "c", None)], "dev_id long, name string, parent_dev_id long")
+    got = sorted(tuple(r) for r in H.seed(nodes, {"p": ["c"], "q": ["c"]}).collect())
+    assert got == [(1, "c", 2), (2, "p", None), (3, "q", None)]
+
+
 def test_walk_linked_only(spark):
     nodes = spark.createDataFrame([(1, "A", None), (2, "B", 1), (9, "Lone", None)], NODES)
     assert [r.name for r in H.roots_of(nodes, linked_only=True).collect()] == ["A"]
@@ -85,6 +98,53 @@ def test_ingest_ops(spark):
     assert [r.k for r in IG.pending(upd, tgt, "k").collect()] == [2]
 
 
+def test_ingest_keeps_one_row_a_key(spark):
+    tgt = spark.createDataFrame([(1, "A", 10.0)], "k long, name string, price double")
+    new = spark.createDataFrame([(2, "B", 7.0), (2, "C", 6.0), (2, "B", 8.0), (1, "Z", 1.0), (1, "Y", 2.0)], tgt.schema)
+    merged, _ = IG.insert_missing(tgt, new, "k", order=["price"])
+    assert sorted(tuple(r) for r in merged.collect()) == [(1, "A", 10.0), (2, "C", 6.0)]
+    out = IG.upsert(tgt, new, "k", ["price"], order=["price"])
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "A", 2.0), (2, "B", 8.0)]
+
+
+def test_publish_and_ledger(spark, tmp_path):
+    root = str(tmp_path / "games")
+    for version, n in ((1, 3), (2, 5), (2, 4)):
+        IG.publish(spark.range(n), root, version)
+    spark.range(9).write.parquet(f"{root}/v=3")  # written, never published
+    assert IG.published(spark, root).count() == 4
+    ledger = str(tmp_path / "done")
+    for ids in (range(3), range(2, 5)):
+        IG.mark_done(spark.createDataFrame([(i,) for i in ids], "k long"), "k", ledger)
+    left = IG.pending(spark.range(7).withColumnRenamed("id", "k"), spark.read.parquet(ledger), "k")
+    assert sorted(r.k for r in left.collect()) == [5, 6]
+
+
+def test_function_defaults_are_the_fixed_values():
+    from inspect import signature
+
+    from ludex import config
+    from ludex.plans import categories, market, reviews, search, tags
+
+    def default(fn, name):
+        return signature(fn).parameters[name].default
+    for fn in (market.top_games, market.top_free, tags.busy_niches, categories.leaderboard, categories.top_by_genre,
+               categories.category_niches, categories.category_pick, categories.genre_mix):
+        assert default(fn, "filters") is config.DEFAULT_FILTERS
+    for fn in (reviews.review_bombs_soft, reviews.review_bombs_feed):
+        assert (default(fn, "min_reviews"), default(fn, "threshold")) == (5, 2.0)
+    for fn in (reviews.review_lexicon, search.review_search):
+        assert (default(fn, "positive"), default(fn, "negative")) == (config.POSITIVE_WORDS, config.NEGATIVE_WORDS)
+    assert default(categories.category_genres, "genres") is config.OFFICIAL_GENRES
+    assert default(categories.category_niches, "niches") is config.NICHE_TAGS
+
+
+def test_knn_join_ties_keep_the_smaller_id(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(20)], "id long, v array<double>").repartition(4)
+    got = V.knn_join(df.filter("id < 2"), df, "id", "id", "v", 3, exclude_self=True, block_rows=4).collect()
+    assert sorted((r[0], r[1]) for r in got) == [(0, 2), (0, 4), (0, 6), (1, 3), (1, 5), (1, 7)]
+
+
 def test_constraint_audit_on_sf0001(spark):
     from ludex.operators import quality as Q
     from ludex.sources.warehouse import build
@@ -98,7 +158,7 @@ def test_knn_join_exact_with_chunks(spark):
     rng = np.random.default_rng(5)
     m = rng.normal(size=(120, 6))
     df = spark.createDataFrame([(i, m[i].tolist()) for i in range(120)], "id long, v array<double>").repartition(3)
-    got = V.knn_join(df, df, "id", "id", "v", 3, exclude_self=True, max_broadcast_rows=25)  # 5 query chunks
+    got = V.knn_join(df, df, "id", "id", "v", 3, exclude_self=True, block_rows=25)  # 5 x 5 blocks
     rows = got.collect()
     nm = m / np.linalg.norm(m, axis=1, keepdims=True)
     sims = nm @ nm.T
