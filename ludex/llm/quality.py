@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     kind = docs.schema[key].dataType.simpleString()
     sample = labelled_sample(docs.select(key, F.col(text).alias("text")), labels, label, key, rows, modulus, held)
     got = sample.mapInArrow(run, f"key {kind}, y int, c array<float>").toArrow().sort_by("key")
-    counts = np.array(got.column("c").to_pylist(), np.float32).reshape(-1, TERMS)
+    counts = got.column("c").combine_chunks().flatten().to_numpy().reshape(-1, TERMS)
     return build(counts, np.array(got.column("y").to_pylist(), np.float64), dims)
 
 

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import crc_bucket, texts
@@ -76,7 +77,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: in
     if len(set(labels.tolist())) < 2:
         share = (labels.sum() + 0.5) / (len(labels) + 1)
         return Model(np.zeros(buckets), float(math.log(share / (1 - share))))
-    seen = np.bincount(np.concatenate([at for at, _ in rows]), minlength=buckets)
+    seen = np.zeros(buckets, np.int64)
+    for at, _ in rows:
+        seen[at] += 1
     idf = (np.log(len(rows) / (1 + seen)) ** 2).clip(0.05).astype(np.float32)
     rng = np.random.default_rng(seed)
     p = {"e": rng.normal(0, 0.1, (buckets, dim)), "w": rng.normal(0, 0.3, (dim, 2)), "b": np.zeros(2)}
@@ -170,12 +173,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     kind = docs.schema[key].dataType.simpleString()
     sample = labelled_sample(docs.select(key, F.col(text).alias("text")), labels, label, key, rows, modulus, held)
     got = sample.mapInArrow(run, f"key {kind}, y int, at array<int>, weight array<float>").toArrow()
-    got = got.sort_by("key")  # the same model however the rows arrive
-    at, weight = (got.column(c).combine_chunks() for c in ("at", "weight"))
-    ends = at.offsets.to_numpy()
-    at, weight = at.values.to_numpy(), weight.values.to_numpy()
-    bags = [(at[a:b], weight[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-    return train(bags, np.array(got.column("y").to_pylist(), np.int64))
+    bags = []  # views of the collected rows: they are held once
+    for batch in got.to_batches():
+        at, weight = batch.column("at"), batch.column("weight")
+        ends = at.offsets.to_numpy()
+        at, weight = at.values.to_numpy(), weight.values.to_numpy()
+        bags.extend((at[a:b], weight[a:b]) for a, b in zip(ends[:-1], ends[1:]))
+    order = pc.sort_indices(got.column("key")).to_pylist()  # the same model however the rows arrive
+    labels_of = got.column("y").to_pylist()
+    return train([bags[i] for i in order], np.array([labels_of[i] for i in order], np.int64))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", modulus: int = 4, held: int = 2,
