@@ -245,3 +245,10 @@ def test_classifiers(spark, docs, empty, module, label):
     assert len(scored) == len(rows()) and all(0 <= r.score <= 1 for r in scored)
     assert module.keep(docs, model).columns == docs.columns
     assert module.score(empty, module.fit(empty, labels)).count() == 0
+
+
+def test_labelled_sample_is_bounded_where_keys_repeat(spark):
+    docs = spark.createDataFrame([(1, "b")] * 50 + [(1, "a"), (2, None), (3, "c")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1) for i in (1, 1, 2, 3, 9)], "doc_id bigint, toxic int")
+    got = toxicity.labelled_sample(docs, labels, "toxic", "doc_id", 2, 4, 99).collect()
+    assert len(got) == 2 and all(r.text in {1: ("a",), 2: (None,), 3: ("c",)}[r.key] for r in got)
