@@ -201,11 +201,14 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     cut = (spans.groupBy("mark", "place", "sid", "pass")
            .agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("_cuts"))
            .select("mark", "_cuts"))
-    marked = docs.withColumn("mark", F.xxhash64(F.col(key), F.col(text))).dropDuplicates(["mark"])
-    words = F.split(F.regexp_replace(F.col(text), r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    # a row travels as one struct, so no column of docs can clash with the operator's own
+    marked = (docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(key), F.col(text)).alias("mark"))
+              .dropDuplicates(["mark"]))
+    words = F.split(F.regexp_replace(F.col("row")[text], r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     kept = F.array_join(F.flatten(F.transform("_cuts", lambda c: F.slice(
-        F.col("_words"), (c["from_word"] + 1).cast("int"), c["n_words"].cast("int")))), "")
-    out = marked.join(cut, "mark").withColumn("_words", words).withColumn(text, kept)
+        F.col("words"), (c["from_word"] + 1).cast("int"), c["n_words"].cast("int")))), "")
+    out = marked.join(cut, "mark").withColumn("words", words).withColumn("kept", kept)
+    changed = {text: F.col("kept")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

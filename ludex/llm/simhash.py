@@ -180,8 +180,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     can't name a group; they stay.
     """
     groups = simhash_groups(docs, key, text, shingle, max_bits)
-    keep = groups.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    order = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_first())
-    named = (docs.where(F.col(key).isNotNull()).join(keep, key, "left_semi").select(*docs.columns)
-             .withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy"))
+    keep = groups.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("key")).distinct()
+    order = Window.partitionBy("key").orderBy(F.col("row")[text].asc_nulls_first())
+    # a row travels as one struct, so no column of docs can clash with the operator's own
+    named = (docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.struct(*docs.columns).alias("row"))
+             .join(keep, "key", "left_semi")
+             .withColumn("copy", F.row_number().over(order)).where("copy = 1")
+             .select(*[F.col("row")[c].alias(c) for c in docs.columns]))
     return named.unionByName(docs.where(F.col(key).isNull()))
