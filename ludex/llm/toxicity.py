@@ -161,27 +161,36 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, ro
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
         rows: int = 6000, modulus: int = 4, held: int = 2) -> Model:
-    """Train on at most ``rows`` labelled rows.  Only their sparse bags reach the driver: at
-    most ``rows`` times ``BUCKETS`` numbers."""
-    def run(batches):
+    """Train on at most ``rows`` labelled rows.  Their sparse bags (at most ``rows`` times
+    ``BUCKETS`` numbers) meet in one task, which trains; the driver gets the pulls alone, one
+    number a bucket.  A lost task trains the same model again: rows are taken by key."""
+    def bags(batches):
         for b in batches:
-            bags = [bag(t) for t in texts(b, "text")]
+            each = [bag(t) for t in texts(b, "text")]
             yield pa.RecordBatch.from_arrays(
-                [b.column("key"), b.column("y"), pa.array([x[0] for x in bags], pa.list_(pa.int32())),
-                 pa.array([x[1] for x in bags], pa.list_(pa.float32()))], names=["key", "y", "at", "weight"])
+                [b.column("key"), b.column("y"), pa.array([x[0] for x in each], pa.list_(pa.int32())),
+                 pa.array([x[1] for x in each], pa.list_(pa.float32()))], names=["key", "y", "at", "weight"])
+
+    def learn(batches):
+        rows_of, keys, marks = [], [], []  # rows are views of the batches: they are held once
+        for b in batches:
+            at, weight = b.column("at"), b.column("weight")
+            ends = at.offsets.to_numpy()
+            at, weight = at.values.to_numpy(), weight.values.to_numpy()
+            rows_of.extend((at[s:e], weight[s:e]) for s, e in zip(ends[:-1], ends[1:]))
+            keys.append(b.column("key"))
+            marks.extend(b.column("y").to_pylist())
+        order = pc.sort_indices(pa.chunked_array(keys)).to_pylist() if keys else []
+        model = train([rows_of[i] for i in order], np.array([marks[i] for i in order], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([model.pull], pa.list_(pa.float64())), pa.array([model.bias])], names=["pull", "bias"])
 
     kind = docs.schema[key].dataType.simpleString()
     sample = labelled_sample(docs.select(key, F.col(text).alias("text")), labels, label, key, rows, modulus, held)
-    got = sample.mapInArrow(run, f"key {kind}, y int, at array<int>, weight array<float>").toArrow()
-    bags = []  # views of the collected rows: they are held once
-    for batch in got.to_batches():
-        at, weight = batch.column("at"), batch.column("weight")
-        ends = at.offsets.to_numpy()
-        at, weight = at.values.to_numpy(), weight.values.to_numpy()
-        bags.extend((at[a:b], weight[a:b]) for a, b in zip(ends[:-1], ends[1:]))
-    order = pc.sort_indices(got.column("key")).to_pylist()  # the same model however the rows arrive
-    labels_of = got.column("y").to_pylist()
-    return train([bags[i] for i in order], np.array([labels_of[i] for i in order], np.int64))
+    got = (sample.mapInArrow(bags, f"key {kind}, y int, at array<int>, weight array<float>").repartition(1)
+           .mapInArrow(learn, "pull array<double>, bias double").toArrow())
+    if not got.num_rows:  # no task ran, as no row is labelled
+        return train([], np.zeros(0, np.int64))
+    return Model(got.column("pull").combine_chunks().flatten().to_numpy(), got.column("bias")[0].as_py())
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", modulus: int = 4, held: int = 2,
