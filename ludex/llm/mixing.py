@@ -149,8 +149,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, block_words: int = 128,
         shard_slots: int = 4096, seed: int = 23) -> tuple[DataFrame, DataFrame]:
     """(placed, spans).  ``placed``: every row as (key, mark, sid, source_size, target, size,
-    place).  ``spans``: the mix, as (shard, sid, slot, pass, place, key, mark, from_word, n_words):
-    the words each slot takes from each row; ``from_word`` counts from 0.
+    place).  ``spans``: the mix, as (shard, sid, slot, pass, place, key, mark, size, from_word,
+    n_words): the words each slot takes from each row of ``size``; ``from_word`` counts from 0.
 
     Every word is in one block of its source; a pass takes every block once, so no row gives
     more than ceil(target / source_size) <= 2 times its words.  Taken words differ from the
@@ -172,7 +172,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     spans = (chosen.join(blocks, ["sid", "block"])
              .withColumn("hi", F.least(F.col("hi"), F.col("block") * block_words + F.col("words")))
              .where("hi > lo")
-             .select("shard", "sid", "slot", "pass", "place", "key", "mark", (F.col("lo") - F.col("place")).alias("from_word"),
+             .select("shard", "sid", "slot", "pass", "place", "key", "mark", "size", (F.col("lo") - F.col("place")).alias("from_word"),
                      (F.col("hi") - F.col("lo")).alias("n_words")))
     return placed, spans
 
@@ -199,15 +199,19 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     """
     _, spans = mix(docs, key, text, source, **options)
     cut = (spans.groupBy("mark", "place", "sid", "pass")
-           .agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("_cuts"))
-           .select("mark", "_cuts"))
+           .agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("_cuts"),
+                (F.sum("n_words") == F.max("size")).alias("_whole"))
+           .select("mark", "_cuts", "_whole"))
     # a row travels as one struct, so no column of docs can clash with the operator's own
     marked = (docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(key), F.col(text)).alias("mark"))
               .dropDuplicates(["mark"]))
-    words = F.split(F.regexp_replace(F.col("row")[text], r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    kept = F.array_join(F.flatten(F.transform("_cuts", lambda c: F.slice(
-        F.col("words"), (c["from_word"] + 1).cast("int"), c["n_words"].cast("int")))), "")
-    out = marked.join(cut, "mark").withColumn("words", words).withColumn("kept", kept)
+    clean = F.regexp_replace(F.col("row")[text], r"^[\x20\x09-\x0D]+", "")
+    words = F.split(clean, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    # the outer transform binds the words to a variable: the text is split once, not once a cut
+    pieces = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_cuts", lambda c: F.slice(
+        w, (c["from_word"] + 1).cast("int"), c["n_words"].cast("int")))), ""))[0]
+    # a row taken whole needs no split
+    out = marked.join(cut, "mark").withColumn("kept", F.when(F.col("_whole"), clean).otherwise(pieces))
     changed = {text: F.col("kept")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
