@@ -11,7 +11,7 @@ import pytest
 pytest.importorskip("ludex.llm")
 
 import corpus_pipeline as pipeline
-from ludex.llm import quality, simhash, toxicity
+from ludex.llm import mixing, quality, simhash, toxicity
 from ludex.llm.encoding import default_path
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -125,6 +125,19 @@ def test_mix_takes_whole_words_in_order(spark, folder):
     assert Counter((r.doc_id, r.text) for r in got) == keyed(pipeline.mix_sources(spark, docs, folder))
 
 
+def test_mix_texts_are_their_spans(spark, folder):
+    """Every row of the mix, whole or cut, is its spans' words with the white space after them."""
+    docs = read(spark, folder).dropDuplicates(["doc_id"])
+    texts = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", r.text or "") for r in docs.collect()}
+    cuts = {}
+    for r in mixing.mix(docs)[1].collect():
+        assert r["size"] == len(texts[r["key"]])
+        cuts.setdefault((r["key"], r["pass"]), []).append((r["from_word"], r["n_words"]))
+    want = Counter((k, "".join(w for a, n in sorted(c) for w in texts[k][a:a + n])) for (k, _), c in cuts.items())
+    assert any(0 < sum(n for _, n in c) < len(texts[k]) for (k, _), c in cuts.items())
+    assert keyed(mixing.mixed_documents(docs)) == want
+
+
 def test_run_is_its_stages_in_turn(spark, folder):
     from tokenizers import Tokenizer
 
