@@ -1,42 +1,48 @@
 """Language-model scores by prediction by partial matching.
 
-The model is a trie of byte contexts trained on the corpus.  A token (a word and its end, or
-the end of the text) is coded byte by byte; the contexts of a byte are the bytes before it in
-its word, at most ``ORDER`` of them, the word's start included.  A byte unseen in its longest
-context escapes to the next shorter one (escape method D: half a count of every different
-byte seen there), where the bytes seen in the longer contexts are excluded; below the empty
-context all remaining symbols are equally likely.  Above the trie stands one level whose
-symbols are whole tokens: a token takes its training count less a half, and the halves are
-the escape to its spelling by the trie.  Contexts of three and more symbols
-are hashed to ``SLOTS`` slots: contexts that meet share their counts, and every slot still
-gives probabilities that sum to 1.  The trie therefore has at most
-(1 + 259 + 259^2 + 2 * 2^15) * 258 counts whatever the corpus, and far fewer in practice.
-
-A word's probability depends on the word alone.  So the corpus is reduced to its distinct
-tokens, each is scored once, and the scores return to chunks of documents by a join on
-(chunk, token): per chunk, not per document.
+Every byte of a text as it stands, white space included, and the text's end are coding steps.
+The contexts of a step are the ``ORDER`` symbols before it and all their shorter endings, down
+to the empty one; they cross word borders, and before the text's first byte lie start symbols.
+A symbol unseen in its longest context that training has seen escapes to the next shorter one
+(escape method D: half a count of every different symbol seen there), where the symbols seen in
+the longer contexts are excluded; below the empty context all remaining symbols are equally
+likely.
+
+Counts are exact and have no cap: a context and its symbol are ``ORDER + 1`` digits of
+``BITS`` bits in one long, a gram.  The grams and their training counts are a Spark table that grows with
+the corpus (``gram_counts``).  What a context excludes from the next shorter one depends on the
+context alone, so the probability of a gram follows from that of its ending by one join a
+length (``coded``): no key there has more than ``SYMBOLS`` rows, and nothing goes through the
+driver.  The log probabilities return to chunks of documents by a join on (chunk, gram).
+Chunks hold about ``CHUNK_BYTES`` of text whatever the corpus.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import crc_bucket, parts, stored, texts
 
-ORDER = 4
-SLOTS = 1 << 15
-WORD_END, TEXT_END, START = 256, 257, 258
-SYMBOLS = 258
+ORDER = 5
+TEXT_END, START = 256, 257
+#: What can be coded: the bytes and the text's end.
+SYMBOLS = 257
+#: Bits of a symbol in a gram.
+BITS = 9
 #: Escape method D: every symbol seen in a context gives this much of its count to the escape.
 DISCOUNT = 0.5
 #: Coding steps handled at once.
-BLOCK = 8192
+BLOCK = 1 << 22
+#: Text bytes of a chunk of documents.
+CHUNK_BYTES = 1 << 25
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -46,69 +52,79 @@ def tokens(text: bytes) -> list[bytes]:
     return out
 
 
+def grams(given: list[bytes], block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, sizes, grams) blocks: the steps of the texts in order, ``sizes`` of them for each
+    of ``rows``.  A text of more steps than a block (at least ORDER)
+    goes on in the next one."""
+    def made(pieces):
+        rows, first, last, parts_ = zip(*pieces)
+        width = np.fromiter(map(len, parts_), np.int64, len(parts_))
+        at = np.cumsum(width) - width
+        symbol = np.frombuffer(b"".join(parts_), np.uint8).astype(np.int64)
+        ahead = at[:, None] + np.arange(ORDER)
+        symbol[ahead[np.array(first)].ravel()] = START
+        symbol[(at + width - 1)[np.array(last)]] = TEXT_END
+        gram = symbol.copy()
+        for k in range(1, ORDER + 1):
+            gram[k:] |= symbol[:-k] << (BITS * k)
+        own = np.ones(len(symbol), bool)
+        own[ahead.ravel()] = False
+        return np.array(rows), width - ORDER, gram[own]
+
+    pieces, held = [], 0
+    for i, t in enumerate(given):
+        for s in range(0, len(t) + 1, block):
+            last = s + block > len(t)
+            ahead = bytes(ORDER) if s == 0 else t[s - ORDER:s]
+            pieces.append((i, s == 0, last, ahead + t[s:s + block] + b"\0" * last))
+            held += len(pieces[-1][3])
+            if held >= block:
+                yield made(pieces)
+                pieces, held = [], 0
+    if pieces:
+        yield made(pieces)
+
+
 @dataclass
 class Events:
-    """The coding steps of some tokens: per step its token, symbol, and slot in every order
-    (-1 where the token's start is nearer)."""
+    """The coding steps of some texts: per step its text, symbol, and context in every order."""
     token: np.ndarray
     symbol: np.ndarray
     slots: list[np.ndarray]
 
 
-def events(words: list[bytes]) -> Events:
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    steps = np.where(sizes == 0, 1, sizes + 1)
-    ends = np.cumsum(steps)
-    starts = ends - steps
-    symbol = np.full(int(ends[-1]) if len(words) else 0, WORD_END, np.int64)
-    token = np.repeat(np.arange(len(words)), steps)
-    place = np.arange(len(symbol)) - starts[token]
-    raw = np.frombuffer(b"".join(words), np.uint8)
-    symbol[place < sizes[token]] = raw
-    symbol[starts[sizes == 0]] = TEXT_END
-    slots = [np.zeros(len(symbol), np.int64)]
-    code = np.zeros(len(symbol), np.uint64)
-    for k in range(1, ORDER + 1):
-        back = np.full(len(symbol), START, np.int64)
-        inside = place >= k
-        back[inside] = symbol[np.flatnonzero(inside) - k]
-        code = code * np.uint64(0x9E3779B97F4A7C15) + back.astype(np.uint64) + np.uint64(1)
-        if k == 1:
-            slot = back
-        elif k == 2:
-            slot = slots[1] * (START + 1) + back
-        else:
-            mixed = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            slot = (mixed >> np.uint64(49)).astype(np.int64)
-        slots.append(np.where(place >= k - 1, slot, -1))
-    return Events(token, symbol, slots)
+def events(given: list[bytes]) -> Events:
+    found = list(grams(given))
+    gram = np.concatenate([g for _, _, g in found]) if found else np.zeros(0, np.int64)
+    token = np.concatenate([np.repeat(r, n) for r, n, _ in found]) if found else np.zeros(0, np.int64)
+    return Events(token, gram & ((1 << BITS) - 1), [(gram >> BITS) & ((1 << BITS * k) - 1) for k in range(ORDER + 1)])
 
 
 def _key(order: int, slot: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return (np.int64(order) << 40) | (slot << 16) | symbol
+    return (np.int64(order) << (BITS * (ORDER + 1))) | (slot << BITS) | symbol
 
 
-def count_events(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, count) of every (order, slot, symbol) that the tokens give, weighted."""
-    e = events(words)
+def count_events(given: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, count) of every (order, context, symbol) that the texts give, weighted."""
+    e = events(given)
     weight = np.asarray(counts, np.int64)[e.token]
     keys, sums = [], []
     for k, slot in enumerate(e.slots):
-        ok = slot >= 0
-        u, at = np.unique(_key(k, slot[ok], e.symbol[ok]), return_inverse=True)
+        u, at = np.unique(_key(k, slot, e.symbol), return_inverse=True)
         keys.append(u)
         # float sums of counts are exact below 2^53
-        sums.append(np.bincount(at, weights=weight[ok], minlength=len(u)).astype(np.int64))
+        sums.append(np.bincount(at, weights=weight, minlength=len(u)).astype(np.int64))
     return np.concatenate(keys), np.concatenate(sums)
 
 
 class Trie:
-    """Counts by context; contexts are rows of a sorted table of (order, slot, symbol)."""
+    """The model of a few texts in memory, step by step: what ``coded`` is tested against.
+    Contexts are rows of a sorted table of (order, context, symbol)."""
 
     def __init__(self, key: np.ndarray, count: np.ndarray):
         order = np.argsort(key)
         self.key, self.count = key[order].astype(np.int64), count[order].astype(np.float64)
-        context = self.key >> 16
+        context = self.key >> BITS
         self.context, self.first = np.unique(context, return_index=True)
         self.last = np.append(self.first[1:], len(self.key))
         run = np.concatenate([[0.0], np.cumsum(self.count)])
@@ -124,17 +140,17 @@ class Trie:
         """Row of each context, -1 where it was never seen."""
         if not len(self.context):
             return np.full(len(slot), -1)
-        c = (np.int64(order) << 24) | slot
+        c = (np.int64(order) << (BITS * ORDER)) | slot
         i = np.minimum(np.searchsorted(self.context, c), len(self.context) - 1)
         return np.where(self.context[i] == c, i, -1)
 
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each token."""
-        e = events(words)
+    def log10(self, given: list[bytes], block: int = 8192) -> np.ndarray:
+        """log10 probability of each text."""
+        e = events(given)
         # steps are independent; a block of them bounds the lists of excluded symbols
-        cuts = range(0, len(e.symbol), BLOCK)
-        logp = [self._steps(e.symbol[s:s + BLOCK], [x[s:s + BLOCK] for x in e.slots]) for s in cuts]
-        return np.bincount(e.token, weights=np.concatenate(logp) if logp else None, minlength=len(words))
+        cuts = range(0, len(e.symbol), block)
+        logp = [self._steps(e.symbol[s:s + block], [x[s:s + block] for x in e.slots]) for s in cuts]
+        return np.bincount(e.token, weights=np.concatenate(logp) if logp else None, minlength=len(given))
 
     def _steps(self, symbol: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each coding step."""
@@ -142,7 +158,7 @@ class Trie:
         logp, open_ = np.zeros(n), np.ones(n, bool)
         barred = np.zeros(0, np.int64)  # step * SYMBOLS + symbol, sorted: excluded symbols
         for k in range(ORDER, -1, -1):
-            step = np.flatnonzero(open_ & (slots[k] >= 0))
+            step = np.flatnonzero(open_)
             row = self._context(k, slots[k][step])
             step, row = step[row >= 0], row[row >= 0]
             if not len(step):
@@ -169,7 +185,7 @@ class Trie:
             step, row = step[~hit], row[~hit]
             size = self.last[row] - self.first[row]
             which = np.repeat(self.first[row] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            seen = np.repeat(step, size) * SYMBOLS + (self.key[which] & 0xFFFF)
+            seen = np.repeat(step, size) * SYMBOLS + (self.key[which] & ((1 << BITS) - 1))
             barred = np.union1d(barred, seen)
         step = np.flatnonzero(open_)
         if len(step):
@@ -178,14 +194,6 @@ class Trie:
         return logp
 
 
-def whole_tokens(spelled: np.ndarray, counts: np.ndarray, total: int, kinds: int) -> np.ndarray:
-    """log10 probability of tokens from that of their spelling and their training counts."""
-    if not total:
-        return spelled
-    return np.log10(np.maximum(counts - DISCOUNT, 0) / total + DISCOUNT * kinds / total * 10.0 ** np.maximum(spelled, -290.0)
-                    ) + np.minimum(spelled + 290.0, 0) * (counts == 0)
-
-
 def token_counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
     """docs (train boolean, t) -> (token, c): every token of any text and its number in the
     training texts.  Tasks add up before the shuffle."""
@@ -213,75 +221,153 @@ def token_counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
     return docs.mapInArrow(run, "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def build(counted: DataFrame) -> Trie:
-    """The trie of the training tokens.  What reaches the driver is bounded by the trie's size."""
+def _added(gram: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each gram once, sorted, with the sum of its counts."""
+    order = np.argsort(gram)
+    gram, count = gram[order], count[order]
+    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
+    return gram[first], np.add.reduceat(count, first) if len(first) else count
+
+
+def gram_counts(docs: DataFrame, flush: int = 1 << 22) -> DataFrame:
+    """docs (train boolean, t) -> (gram, c): every gram of any text and its number in the
+    training texts.  Tasks add up before the shuffle."""
     def run(batches):
+        held, size = [], 0
+
+        def out():
+            g, c = _added(*(np.concatenate(x) for x in zip(*held)))
+            held[:] = [(g, c)]
+            return g, c
+
         for b in batches:
-            keys, sums = count_events(b.column("token").to_pylist(), b.column("c").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], names=["key", "n"])
+            train = np.array(b.column("train").to_pylist(), bool)
+            for rows, sizes, gram in grams(texts(b, "t")):
+                use = np.repeat(train[rows], sizes)
+                u, c = np.unique(gram[use], return_counts=True)
+                v = np.unique(gram[~use])
+                held += [(u, c.astype(np.int64)), (v, np.zeros(len(v), np.int64))]
+                size += len(u) + len(v)
+                if size >= flush:
+                    g, c = out()
+                    size = len(g)
+                    if 2 * size >= flush:
+                        held, size = [], 0
+                        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c)], names=["gram", "c"])
+        if held:
+            g, c = out()
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c)], names=["gram", "c"])
+
+    return docs.mapInArrow(run, "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
+
+
+def coded(counted: DataFrame) -> DataFrame:
+    """(gram, c) -> (gram, logp): log10 probability of each gram's symbol after its context.
+
+    Per length, from the empty context up, a row is a context and a symbol that follows it in
+    any text: ``n`` its training count, ``total`` and ``kinds`` the context's counts and
+    different symbols, ``p`` the log probability of a step that begins at this context, ``r``
+    (used where n = 0) of one that has escaped from it.
+    """
+    def off(kinds):
+        # no escape is needed where every symbol is seen
+        return F.when(kinds >= SYMBOLS, F.lit(0.0)).otherwise(F.lit(DISCOUNT))
+
+    n, total, kinds, un, ut, uk, ex = map(F.col, ("n", "total", "kinds", "un", "ut", "uk", "ex"))
+    own = Window.partitionBy(F.shiftright("gram", BITS))
+    below = None
+    for k in range(ORDER + 1):
+        gram = F.col("gram").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1)).alias("gram")
+        rows = counted.groupBy(gram).agg(F.sum("c").cast("double").alias("n")) if k < ORDER else counted.select("gram", F.col("c").cast("double").alias("n"))
+        stats = [F.sum("n").over(own).alias("total"), F.sum((n > 0).cast("double")).over(own).alias("kinds")]
+        if below is None:
+            rows = rows.select("gram", "n", *stats)
+            left, unseen = -F.log10(F.lit(float(SYMBOLS)) - kinds), F.lit(-math.log10(SYMBOLS))
+        else:
+            up = below.select(F.col("gram").alias("ug"), n.alias("un"), total.alias("ut"), kinds.alias("uk"), F.col("p").alias("up"), F.col("r").alias("ur"))
+            rows = (rows.join(up, F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1)) == F.col("ug"))
+                    .select("gram", "n", "un", "ut", "uk", "up", "ur", *stats, F.sum(F.when(n > 0, un).otherwise(0.0)).over(own).alias("ex")))
+            escape = F.when(uk > kinds, F.log10(off(uk) * (uk - kinds)) - F.log10(ut - ex)).otherwise(0.0)
+            left, unseen = F.when(un > 0, F.log10(un - off(uk)) - F.log10(ut - ex)).otherwise(escape + F.col("ur")), F.col("up")
+        begun = (F.when(n > 0, F.log10(n - off(kinds)) - F.log10(total))
+                 .when(total > 0, F.log10(off(kinds) * kinds) - F.log10(total) + F.col("r")).otherwise(unseen))
+        below = rows.withColumn("r", left).withColumn("p", begun).select("gram", "n", "total", "kinds", "p", "r")
+    return below.select("gram", F.col("p").alias("logp"))
 
-    summed = counted.where("c > 0").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    got = summed.toArrow()
-    return Trie(got.column("key").to_numpy(), got.column("n").to_numpy())
+
+def dealt(given: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Adds ``chunk``: rows are dealt one by one to as many chunks as the texts (t) fill, so a
+    chunk has about ``chunk_bytes`` whatever the corpus, and copies of a row spread."""
+    size = given.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)).cast("long") + 1).alias("n")).first()["n"] or 0
+    return given.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(size // chunk_bytes + 1)))
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Rows whose crc32 of the key as text, modulo ``modulus``, isn't ``held`` train the model.
-    ``base_score``: the unigram model's log10 probability with one added to every count.
+    ``base_score``: the unigram model's log10 probability with one added to every count, of the
+    lower-cased words and the end; ``score``: that of every byte and the end.
 
     Null texts are empty (the end alone); null keys count as the empty text's crc32; repeated
     rows train and are scored each.  Without training rows the trie is empty and all symbols
     equally likely.  Other columns aren't read.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    n = parts(spark)
+    n = parts(docs.sparkSession)
     given = docs.select(F.col(key).alias("k"), (crc_bucket(key, modulus) == held).alias("held_out"), F.col(text).alias("t"))
-    counted = stored(token_counts(given.select((~F.col("held_out")).alias("train"), "t")), "lm-tokens")
+    training = given.select((~F.col("held_out")).alias("train"), "t")
+    counted = stored(token_counts(training), "lm-tokens")
     total = counted.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     all_tokens, kinds = total["n"] or 0, total["v"] or 0
-    trie = spark.sparkContext.broadcast(build(counted))
-
-    def score_tokens(batches):
-        for b in batches:
-            logp = whole_tokens(trie.value.log10(b.column("token").to_pylist()), b.column("c").to_numpy(), all_tokens, kinds)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(logp, pa.float64())], names=["token", "c", "logp"])
-
-    scored = counted.mapInArrow(score_tokens, "token binary, c bigint, logp double")
-    # both readers of the chunks share one shuffle of the texts
-    chunked = given.withColumn("chunk", F.pmod(F.xxhash64("k", F.xxhash64("t")), F.lit(4 * n))).repartition(n, "chunk")
-
-    def kinds_of(batches):
-        held_: dict[int, set] = {}
-        for b in batches:
-            for c, t in zip(b.column("chunk").to_pylist(), texts(b, "t")):
-                held_.setdefault(c, set()).update(tokens(t))
-        for c, words in held_.items():
-            words = sorted(words)
-            for s in range(0, len(words), 20_000):
-                part = words[s:s + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([c] * len(part), pa.int64()), pa.array(part, pa.binary())], names=["chunk", "token"])
-
-    wanted = chunked.mapInArrow(kinds_of, "chunk bigint, token binary").join(scored, "token").select("chunk", "token", "c", "logp")
+    scored = coded(stored(gram_counts(training), "lm-grams"))
+    # all readers of the chunks share one shuffle of the texts
+    chunked = dealt(given).repartition(n, "chunk")
+
+    def tokens_of(rows: pa.Table) -> pa.Table:
+        words = sorted({w for t in texts(rows, "t") for w in tokens(t)})
+        return pa.table([pa.array([rows.column("chunk")[0].as_py()] * len(words), pa.int64()), pa.array(words, pa.binary())], names=["chunk", "token"])
+
+    def grams_of(rows: pa.Table) -> pa.Table:
+        found = np.zeros(0, np.int64)
+        for _, _, gram in grams(texts(rows, "t")):
+            found = np.union1d(found, np.unique(gram))
+        return pa.table([pa.array(np.full(len(found), rows.column("chunk")[0].as_py())), pa.array(found)], names=["chunk", "gram"])
+
+    groups = chunked.groupBy("chunk")
+    known_tokens = groups.applyInArrow(tokens_of, "chunk bigint, token binary").join(counted, "token").select("chunk", "token", F.col("c").alias("n"), F.lit(None).cast("double").alias("logp"))
+    known_grams = groups.applyInArrow(grams_of, "chunk bigint, gram bigint").join(scored, "gram").select("chunk", F.lit(None).cast("binary").alias("token"), F.col("gram").alias("n"), "logp")
+    # n is a token's training count, or a gram
+    wanted = known_tokens.unionByName(known_grams)
     floor = float(all_tokens + kinds + 1)
 
     def add_up(rows: pa.Table, known: pa.Table) -> pa.Table:
-        c = known.column("c").to_numpy()
-        base, logp, seen = np.log10((c + 1) / floor), known.column("logp").to_numpy(), c > 0
-        at = {w: i for i, w in enumerate(known.column("token").to_pylist())}
-        out = [[], [], [], []]
-        for t in texts(rows, "t"):
+        spelled = pc.is_valid(known.column("token"))
+        table_, coded_ = known.filter(spelled), known.filter(pc.invert(spelled))
+        c = table_.column("n").to_numpy()
+        base, seen = np.log10((c + 1) / floor), c > 0
+        at = {w: i for i, w in enumerate(table_.column("token").to_pylist())}
+        gram, logp = coded_.column("n").to_numpy(), coded_.column("logp").to_numpy()
+        order = np.argsort(gram)
+        gram, logp = gram[order], logp[order]
+        given_ = texts(rows, "t")
+        out = [[], [], []]
+        for t in given_:
             words = tokens(t)
             i = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-            for col, v in zip(out, (len(words), int(seen[i].sum()), base[i].sum(), logp[i].sum())):
+            for col, v in zip(out, (len(words), int(seen[i].sum()), base[i].sum())):
                 col.append(v)
+        scores = np.zeros(len(given_))
+        for row, sizes, found in grams(given_):
+            i = np.minimum(np.searchsorted(gram, found), len(gram) - 1)
+            if not (gram[i] == found).all():
+                raise ValueError("grams of a chunk are missing: the input changed between two reads")
+            np.add.at(scores, row, np.add.reduceat(logp[i], np.cumsum(sizes) - sizes))
         return pa.table([rows.column("k"), rows.column("held_out"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
-                         pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64())],
+                         pa.array(out[2], pa.float64()), pa.array(scores)],
                         names=["k", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    done = (chunked.groupBy("chunk").cogroup(wanted.groupBy("chunk"))
+    done = (groups.cogroup(wanted.groupBy("chunk"))
             .applyInArrow(add_up, f"k {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"))
     return done.select(F.col("k").alias(key), "held_out", "n_tokens", "n_known", F.lit(all_tokens).cast("long").alias("train_tokens"),
                        "base_score", "score")

@@ -213,6 +213,42 @@ def test_ppm_is_a_distribution_and_base_matches(docs, empty):
     assert ppm.score(empty).count() == 0
 
 
+def test_ppm_scores_are_code_lengths_of_the_running_text(spark, docs):
+    def want(given):
+        train = [x for d, x in given if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2]
+        return ppm.Trie(*ppm.count_events(train, np.ones(len(train), np.int64))).log10([x for _, x in given])
+
+    given = [(d, (t or "").encode()) for d, t, *_ in rows()]
+    assert np.allclose(sorted(r.score for r in ppm.score(docs).collect()), sorted(want(given)))
+    plain = "the cat sat on the mat and the dog lay by the door"
+    texts = [plain] * 40 + [" ".join(reversed(plain.split())), plain.replace(" ", "\n"), plain.upper()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in ppm.score(df).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], want([(i, t.encode()) for i, t in enumerate(texts)]))
+    # word order, white space and case cost what they cost
+    assert got[0] > max(got[40], got[41], got[42]) + 1
+
+
+def test_ppm_contexts_are_exact_and_long_texts_go_on():
+    rng = random.Random(5)
+    text = bytes(rng.randrange(256) for _ in range(70_000))
+    key, _ = ppm.count_events([text], np.array([1]))
+    padded = [ppm.START] * ppm.ORDER + list(text) + [ppm.TEXT_END]
+    for k in range(ppm.ORDER + 1):
+        exact = {tuple(padded[i - k:i + 1]) for i in range(ppm.ORDER, len(padded))}
+        assert (key >> (ppm.BITS * (ppm.ORDER + 1)) == k).sum() == len(exact)
+    whole = np.concatenate([g for _, _, g in ppm.grams([text, b"", b"ab"])])
+    cut = np.concatenate([g for _, _, g in ppm.grams([text, b"", b"ab"], 1000)])
+    assert (whole == cut).all() and len(whole) == len(text) + 1 + 1 + 3
+
+
+def test_ppm_chunks_are_bounded_in_bytes(spark):
+    copies = spark.createDataFrame([(None, "x" * 999)] * 2000, "k bigint, t string")
+    size = Counter(r.chunk for r in ppm.dealt(copies, 100_000).select("chunk").collect())
+    assert len(size) == 21 and max(size.values()) * 1000 <= 200_000
+    assert {r.chunk for r in ppm.dealt(copies).select("chunk").distinct().collect()} == {0}
+
+
 def test_license_scan(docs, empty):
     got = {(r.doc_id, r.license, r.containment, r.from_word) for r in licenses.scan(docs).collect()}
     where = next(d for d, t, *_ in rows() if t and "MIT" in t)
