@@ -258,6 +258,54 @@ def test_license_scan(docs, empty):
         licenses.scan(docs, {"x": "All rights reserved."})
 
 
+def test_license_scan_against_brute_force(spark):
+    def words(t):
+        out = [re.sub(r"^[\W_]+|[\W_]+$", "", w) for w in (t or "").lower().split()]
+        return [w for w in out if w]
+
+    def runs(w, n):
+        return [" ".join(w[i:i + n]) for i in range(len(w) - n + 1)]
+
+    every = licenses.shipped()
+    header = (" * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in\n"
+              " * compliance with the License.\n")
+    gpl = words(every["text:gpl-3.0"])
+    edited = " ".join(w if i % 60 else "xx" for i, w in enumerate(gpl))
+    cut = " ".join(gpl[:len(gpl) // 2])
+    texts = ["/*\n" + header + " */ int main;", "(Released under the MIT License), she said", "x Licensed under the Apache License, Version 2.0 now",
+             "foo. ALL RIGHTS\n# reserved", "all rights were reserved", "// SPDX-License-Identifier: MPL-2.0", edited, cut, None, "", "-" * 50_000 + " a",
+             every["text:isc"], "\n".join("# " + x for x in every["text:unlicense"].split("\n")), every["agpl-3.0-or-later-notice"] + " tail"]
+    rng = random.Random(8)
+    for name in sorted(every)[:12]:
+        w = every[name].split()[:400]
+        w[rng.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    want = set()
+    for d, t in enumerate(texts):
+        w = words(t)
+        for short, given in ((False, every), (True, licenses.PHRASES)):
+            for name, wording in given.items():
+                tw = words(wording)
+                size = len(tw) if short else licenses.SHINGLE
+                own, have, best, first = set(runs(tw, size)), runs(w, size), 0, None
+                for s in range(-2 * len(tw), len(w) + 1, len(tw)) if not short else [0]:
+                    at = [i for i in range(max(s, 0), min(s + 3 * len(tw), len(have)) if not short else len(have)) if have[i] in own]
+                    share = len({have[i] for i in at}) / len(own)
+                    if share >= 0.8:
+                        best, first = max(best, share), min(at) if first is None else first
+                if best:
+                    want.add((d, name, round(best, 9), first))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = licenses.scan(df).collect()
+    assert {(r.doc_id, r.license, round(r.containment, 9), r.from_word) for r in got} == want
+    found = {d: {n for e, n, *_ in want if e == d} for d in range(len(texts))}
+    assert {"apache-2.0", "apache-2.0-notice"} & found[0] == {"apache-2.0", "apache-2.0-notice"} and found[1] == {"mit"} and "apache-2.0" in found[2]
+    assert found[3] == {"all-rights-reserved"} and not found[4] and found[5] == {"spdx:mpl-2.0"} and "text:gpl-3.0" in found[6]
+    assert "text:gpl-3.0" not in found[7] and "text:isc" in found[11] and "text:unlicense" in found[12] and "agpl-3.0-or-later-notice" in found[13]
+    assert [r.matches for r in got if r.doc_id == 3] == [1]
+    assert licenses.scan(df, {}).count() == 0
+
+
 @pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (quality, "quality")])
 def test_classifiers(spark, docs, empty, module, label):
     rng = random.Random(4)
