@@ -7,8 +7,8 @@ paragraphs' order, and adding or taking away a paragraph adds or takes away its
 Lanes, each modulo 2^60:
 - ``EXACT`` lanes sum hashes of the whole paragraph: equality;
 - one lane counts the paragraph's pieces, runs of about two words that end at certain letters;
-- ``PACKED`` lanes hold four 15-bit fields each, sums of hash bits of the pieces.  Each bit is
-  a fair coin, so the squared +-1 sums of a difference of two fingerprints average to the
+- ``PACKED`` lanes hold two 30-bit fields each, sums of hash bits of the pieces, exact for
+  texts of fewer than 2^29 pieces.  Each bit is a fair coin, so the squared +-1 sums of a difference of two fingerprints average to the
   squared size of the multiset difference of their pieces.  That gives a likeness of two
   texts from their fingerprints alone.
 
@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import parts, stored
 
 EXACT = 4
-PACKED = 32
-FIELDS = 4 * PACKED
+PACKED = 64
+FIELDS = 2 * PACKED
 LANES = EXACT + 1 + PACKED
 MOD = (1 << 60) - 1
 _PAIR = 1 | 1 << 30  # two hash bits, each with 29 zero bits above: sums of 2^29 pieces don't meet
@@ -74,32 +74,26 @@ def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
               .select(*others, "_row", *exact, F.explode_outer("_ps").alias("_p"))
               .select(*others, "_row", *exact, F.when(F.col("_p") != "", F.xxhash64("_p")).otherwise(zero).alias("_h0")))
     # an empty piece hashes to zeros, which add nothing
-    turns = -(-FIELDS // 2 // _SHIFTS)
+    turns = -(-PACKED // _SHIFTS)
     pieces = pieces.select("*", *[F.when(F.col("_h0") != 0, F.xxhash64("_h0", F.lit(t))).otherwise(zero).alias(f"_h{t}")
                                   for t in range(1, turns)])
     sums = [F.sum(F.shiftrightunsigned(F.col(f"_h{i // _SHIFTS}"), i % _SHIFTS).bitwiseAND(F.lit(_PAIR))).alias(f"_s{i}")
-            for i in range(FIELDS // 2)]
+            for i in range(PACKED)]
     summed = pieces.groupBy("_row", *others, *exact).agg(F.sum((F.col("_h0") != 0).cast("long")).alias("_n"), *sums)
 
-    def field(i):
-        return F.shiftright(F.col(f"_s{i // 2}"), 30) if i % 2 else F.col(f"_s{i // 2}").bitwiseAND(F.lit((1 << 30) - 1))
-
-    packed = [sum((F.shiftleft(field(4 * lane + k), 15 * k) if k else field(4 * lane) for k in range(1, 4)),
-                  field(4 * lane)).bitwiseAND(F.lit(MOD)) for lane in range(PACKED)]
+    # a sum of pairs is a lane as it stands
+    packed = [F.col(f"_s{i}").bitwiseAND(F.lit(MOD)) for i in range(PACKED)]
     return summed.select(*others, F.array(*exact, F.col("_n"), *packed).alias(name))
 
 
 def _signed_fields(lane: Column) -> Column:
-    """The four signed 15-bit fields of a lane below 2^60, lowest first; a borrow goes on."""
+    """The two signed 30-bit fields of a lane below 2^60, lowest first; a borrow goes on."""
     def low(x):
-        v = x.bitwiseAND(F.lit(0x7FFF))
-        return F.when(v >= 0x4000, v - 0x8000).otherwise(v)
-
-    rest, out = lane, []
-    for _ in range(4):
-        out.append(low(rest))
-        rest = F.shiftright(rest - out[-1], 15)
-    return F.array(*out)
+        v = x.bitwiseAND(F.lit((1 << 30) - 1))
+        return F.when(v >= 1 << 29, v - (1 << 30)).otherwise(v)
+
+    first = low(lane)
+    return F.array(first, low(F.shiftright(lane - first, 30)))
 
 
 def _pieces(fp: Column) -> Column:

@@ -111,6 +111,28 @@ def test_multiset_sum_is_incremental(spark):
     assert r.p == f[0].f and r.m == f[2].f
 
 
+def test_likeness_of_long_texts(spark):
+    rng = random.Random(6)
+
+    def text(n):
+        return " ".join("".join(rng.choice("bcdfgh") for _ in range(9)) + "a" for _ in range(n))
+
+    def cosine(a, b):
+        a, b = (Counter(x for x in re.split(r"\s*\n\s*|(?<=[aeiouyns.,;:!?])[\x20\x09-\x0D]+", t) if x) for t in (a, b))
+        return sum(a[x] * b[x] for x in a) / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+
+    long, other = text(40_000), text(40_000)
+    pairs = [(long, other), (long, long[:len(long) * 3 // 4] + other[:len(long) // 4]), (long, other[:len(other) // 10]), ("ba " * 40_000, other),
+             ("ba " * 40_000 + long, "ba " * 300 + long)]
+    df = spark.createDataFrame([(i, side, x) for i, ab in enumerate(pairs) for side, x in enumerate(ab)], "id int, side int, text string")
+    f = {(r.id, r.side): r.f for r in lthash.with_fingerprint(df, "text", "f").collect()}
+    both = spark.createDataFrame([(i, f[i, 0], f[i, 1]) for i in range(len(pairs))], "id int, fa array<bigint>, fb array<bigint>")
+    got = {r.id: r.near for r in lthash.with_likeness(both, "fa", "fb", "near").collect()}
+    for i, (a, b) in enumerate(pairs):
+        assert abs(got[i] - cosine(a, b)) < 0.35, (i, got[i], cosine(a, b))
+    assert got[1] > 0.5 and max(got[0], got[2], got[3]) < 0.35
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 59, 60, 61, 500):
