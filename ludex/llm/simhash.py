@@ -162,14 +162,19 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     Other columns of ``docs`` aren't read.  An empty table gives an empty result.
     """
     fps = stored(fingerprints(docs, key, text, shingle), "simhash")
+    named = _named(fps, key, max_bits).select("fp", "component_id")
+    return fps.join(named, "fp").select(
+        key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(fps: DataFrame, key: str, max_bits: int) -> DataFrame:
+    """(fp, root, component_id) of every different fingerprint; ``root`` names its group."""
     first = fps.groupBy("fp").agg(F.min(key).alias("first"))
     root = connected_components(link(first.select("fp"), max_bits))
     linked = first.join(root, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.join(lowest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(
-        key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return linked.join(lowest, "root").select("fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3,
@@ -177,14 +182,25 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     """``docs`` with one row of each SimHash group: the one with the group's smallest key.
 
     Rows that repeat that key count as copies; the first by text stays.  Rows with a null key
-    can't name a group; they stay.
+    are copies where a row of their group has one; else the group's first by text stays.
     """
-    groups = simhash_groups(docs, key, text, shingle, max_bits)
-    keep = groups.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("key")).distinct()
+    fps = stored(fingerprints(docs, key, text, shingle), "simhash")
+    named_fps = stored(_named(fps, key, max_bits), "simhash-groups")
+    keep = fps.join(named_fps, "fp").where(F.col(key) == F.col("component_id")).select(F.col(key).alias("key")).distinct()
     order = Window.partitionBy("key").orderBy(F.col("row")[text].asc_nulls_first())
     # a row travels as one struct, so no column of docs can clash with the operator's own
     named = (docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.struct(*docs.columns).alias("row"))
              .join(keep, "key", "left_semi")
              .withColumn("copy", F.row_number().over(order)).where("copy = 1")
              .select(*[F.col("row")[c].alias(c) for c in docs.columns]))
-    return named.unionByName(docs.where(F.col(key).isNull()))
+    nulls = docs.where(F.col(key).isNull())
+    # groups of null keys alone: the first of their different texts, then one row of it
+    spelled = fingerprints(nulls.select(F.col(text).alias("text")).distinct(), "text", "text", shingle)
+    first = (spelled.join(named_fps.where("component_id IS NULL"), "fp").groupBy("root")
+             .agg(F.min(F.struct(F.col("text").isNotNull().alias("given"), F.col("text").alias("text"))).alias("one"))
+             .select(F.col("one.text").alias("first")))
+    unnamed = (nulls.select(F.col(text).alias("text"), F.struct(*docs.columns).alias("row"))
+               .join(first, F.col("text").eqNullSafe(F.col("first")), "left_semi")
+               .withColumn("copy", F.row_number().over(Window.partitionBy("text").orderBy(F.xxhash64("row")))).where("copy = 1")
+               .select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+    return named.unionByName(unnamed)

@@ -58,6 +58,13 @@ def test_simhash_groups(docs, empty):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({low[f] for _, f in fps if low[f] is not None})
 
 
+def test_keep_one_of_null_keys(spark):
+    data = [(1, "a b c d", 1), (None, "a b c d", 2), (None, "a b c d", 3), (None, "x y z w", 4), (None, "X y z w", 5), (None, "x y z w", 6),
+            (None, None, 7), (None, "", 8)]
+    got = simhash.keep_one(spark.createDataFrame(data, "doc_id bigint, text string, n int")).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, [(1, "a b c d"), (None, "X y z w"), (None, None)]))
+
+
 def test_bk_tree_finds_all_within_radius():
     rng = random.Random(1)
     items = {rng.getrandbits(12) for _ in range(300)}
