@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import alignment, licenses, lthash, mixing, packing, ppm, quality, rabitq, rtree, simhash, simple8b, toxicity
+from . import alignment, extraction, licenses, lthash, mixing, packing, ppm, quality, rabitq, rtree, simhash, simple8b, toxicity
 from .common import shared_path, table
 from .encoding import default_path
 
@@ -68,6 +68,12 @@ def op11_token_alignment(spark, sf_dir):
     return alignment.link_figures(table(spark, sf_dir, "documents").select("doc_id", "text"), alignment.default_paths())
 
 
+def op12_html_extraction(spark, sf_dir):
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extraction.extract(pages, extraction.fit(pages))
+
+
 def op13_hard_negatives(spark, sf_dir):
     """Hard negatives of the rows whose vec_id is divisible by 100, on vectors of floor(256 * x)."""
     rows = table(spark, sf_dir, "embeddings").where(
@@ -82,7 +88,7 @@ def queries():
     return {f.__name__: f for f in (
         op1_embedding_near_dup, op2_multiset_fingerprints, op3_simple8b, op4_license_scan, op5_ppm_scores,
         op6_best_fit_packing, op7_source_mixing, op8_simhash_bktree, op9_subword_toxicity, op10_neighbour_quality,
-        op11_token_alignment, op13_hard_negatives)}
+        op11_token_alignment, op12_html_extraction, op13_hard_negatives)}
 
 
 OP1_SQL = """
