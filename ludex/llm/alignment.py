@@ -18,6 +18,7 @@ the input other than key and text aren't read.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import count
@@ -34,6 +35,10 @@ from .common import stored
 BATCH_BYTES, BLOCK_BYTES = 1 << 20, 8 << 20
 
 
+#: Characters beyond those that both pre-tokenizers are compared on when they are loaded.
+_OTHER = re.compile("[^\x00-\u024f]")
+
+
 def _byte_of() -> dict[str, int]:
     """The byte that each character of the byte-level alphabet stands for."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -62,6 +67,7 @@ class Aligner:
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.quick = self._quick(byte_path)
         marked = lambda n, mark: [f"{i}{mark}" for i in range(n)]
         self.a_text = np.array([marked(n, ","), marked(n, "|")], object)
         m = len(self.b_bytes)
@@ -72,10 +78,42 @@ class Aligner:
             return bytes([int(self.b.id_to_piece(i)[3:5], 16)])
         return self.b.id_to_piece(i).replace("▁", " ").encode()
 
+    def _quick(self, byte_path: str):
+        """The rank-based encoder over the same vocabulary, or None.
+
+        Ranks stand for the merges only if the i-th merge makes the i-th entry after the 256
+        bytes, and both pre-tokenizers must take every character below U+0250 alike: each is
+        tried between letters, digits and spaces.  Texts with others go to the tokenizers library.
+        """
+        import json
+
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        with open(byte_path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if any(model["vocab"].get("".join(m)) != 256 + i for i, m in enumerate(merges)):
+            return None
+        n = 256 + len(merges)
+        quick = tiktoken.Encoding("pairs", pat_str=PATTERN, mergeable_ranks={b: i for i, b in enumerate(self.a_bytes[:n])}, special_tokens={})
+        tries = [f"a{c}b 1{c}2 {c} {c}{c}  {c}x\n{c}" for c in map(chr, range(0x250))] + ["it's we'll I'd <|endoftext|> ' s", " \t\n  x \r\n\n y  "]
+        want = [e.ids for e in self.a.encode_batch(tries, add_special_tokens=False)]
+        return quick if [quick.encode_ordinary(t) for t in tries] == want else None
+
+    def _byte_ids(self, texts: list[str]) -> list[list[int]]:
+        if self.quick is None:
+            return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        out = [None if _OTHER.search(t) else self.quick.encode_ordinary(t) for t in texts]
+        other = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(other, self.a.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The ids of each text in A and in B, empty where the tokens don't spell space + text."""
         spaced = [" " + t for t in texts]
-        a_ids = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        a_ids = self._byte_ids(spaced)
         b_ids = self.b.encode(texts, num_threads=1)
         for text, spelt, a, b in zip(texts, spaced, a_ids, b_ids):
             want = spelt.encode()
