@@ -11,9 +11,10 @@ is left out if its labels can't take part, if its interval lies outside every sc
 its upper bound is strictly below the k-th score found so far in every window it could serve
 (equal bounds are followed, as ties go to the smaller id).  Nothing else is left out, so results are exact.
 
-Anchors are a stated set of rows.  Blocks of anchors meet the shards that can hold an answer
-(shards of their label for positives, shards with another label for negatives) in one task
-each; at most k rows an anchor (and positive) leave it, of which Spark takes the first k.
+Anchors are a stated set of rows.  Shards are dealt to cells of about ``SHARD_ROWS`` rows (small
+shards share one), and a block of anchors meets a cell in one task, which packs the cell's tree:
+for positives the cells that hold their label, for negatives all.  At most k rows an anchor
+(and positive) leave it, of which Spark takes the first k.
 
 Defined cases: rows with a null id, label or vector, or a null component, take no part.  An id
 counts once: of rows that share one, the smallest (label, vector).  Vectors of different lengths
@@ -224,18 +225,18 @@ def packed(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
 
 def _searched(anchors: DataFrame, shards: DataFrame, same: bool, k: int, low_pct: int, high_pct: int) -> DataFrame:
-    """The first k rows of every pair of a block of anchors and a shard, for each anchor (and positive).
+    """The first k rows of every pair of a block of anchors and a cell, for each anchor (and positive).
 
-    ``anchors`` are (of_block, to_shard, id, label, vec, positives), a row for each shard that an
-    anchor meets; ``shards`` have a row for each ``block`` that they meet.
+    ``anchors`` are (of_block, to_cell, id, label, vec, positives), a row for each cell that an
+    anchor meets; ``shards`` have a row for each ``block`` that their ``cell`` meets.
     """
     out = "anchor_id long, label long, positive_id long, positive_score long, id long, score long"
 
     def meet(left, right):
         width = right.column("width")[0].as_py()
-        table = right.column("vectors")[0].as_py()
-        ids, labels = (right.column(c)[0].values.to_numpy() for c in ("ids", "row_labels"))
-        tree = Tree(ids, labels, np.frombuffer(table, "<i4").reshape(len(ids), width).astype(np.float64))
+        ids, labels = (np.concatenate([x.values.to_numpy() for x in right.column(c)]) for c in ("ids", "row_labels"))
+        whole = b"".join(x.as_py() for x in right.column("vectors"))
+        tree = Tree(ids, labels, np.frombuffer(whole, "<i4").reshape(len(ids), width).astype(np.float64))
         vectors = _matrix(left.column("vec"), width)
         rows = []
         for at in range(0, len(vectors), 256):  # bounds of a few anchors at a time
@@ -261,7 +262,7 @@ def _searched(anchors: DataFrame, shards: DataFrame, same: bool, k: int, low_pct
             return pa.table([pa.array([], pa.int64())] * 6, names=["anchor_id", "label", "positive_id", "positive_score", "id", "score"])
         return meet(left, right)
 
-    return anchors.groupBy("of_block", "to_shard").cogroup(shards.groupBy("block", "shard")).applyInArrow(met, out)
+    return anchors.groupBy("of_block", "to_cell").cogroup(shards.groupBy("block", "cell")).applyInArrow(met, out)
 
 
 def hard_negatives(rows: DataFrame, anchors: Column, positives: int = 5, k: int = 10, low_pct: int = 30, high_pct: int = 90,
@@ -276,25 +277,27 @@ def hard_negatives(rows: DataFrame, anchors: Column, positives: int = 5, k: int
     """
     data = stored(_prepared(rows, id_col, label_col, vec_col), "rtree-rows")
     shards = stored(packed(data, shard_rows), "rtree-shards")
+    n_cells = shards.agg(F.greatest(F.ceil(F.sum(F.size("ids")) / shard_rows), F.lit(1)).cast("bigint").alias("n")).scalar()
+    shards = shards.withColumn("_n", n_cells).withColumn("cell", F.pmod(F.xxhash64("shard"), F.col("_n"))).drop("_n", "shard")
     chosen = data.where(anchors)
     n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block_rows).cast("int"), F.lit(1))
     n_blocks = chosen.agg(n_blocks.alias("n")).scalar()
     chosen = chosen.withColumn("_n", n_blocks).withColumn("of_block", F.pmod(F.xxhash64("id"), F.col("_n").cast("bigint"))).drop("_n")
     numbers = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))
 
-    # positives: anchors meet the shards that hold their label
-    holders = shards.select(F.col("shard").alias("to_shard"), F.explode("labels").alias("label"))
+    # positives: anchors meet the cells that hold their label
+    holders = shards.select(F.col("cell").alias("to_cell"), F.explode("labels").alias("label")).distinct()
     none = F.lit(None).cast("array<struct<id:bigint,score:bigint>>")
     met = chosen.join(holders, "label").withColumn("positives", none)
-    wanted = met.select(F.col("of_block").alias("block"), F.col("to_shard").alias("shard")).distinct()
-    best = _first(_searched(met, shards.join(wanted, "shard"), True, positives, low_pct, high_pct), ["anchor_id"], positives)
+    wanted = met.select(F.col("of_block").alias("block"), F.col("to_cell").alias("cell")).distinct()
+    best = _first(_searched(met, shards.join(wanted, "cell"), True, positives, low_pct, high_pct), ["anchor_id"], positives)
     held = best.groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "score"))).alias("p")).select(
         F.col("anchor_id").alias("id"), F.transform("p", lambda x: F.struct(x["id"].alias("id"), x["score"].alias("score"))).alias("positives"))
 
     # negatives: the stated anchors against all rows, block by block
     asked = stored(chosen.join(held, "id"), "rtree-anchors")
-    spots = (shards.select(F.col("shard").alias("to_shard")).withColumn("_n", n_blocks)
-             .select("to_shard", numbers.alias("of_block")))
+    spots = (shards.select(F.col("cell").alias("to_cell")).distinct().withColumn("_n", n_blocks)
+             .select("to_cell", numbers.alias("of_block")))
     all_shards = shards.withColumn("_n", n_blocks).withColumn("block", numbers).drop("_n")
     found = _first(_searched(asked.join(spots, "of_block"), all_shards, False, k, low_pct, high_pct), ["anchor_id", "positive_id"], k)
     return found.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"),
