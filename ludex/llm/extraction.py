@@ -183,7 +183,7 @@ def train(given: list[str], seed: int = 1, drawn: int = DRAWN) -> Boosted:
 
 def fit(pages: DataFrame, html: str = "html", seed: int = 1, sample: int = SAMPLE, drawn: int = DRAWN) -> bytes:
     """The pickled model, trained in one task on at most ``sample`` given pages of at most ``LONGEST`` characters."""
-    one = F.expr(f"length({html}) - length(replace({html}, '<article', '')) = 8")
+    one = F.expr(f"length(`{html}`) - length(replace(`{html}`, '<article', '')) = 8")
     some = pages.select(F.col(html).alias("html"), F.xxhash64(html).alias("h")).where((F.length(html) <= LONGEST) & one)
     # the pages of smallest hash, each once; only hashes are ordered
     last = some.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
@@ -193,7 +193,8 @@ def fit(pages: DataFrame, html: str = "html", seed: int = 1, sample: int = SAMPL
         given = [h for batch in batches for h in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(given, seed, drawn))], pa.binary())], names=["model"])
 
-    # a task without rows trains on drawn pages alone
+    # a row without html makes sure that there is a task: without given pages it trains on drawn ones alone
+    some = some.union(pages.sparkSession.range(1).select(F.lit(None).cast("string")))
     return some.coalesce(1).mapInArrow(run, "model binary").first()["model"]
 
 
