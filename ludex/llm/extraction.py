@@ -190,7 +190,7 @@ def fit(pages: DataFrame, html: str = "html", seed: int = 1, sample: int = SAMPL
     some = some.where(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").limit(sample).select("html")
 
     def run(batches):
-        given = [h for batch in batches for h in batch.column(0).to_pylist()]
+        given = [h for batch in batches for h in batch.column(0).to_pylist() if h is not None]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(given, seed, drawn))], pa.binary())], names=["model"])
 
     # a row without html makes sure that there is a task: without given pages it trains on drawn ones alone
