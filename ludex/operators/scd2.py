@@ -9,19 +9,19 @@ Semantics (one key = e.g. (app_id, currency_code)):
   (``valid_from == valid_to``), which ``as_of`` never returns;
 * A -> B -> A gives three versions; an unchanged state is a no-op.
 
-Change flags and ``valid_to`` are computed per (key, hour) with edge values
-carried between hours (``sequence``), so a key with a third of all rows is
-split over many tasks instead of one window partition.
+Change flags and ``valid_to`` are computed over the runs of ``sequence``: a key
+with a third of all rows is cut at sampled points of its order and split over
+many tasks instead of one window partition.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ludex.operators.sequence import hour_bucket, lag_within, lead_within
+from ludex.operators.sequence import runs
 
 
 def _changed(tracked) -> Column:
@@ -29,22 +29,25 @@ def _changed(tracked) -> Column:
     return reduce(lambda a, b: a | b, diffs)
 
 
-def collapse(feed: DataFrame, keys, tracked, ts: str, tiebreak=(), keep=(), bucket: Column | None = None) -> DataFrame:
+def collapse(feed: DataFrame, keys, tracked, ts: str, tiebreak=(), keep=(), **cut) -> DataFrame:
     """Versions from an ordered feed.
 
     Returns ``keys + tracked + keep + [valid_from, valid_to, is_current]``.
     ``tiebreak`` completes the order after ``ts`` so the result is deterministic.
 
     LAG over the feed finds the rows that change something, LEAD over those
-    rows alone closes them; both run per (key, bucket) and are linear.
+    rows alone closes them; both use one partitioning.  ``cut`` goes to
+    ``sequence.runs`` (``sample``: a frame with the keys, ``ts`` and ``tiebreak``).
     """
     keys, tracked, keep = list(keys), list(tracked), list(keep)
     order = ["valid_from", *[f"_tb{i}" for i in range(len(tiebreak))]]
-    f = feed.select(*keys, *tracked, *keep, F.col(ts).alias("valid_from"),
-                    *[F.col(c).alias(f"_tb{i}") for i, c in enumerate(tiebreak)])
-    f = lag_within(f, keys, order, tracked, bucket=bucket, marker="_has", keep_bucket=True)
-    opens = f.filter(~F.col("_has") | _changed(tracked)).select(*keys, *tracked, *keep, *order, "_bkt")
-    out = lead_within(opens, keys, order, ["valid_from"], prefix="_next_")
+    named = [F.col(ts).alias("valid_from"), *[F.col(c).alias(f"_tb{i}") for i, c in enumerate(tiebreak)]]
+    if cut.get("sample") is not None:
+        cut = cut | {"sample": cut["sample"].select(*keys, *named)}
+    f = runs(feed.select(*keys, *tracked, *keep, *named), keys, order, **cut)
+    f = f.neighbour(tracked, -1, "prev_", marker="_has")
+    opens = f.on(f.df.filter(~F.col("_has") | _changed(tracked)).select(*keys, *tracked, *keep, *order, *f.columns()))
+    out = opens.neighbour(["valid_from"], 1, "_next_").df
     valid_to = F.col("_next_valid_from")
     return out.select(*keys, *tracked, *keep, "valid_from", valid_to.alias("valid_to"),
                       valid_to.isNull().alias("is_current"))
@@ -77,7 +80,9 @@ def apply(history: DataFrame, batch: DataFrame, keys, tracked, ts: str,
     fresh = (b.filter(F.col("_cur_from").isNull() | (F.col(ts) >= F.col("_cur_from")))
               .drop("_cur_from").withColumn("_src", F.lit(1)))
     feed = seed.unionByName(fresh)
-    versions = collapse(feed, keys, tracked, ts, tiebreak=["_src", *tiebreak])
+    # nearly all rows of the feed are the batch's: cut points come from it, before the join
+    sample = batch.select(*keys, ts, *tiebreak).withColumn("_src", F.lit(1))
+    versions = collapse(feed, keys, tracked, ts, tiebreak=["_src", *tiebreak], sample=sample)
     closed = history.filter(~F.col("is_current"))
     cols = [*keys, *tracked, "valid_from", "valid_to", "is_current"]
     return closed.select(*cols).unionByName(versions.select(*cols)), late
@@ -95,16 +100,14 @@ def current(history: DataFrame, currency: str | None = None, currency_col: str =
     return df if currency is None else df.filter(F.col(currency_col) == currency)
 
 
-def as_of_join(facts: DataFrame, history: DataFrame, keys, fact_ts: str, cols,
-               bucket: Column | None = None) -> DataFrame:
+def as_of_join(facts: DataFrame, history: DataFrame, keys, fact_ts: str, cols, **cut) -> DataFrame:
     """Attach to every fact the version valid at the fact's time.
 
     Facts and version starts are merged into one time-ordered stream per key;
-    the last version start at or before each fact is carried forward, inside
-    each (key, bucket) and from earlier buckets (the bucket is a function of
-    the merged time ``_t``; default: its hour).  This is linear in rows (a
-    sort), unlike a range join that compares every fact with every version of
-    its key.  Versions are gap-free, so the carried version is the valid one;
+    the last version start at or before each fact is carried forward, within
+    and across the runs of a hot key.  This is linear in rows (a sort), unlike
+    a range join that compares every fact with every version of its key.
+    Versions are gap-free, so the carried version is the valid one;
     zero-length versions are never valid and are left out.  A fact before the
     first version gets NULLs.
     """
@@ -115,16 +118,6 @@ def as_of_join(facts: DataFrame, history: DataFrame, keys, fact_ts: str, cols,
     live = history.filter(F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from")))
     v = live.select(*keys, F.col("valid_from").alias("_t"), F.lit(0).alias("_kind"),
                     F.struct(*[F.col(c) for c in cols]).alias("_v"))
-    bkt = bucket if bucket is not None else hour_bucket("_t")
-    b = f.unionByName(v, allowMissingColumns=True).withColumn("_bkt", bkt)
-    w = Window.partitionBy(*keys, "_bkt").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    b = b.withColumn("_cv", F.last("_v", ignorenulls=True).over(w)).filter(F.col("_kind") == 1)
-    # the last version of each bucket, and the buckets that hold facts; both are few rows a key
-    ends = v.withColumn("_bkt", bkt).groupBy(*keys, "_bkt").agg(F.max_by("_v", "_t").alias("_end"))
-    spots = (f.withColumn("_bkt", bkt).select(*keys, "_bkt").distinct()
-              .unionByName(ends, allowMissingColumns=True)
-              .groupBy(*keys, "_bkt").agg(F.first("_end", ignorenulls=True).alias("_end")))
-    before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    carry = spots.select(*keys, "_bkt", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
-    out = b.join(carry, [*keys, "_bkt"], "left").withColumn("_cv", F.coalesce("_cv", "_carry"))
+    merged = runs(f.unionByName(v, allowMissingColumns=True), keys, ["_t", "_kind"], **cut)
+    out = merged.last_known("_v", "_cv").df.filter(F.col("_kind") == 1)
     return out.select(*facts.columns, *[F.col(f"_cv.{c}").alias(c) for c in cols])

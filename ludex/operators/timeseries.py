@@ -4,7 +4,7 @@ trailing interval (F11), daily counts.
 z-scores use a per-key aggregate (partial aggregation, so a hot key is
 pre-reduced on every map task) joined back to the rows; AQE's skew-join
 handling splits the big side of a hot key.  Moving averages and LAG use the
-bucketed sequence operators.
+sequence operators, which cut hot keys into runs.
 """
 
 from __future__ import annotations
@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 from ludex.operators.sequence import lag_within, rolling_avg
 
 
-def moving_avg(df: DataFrame, key, ts: str, value: str, n: int, out: str,
-               bucket: Column | None = None) -> DataFrame:
+def moving_avg(df: DataFrame, key, ts: str, value: str, n: int, out: str) -> DataFrame:
     """AVG(value) over the current and n-1 preceding rows of the key, by ts."""
-    return rolling_avg(df, key, [ts], value, n, out, bucket=bucket)
+    return rolling_avg(df, key, [ts], value, n, out)
 
 
 def zscore(df: DataFrame, key, value: str, out: str = "z", mean_out: str | None = None,
@@ -35,9 +34,9 @@ def zscore(df: DataFrame, key, value: str, out: str = "z", mean_out: str | None
     return out_df.drop("_mean", "_sd")
 
 
-def change(df: DataFrame, key, ts: str, value: str, bucket: Column | None = None) -> DataFrame:
+def change(df: DataFrame, key, ts: str, value: str) -> DataFrame:
     """value - LAG(value) and its percent of LAG(value) (NULL when LAG is 0/NULL)."""
-    lagged = lag_within(df, key, [ts], [value], bucket=bucket, prefix="_prev_")
+    lagged = lag_within(df, key, [ts], [value], prefix="_prev_")
     prev = F.col("_prev_" + value)
     return (lagged.withColumn("change", F.col(value) - prev)
                   .withColumn("pct_change", F.lit(100.0) * (F.col(value) - prev) / F.nullif(prev, F.lit(0)))
