@@ -2,16 +2,14 @@
 per-row upserts.
 
 Every operator is a join plan over whole tables: no per-row round trips, no
-collect.  A new table state is written with ``publish`` and read with
-``published``, since plain Parquet has no MERGE.
+collect.  ``store.Store`` writes a load's tables and makes them visible together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ludex import config
 from ludex.session import checkpoint_dir
 
 
@@ -87,15 +85,31 @@ def insert_missing(target: DataFrame, new: DataFrame, key, order=()) -> tuple[Da
     return target.unionByName(fresh.select(*target.columns)), fresh
 
 
+def newest_per_key(df: DataFrame, limits: DataFrame, key: str, newest: str, tiebreak: str, limit: str = "_most",
+                   bucket: Column | None = None) -> DataFrame:
+    """The ``limit`` newest rows of each key, as ``limits`` (key, limit) has them, whatever the limit.
+
+    In two phases, so that no key is ranked whole in one task: counts per (key, bucket
+    of time; the day by default) find the bucket that holds the key's last row to keep.  Newer buckets
+    pass as they are; only rows of that bucket are ranked, and only down to what is left of the limit.
+    Ties go to the smaller ``tiebreak``; rows without a time come last.
+    """
+    bucket = F.date_trunc("day", F.col(newest)) if bucket is None else bucket
+    rows = df.withColumn("_b", F.coalesce(bucket.cast("timestamp"), F.lit("0001-01-01").cast("timestamp")))
+    counts = rows.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n")).join(limits.select(key, F.col(limit).alias("_limit")), key)
+    later = Window.partitionBy(key).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    counts = counts.withColumn("_left", F.col("_limit") - F.coalesce(F.sum("_n").over(later), F.lit(0))).where("_left > 0")
+    kept = rows.join(counts.select(key, "_b", "_n", "_left"), [key, "_b"])
+    whole = kept.where(F.col("_n") <= F.col("_left"))
+    w = Window.partitionBy(key, "_b").orderBy(F.desc_nulls_last(newest), tiebreak)
+    cut = kept.where(F.col("_n") > F.col("_left")).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("_left"))
+    return whole.select(*df.columns).unionByName(cut.select(*df.columns))
+
+
 def within_quota(reviews: DataFrame, quota: DataFrame, key: str = "app_id", newest: str = "review_time",
                  tiebreak: str = "review_id") -> DataFrame:
-    """Each game's newest ``pages * per_page`` reviews.  The largest quota cuts hot
-    games on the map side (WindowGroupLimit); ``quota`` is (key, pages, per_page)."""
-    most = max(pages * per_page for _, pages, per_page in config.REVIEW_QUOTA)
-    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(newest), tiebreak)
-    r = reviews.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= most)
-    return (r.join(quota.select(key, (F.col("pages") * F.col("per_page")).alias("_most")), key)
-             .filter(F.col("_rn") <= F.col("_most")).drop("_rn", "_most"))
+    """Each game's newest ``pages * per_page`` reviews, whatever quotas ``quota`` (key, pages, per_page) holds."""
+    return newest_per_key(reviews, quota.select(key, (F.col("pages") * F.col("per_page")).alias("_most")), key, newest, tiebreak)
 
 
 def pending(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -111,19 +125,3 @@ def missing(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
 def mark_done(done: DataFrame, key: str, ledger: str) -> None:
     """Append keys that are done to the ledger (a Parquet folder); repeats do no harm."""
     done.select(key).distinct().write.mode("append").parquet(ledger)
-
-
-def publish(df: DataFrame, root: str, version: int) -> None:
-    """Write a table's state as ``{root}/v={version}``, then list the version as published.
-
-    Readers see it only then, so a failed job never exposes a partial table; a
-    version written again replaces itself."""
-    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/v={version}")
-    df.sparkSession.range(1).select(F.lit(version).cast("bigint").alias("version")).write.mode("append").parquet(
-        f"{root.rstrip('/')}.published")
-
-
-def published(spark: SparkSession, root: str) -> DataFrame:
-    """The table's newest published state."""
-    newest = spark.read.parquet(f"{root.rstrip('/')}.published").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{root.rstrip('/')}/v={newest}")

@@ -53,21 +53,15 @@ def collapse(feed: DataFrame, keys, tracked, ts: str, tiebreak=(), keep=(), **cu
                       valid_to.isNull().alias("is_current"))
 
 
-def apply(history: DataFrame, batch: DataFrame, keys, tracked, ts: str,
-          tiebreak=()) -> tuple[DataFrame, DataFrame]:
-    """Merge a new batch into stored history (the set form of an upsert).
+def advance(cur: DataFrame, batch: DataFrame, keys, tracked, ts: str, tiebreak=()) -> tuple[DataFrame, DataFrame]:
+    """Versions from the stored current rows ``cur`` and a new batch, and the late rows.
 
-    The stored current row of each key seeds the comparison, so an unchanged
-    state is a no-op and a change closes the current row at the new row's
-    time.  Batch rows older than the stored current ``valid_from`` are late:
-    they are returned in the second frame and not applied.
-    Returns ``(new_history, late_rows)``.
-
-    ``history`` is read several times (current rows, their starts, closed
-    rows): pass a stored table or a checkpointed frame, not a long lazy plan.
+    Only current rows are compared, so closed history needn't be read.  The first
+    frame has every key of ``cur`` or the batch: its current row, and the versions that the
+    batch closes.  Batch rows older than the stored current ``valid_from`` are late.
+    ``cur`` is read twice: pass a stored table or a checkpointed frame.
     """
     keys, tracked, tiebreak = list(keys), list(tracked), list(tiebreak)
-    cur = history.filter(F.col("is_current"))
     types = {f.name: f.dataType for f in batch.schema.fields}
     extra = [c for c in tiebreak if c not in (*keys, *tracked, ts)]
     seed = cur.select(*keys, *tracked, F.col("valid_from").alias(ts),
@@ -83,9 +77,25 @@ def apply(history: DataFrame, batch: DataFrame, keys, tracked, ts: str,
     # nearly all rows of the feed are the batch's: cut points come from it, before the join
     sample = batch.select(*keys, ts, *tiebreak).withColumn("_src", F.lit(1))
     versions = collapse(feed, keys, tracked, ts, tiebreak=["_src", *tiebreak], sample=sample)
+    return versions.select(*keys, *tracked, "valid_from", "valid_to", "is_current"), late
+
+
+def apply(history: DataFrame, batch: DataFrame, keys, tracked, ts: str,
+          tiebreak=()) -> tuple[DataFrame, DataFrame]:
+    """Merge a new batch into stored history (the set form of an upsert).
+
+    The stored current row of each key seeds the comparison, so an unchanged
+    state is a no-op and a change closes the current row at the new row's
+    time.  Batch rows older than the stored current ``valid_from`` are late:
+    they are returned in the second frame and not applied.
+    Returns ``(new_history, late_rows)``.
+
+    ``history`` is read several times (current rows, their starts, closed
+    rows): pass a stored table or a checkpointed frame, not a long lazy plan.
+    """
+    versions, late = advance(current(history), batch, keys, tracked, ts, tiebreak)
     closed = history.filter(~F.col("is_current"))
-    cols = [*keys, *tracked, "valid_from", "valid_to", "is_current"]
-    return closed.select(*cols).unionByName(versions.select(*cols)), late
+    return closed.select(*versions.columns).unionByName(versions), late
 
 
 def as_of(history: DataFrame, at) -> DataFrame:

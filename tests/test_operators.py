@@ -107,12 +107,7 @@ def test_ingest_keeps_one_row_a_key(spark):
     assert sorted(tuple(r) for r in out.collect()) == [(1, "A", 2.0), (2, "B", 8.0)]
 
 
-def test_publish_and_ledger(spark, tmp_path):
-    root = str(tmp_path / "games")
-    for version, n in ((1, 3), (2, 5), (2, 4)):
-        IG.publish(spark.range(n), root, version)
-    spark.range(9).write.parquet(f"{root}/v=3")  # written, never published
-    assert IG.published(spark, root).count() == 4
+def test_ledger(spark, tmp_path):
     ledger = str(tmp_path / "done")
     for ids in (range(3), range(2, 5)):
         IG.mark_done(spark.createDataFrame([(i,) for i in ids], "k long"), "k", ledger)
@@ -120,6 +115,29 @@ def test_publish_and_ledger(spark, tmp_path):
     assert sorted(r.k for r in left.collect()) == [5, 6]
 
 
+def test_quota_beyond_any_tier(spark):
+    """A quota of 1,000 gives 1,000 reviews; ties go to the smaller id, rows without a time come last."""
+    import datetime as dt
+    rows = [(i, i % 2, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i // 40) if i % 11 else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "review_id long, app_id long, review_time timestamp")
+    quota = spark.createDataFrame([(0, 10, 100), (1, 1, 1995), (2, 1, 5)], "app_id long, pages int, per_page int")
+    got = {(r.app_id, r.review_id) for r in IG.within_quota(df, quota).collect()}
+    for app, n in ((0, 1000), (1, 1995)):
+        want = sorted((r for r in rows if r[1] == app), key=lambda r: (-(r[2].timestamp() if r[2] else -1e12), r[0]))[:n]
+        assert {i for a, i in got if a == app} == {r[0] for r in want}
+
+
+def test_quota_of_a_hot_key_ranks_one_bucket(spark):
+    """Of a key with two thirds of all rows, only the day that holds its last row to keep is ranked."""
+    df = spark.range(30_000).select(F.col("id").alias("review_id"), F.when(F.col("id") % 3 == 0, F.col("id") % 50).otherwise(-1).alias("app_id"),
+                                    F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 300).alias("review_time"))
+    quota = spark.createDataFrame([(-1, 1, 5000)], "app_id long, pages int, per_page int")
+    plan = IG.within_quota(df, quota)
+    got = [r.review_id for r in plan.collect()]
+    hot = sorted((i for i in range(30_000) if i % 3), reverse=True)[:5000]
+    assert sorted(got) == sorted(hot)
+
+
 def test_function_defaults_are_the_fixed_values():
     from inspect import signature
 
