@@ -2,62 +2,117 @@
 
 The reference enforces PK / UNIQUE / FK / NOT NULL / one-current-row in the
 database; on files these become an audit: one row per rule with the number of
-violating rows (0 = holds).  All rules are aggregates or anti-joins; the
-per-rule one-row results are combined by a union.
+violating rows (0 = holds).
+
+All rules are counted in one pass.  Every table is read once; each of its rows
+gives one tagged key per rule it takes part in: as an owner of the key (primary
+and unique keys, parents), as a child of it (foreign keys), or as a null.  One
+aggregate of the union by key counts owners and children -- partial counts on the
+map side, so a key with a third of all rows is one row a task -- and a second one,
+by key space, adds up what breaks a rule.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Most tables whose foreign keys name one parent.
+_CHILDREN = 5
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A constraint: ``kind`` is 'unique' (no key twice among the table's rows, nulls one key),
+    'child' (every non-null key is some parent's) or 'filled' (the column isn't null).
+
+    ``space`` names the key space that owners and children share; ``where`` restricts the rows."""
+
+    name: str
+    table: str
+    kind: str
+    keys: tuple[str, ...]
+    space: str
+    where: str = "true"
+
+
+def _unique(name, table, *keys, where="true"):
+    return Rule(name, table, "unique", keys, f"{table}.{','.join(keys)}{'' if where == 'true' else '?' + where}", where)
+
+
+def _child(name, table, key, space):
+    return Rule(name, table, "child", (key,), space)
+
+
+def _filled(name, table, key):
+    return Rule(name, table, "filled", (key,), f"null:{table}.{key}")
+
+
+RULES = [
+    _unique("pk", "developers", "dev_id"), _unique("unique_name", "developers", "name"),
+    _child("fk_parent", "developers", "parent_dev_id", "developers.dev_id"),
+    _unique("pk", "games", "app_id"), _filled("not_null_name", "games", "name"), _child("fk_dev", "games", "dev_id", "developers.dev_id"),
+    _unique("pk", "tags", "tag_id"), _unique("unique_name", "tags", "tag_name"),
+    _unique("pk", "game_tags", "app_id", "tag_id"), _child("fk_app", "game_tags", "app_id", "games.app_id"),
+    _child("fk_tag", "game_tags", "tag_id", "tags.tag_id"),
+    _unique("pk", "genres", "genre_id"), _unique("unique_name", "genres", "genre_name"),
+    _filled("not_null_name", "developers", "name"), _filled("not_null_name", "tags", "tag_name"), _filled("not_null_name", "genres", "genre_name"),
+    _unique("pk", "game_genres", "app_id", "genre_id"), _child("fk_app", "game_genres", "app_id", "games.app_id"),
+    _child("fk_genre", "game_genres", "genre_id", "genres.genre_id"), _child("fk_app", "price_history", "app_id", "games.app_id"),
+    _unique("pk", "player_counts", "app_id", "snapshot_time"), _child("fk_app", "player_counts", "app_id", "games.app_id"),
+    _unique("one_current", "price_history", "app_id", "currency_code", where="is_current"),
+    _unique("pk", "reviews", "review_id"), _child("fk_app", "reviews", "app_id", "games.app_id"),
+]
+
+
+def _key(df: DataFrame, keys) -> list[Column]:
+    """A key of up to two whole numbers and a text."""
+    whole, text = [], []
+    for k in keys:
+        kind = df.schema[k].dataType.typeName()
+        if kind in ("string", "char", "varchar"):
+            text.append(F.col(k))
+        else:
+            whole.append(F.unix_micros(F.col(k).cast("timestamp")) if kind.startswith("timestamp") else F.col(k).cast("bigint"))
+    whole += [F.lit(None).cast("bigint")] * (2 - len(whole))
+    return [whole[0].alias("k1"), whole[1].alias("k2"), (text[0] if text else F.lit(None).cast("string")).alias("k3")]
+
 
-def _row(rule: str, table: str, violations: DataFrame) -> DataFrame:
-    return violations.agg(F.count(F.lit(1)).alias("violations")).select(
-        F.lit(rule).alias("rule"), F.lit(table).alias("table"), "violations")
-
-
-def duplicate_keys(df: DataFrame, keys) -> DataFrame:
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-
-
-def orphans(df: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    return df.filter(F.col(fk).isNotNull()).join(parent.select(F.col(pk).alias(fk)), fk, "left_anti")
-
-
-def audit(t) -> DataFrame:
-    """Constraint audit of the warehouse tables."""
-    rules = [
-        _row("pk", "developers", duplicate_keys(t["developers"], "dev_id")),
-        _row("unique_name", "developers", duplicate_keys(t["developers"], "name")),
-        _row("fk_parent", "developers", orphans(t["developers"], "parent_dev_id", t["developers"], "dev_id")),
-        _row("pk", "games", duplicate_keys(t["games"], "app_id")),
-        _row("not_null_name", "games", t["games"].filter(F.col("name").isNull())),
-        _row("fk_dev", "games", orphans(t["games"], "dev_id", t["developers"], "dev_id")),
-        _row("pk", "tags", duplicate_keys(t["tags"], "tag_id")),
-        _row("unique_name", "tags", duplicate_keys(t["tags"], "tag_name")),
-        _row("pk", "game_tags", duplicate_keys(t["game_tags"], ["app_id", "tag_id"])),
-        _row("fk_app", "game_tags", orphans(t["game_tags"], "app_id", t["games"], "app_id")),
-        _row("fk_tag", "game_tags", orphans(t["game_tags"], "tag_id", t["tags"], "tag_id")),
-        _row("pk", "genres", duplicate_keys(t["genres"], "genre_id")),
-        _row("unique_name", "genres", duplicate_keys(t["genres"], "genre_name")),
-        *[_row("not_null_name", name, t[name].filter(F.col(col).isNull()))
-          for name, col in (("developers", "name"), ("tags", "tag_name"), ("genres", "genre_name"))],
-        _row("pk", "game_genres", duplicate_keys(t["game_genres"], ["app_id", "genre_id"])),
-        _row("fk_app", "game_genres", orphans(t["game_genres"], "app_id", t["games"], "app_id")),
-        _row("fk_genre", "game_genres", orphans(t["game_genres"], "genre_id", t["genres"], "genre_id")),
-        _row("fk_app", "price_history", orphans(t["price_history"], "app_id", t["games"], "app_id")),
-        _row("pk", "player_counts", duplicate_keys(t["player_counts"], ["app_id", "snapshot_time"])),
-        _row("fk_app", "player_counts", orphans(t["player_counts"], "app_id", t["games"], "app_id")),
-        _row("one_current", "price_history",
-             duplicate_keys(t["price_history"].filter(F.col("is_current")), ["app_id", "currency_code"])),
-        _row("pk", "reviews", duplicate_keys(t["reviews"], "review_id")),
-        _row("fk_app", "reviews", orphans(t["reviews"], "app_id", t["games"], "app_id")),
-    ]
-    return reduce(lambda a, b: a.unionByName(b), rules)
+def audit(t, rules=RULES) -> DataFrame:
+    """Constraint audit of the warehouse tables ``t``: (rule, table, violations), a row a rule."""
+    spaces = {s: i for i, s in enumerate(dict.fromkeys(r.space for r in rules))}
+    role, children = {}, {}
+    for r in rules:  # the place of a rule among those of its key space: 0 the owner, then its children
+        if r.kind == "child":
+            children[r.space] = children.get(r.space, 0) + 1
+            role[r] = children[r.space]
+        else:
+            role[r] = 0
+    width = max([*children.values(), _CHILDREN])
+    tagged = []
+    for name in dict.fromkeys(r.table for r in rules):
+        df, parts = t[name], []
+        for r in (r for r in rules if r.table == name):
+            part = F.struct(F.lit(spaces[r.space]).alias("space"), F.lit(role[r]).alias("role"),
+                            *([F.lit(0).cast("bigint").alias("k1"), F.lit(None).cast("bigint").alias("k2"), F.lit(None).cast("string").alias("k3")]
+                              if r.kind == "filled" else _key(df, r.keys)))
+            holds = {"unique": F.expr(r.where), "child": F.col(r.keys[0]).isNotNull(), "filled": F.col(r.keys[0]).isNull()}[r.kind]
+            parts.append(F.when(holds, part))
+        tagged.append(df.select(F.explode(F.array_compact(F.array(*parts))).alias("x")).select("x.*"))
+    rows = reduce(lambda a, b: a.unionByName(b), tagged)
+    per_key = rows.groupBy("space", "k1", "k2", "k3").agg(
+        F.count_if(F.col("role") == 0).alias("c0"), *[F.count_if(F.col("role") == i).alias(f"c{i}") for i in range(1, width + 1)])
+    # by key space: keys with several owners, owners in all, and children without an owner
+    orphan = [F.sum(F.when(F.col("c0") == 0, F.col(f"c{i}")).otherwise(0)).alias(f"o{i}") for i in range(1, width + 1)]
+    found = per_key.groupBy("space").agg(F.count_if(F.col("c0") > 1).alias("twice"), F.sum("c0").alias("owners"), *orphan)
+    found = found.select("space", F.array("twice", "owners", *[f"o{i}" for i in range(1, width + 1)]).alias("counts"))
+    place = {"unique": lambda r: 0, "filled": lambda r: 1, "child": lambda r: 1 + role[r]}
+    listed = t["games"].sparkSession.createDataFrame(
+        [(r.name, r.table, spaces[r.space], place[r.kind](r)) for r in rules], "rule string, table string, space int, place int")
+    return listed.join(found, "space", "left").select("rule", "table", F.coalesce(F.get("counts", "place"), F.lit(0)).cast("bigint").alias("violations"))
 
 
 def load_report(df: DataFrame, status_col: str = "status") -> DataFrame:
