@@ -4,12 +4,12 @@ The reference enforces PK / UNIQUE / FK / NOT NULL / one-current-row in the
 database; on files these become an audit: one row per rule with the number of
 violating rows (0 = holds).
 
-All rules are counted in one pass.  Every table is read once; each of its rows
-gives one tagged key per rule it takes part in: as an owner of the key (primary
-and unique keys, parents), as a child of it (foreign keys), or as a null.  One
-aggregate of the union by key counts owners and children -- partial counts on the
-map side, so a key with a third of all rows is one row a task -- and a second one,
-by key space, adds up what breaks a rule.
+All rules are counted by one aggregate.  Every key of a table is read once and
+tagged: as an owner of its key space (primary and unique keys, parents), as a
+child of it (foreign keys), or as a null.  One aggregate of their union by key
+counts owners and children -- partial counts on the map side, so a key with a
+third of all rows is one row a task -- and a second one, by key space, adds up
+what breaks a rule.  Scans read the key columns alone.
 """
 
 from __future__ import annotations
@@ -92,17 +92,14 @@ def audit(t, rules=RULES) -> DataFrame:
         else:
             role[r] = 0
     width = max([*children.values(), _CHILDREN])
-    tagged = []
-    for name in dict.fromkeys(r.table for r in rules):
-        df, parts = t[name], []
-        for r in (r for r in rules if r.table == name):
-            part = F.struct(F.lit(spaces[r.space]).alias("space"), F.lit(role[r]).alias("role"),
-                            *([F.lit(0).cast("bigint").alias("k1"), F.lit(None).cast("bigint").alias("k2"), F.lit(None).cast("string").alias("k3")]
-                              if r.kind == "filled" else _key(df, r.keys)))
-            holds = {"unique": F.expr(r.where), "child": F.col(r.keys[0]).isNotNull(), "filled": F.col(r.keys[0]).isNull()}[r.kind]
-            parts.append(F.when(holds, part))
-        tagged.append(df.select(F.explode(F.array_compact(F.array(*parts))).alias("x")).select("x.*"))
-    rows = reduce(lambda a, b: a.unionByName(b), tagged)
+    none = [F.lit(0).cast("bigint").alias("k1"), F.lit(None).cast("bigint").alias("k2"), F.lit(None).cast("string").alias("k3")]
+
+    def tagged(r: Rule) -> DataFrame:
+        takes_part = {"unique": F.expr(r.where), "child": F.col(r.keys[0]).isNotNull(), "filled": F.col(r.keys[0]).isNull()}[r.kind]
+        df = t[r.table].where(takes_part)
+        return df.select(F.lit(spaces[r.space]).alias("space"), F.lit(role[r]).alias("role"), *(none if r.kind == "filled" else _key(df, r.keys)))
+
+    rows = reduce(lambda a, b: a.unionByName(b), map(tagged, rules))
     per_key = rows.groupBy("space", "k1", "k2", "k3").agg(
         F.count_if(F.col("role") == 0).alias("c0"), *[F.count_if(F.col("role") == i).alias(f"c{i}") for i in range(1, width + 1)])
     # by key space: keys with several owners, owners in all, and children without an owner

@@ -31,10 +31,11 @@ def test_planted_violations(spark):
     assert got == want
 
 
-def test_every_table_is_read_once(spark):
+def test_every_key_is_read_once_and_alone(spark):
     from ludex.sources.warehouse import build, materialize
     import tempfile
 
     stored = materialize(build(spark, "/root/testdata/sf0.001"), tempfile.mkdtemp(prefix="ludex-audit-"))
     plan = Q.audit(stored)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan parquet") == len({r.table for r in Q.RULES})
+    assert plan.count("FileScan parquet") == len(Q.RULES)
+    assert plan.count("Join") == 1  # the rules' list with their counts
