@@ -1,5 +1,5 @@
-"""Vector operators: cosine KNN (V3), approximate KNN by LSH (V4), text
-embedding (V2).
+"""Vector operators: cosine KNN (V3), text embedding (V2); ``ivf`` has the index
+for approximate search (V4) and the pruned join (V5).
 
 Exact KNN is a map-side cosine per row followed by ``orderBy().limit(k)``,
 which Spark plans as TakeOrderedAndProject: every task keeps its own top k and
@@ -51,27 +51,6 @@ def knn(df: DataFrame, vec_col: str, query: Column, k: int, out: str = "similari
     return scored.orderBy(*order).limit(k)
 
 
-def ann(df: DataFrame, id_col: str, vec_col: str, query_values, k: int, bucket_length: float = 1.0,
-        num_tables: int = 8, seed: int = 7) -> DataFrame:
-    """V4: approximate KNN with random-projection LSH on L2-normalised vectors
-    (Euclidean order on unit vectors equals cosine order).  Returns
-    (id, similarity) of at most ``k`` candidates; recall is measured in tests."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    n = norm(F.col(vec_col))
-    unit = F.transform(_as_double(F.col(vec_col)), lambda x: x / n)
-    data = df.filter(F.col(vec_col).isNotNull() & (n > 0)).select(id_col, array_to_vector(unit).alias("_v"))
-    q = np.asarray(query_values, dtype=float)
-    q = q / np.linalg.norm(q)
-    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=seed).fit(data)
-    res = model.approxNearestNeighbors(data, Vectors.dense(q), k, distCol="_d")
-    # unit vectors: cos = 1 - d^2 / 2
-    return res.select(id_col, (F.lit(1.0) - F.col("_d") * F.col("_d") / 2).alias("similarity"))
-
-
 def knn_join(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str, vec: str, k: int,
              exclude_self: bool = False, block_rows: int = 4096) -> DataFrame:
     """V5: exact top-``k`` cosine neighbours in ``corpus`` for every query vector.

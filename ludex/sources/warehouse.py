@@ -16,7 +16,7 @@ from hashlib import md5
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ludex.operators import scd2
+from ludex.operators import ivf, scd2
 from ludex.sources.testdata import Raw, load
 
 F2P_EVERY = 22          # parts with p_partkey % 22 == 0 carry the F2P tag
@@ -160,7 +160,7 @@ def reviews_full(raw: Raw) -> DataFrame:
 # Derived tables that are costly to recompute and read several times per query:
 # stored once per session when the warehouse is derived on the fly.
 _STORED: set[tuple[str, str]] = set()
-STAGED = {"price_history", "tags", "genres", "game_tags", "game_genres", "player_counts"}
+STAGED = {"price_history", "tags", "genres", "game_tags", "game_genres", "player_counts", "review_index", "review_cells"}
 
 
 class Warehouse(dict):
@@ -178,6 +178,7 @@ class Warehouse(dict):
         self.sf_dir = sf_dir
         self.stage = stage
         self.pending: set[str] = set()
+        self.centroids = None
 
     def _store(self, name: str) -> None:
         from ludex.session import checkpoint_dir
@@ -205,6 +206,11 @@ class Warehouse(dict):
             df = genre_names(raw).join(self["genres"], "genre_name").select("app_id", "genre_id")
         elif name == "price_history":
             df = collapse_feed(self["price_feed"])
+        elif name in ("review_cells", "review_index"):
+            vectors = ivf.units(self["reviews_full"], "review_id", "review_embedding")
+            if self.centroids is None:
+                self.centroids = ivf.centroids(vectors)
+            df = ivf.cell_table(self.spark, self.centroids) if name == "review_cells" else ivf.index(vectors, self.centroids)
         elif name in _BUILDERS:
             df = _BUILDERS[name](raw)
         else:
@@ -225,7 +231,7 @@ _BUILDERS = {
 }
 
 TABLES = ["developers", "games", "tags", "game_tags", "genres", "game_genres",
-          "player_counts", "price_feed", "price_history", "reviews", "review_texts", "reviews_full"]
+          "player_counts", "price_feed", "price_history", "reviews", "review_texts", "reviews_full", "review_cells", "review_index"]
 
 
 def build(spark: SparkSession, sf_dir: str, stage: bool = False) -> Warehouse:
@@ -259,6 +265,7 @@ LAYOUT = {
     "reviews": dict(partition=[], sort=["app_id", "review_time"]),
     "game_tags": dict(partition=[], sort=["tag_id", "app_id"]),
     "price_feed": dict(partition=[], sort=["app_id", "ts"]),
+    "review_index": dict(partition=["cell"], sort=[]),
 }
 
 

@@ -58,17 +58,6 @@ def test_knn_matches_numpy(spark):
     assert got == list(np.argsort(-sims)[:5])
 
 
-def test_ann_recall(spark):
-    rng = np.random.default_rng(1)
-    m = rng.normal(size=(300, 8))
-    df = spark.createDataFrame([(i, m[i].tolist()) for i in range(300)], "id long, v array<double>")
-    q = m[3]
-    exact = {r.id for r in V.knn(df, "v", V.vector_literal(q), 10, tiebreak="id").collect()}
-    approx = {r.id for r in V.ann(df, "id", "v", q, 10, bucket_length=2.0, num_tables=8).collect()}
-    assert approx <= set(range(300))
-    assert len(exact & approx) / 10 >= 0.5
-
-
 def test_embed_and_backfill(spark):
     df = spark.createDataFrame([(1, "good game", None), (2, "bad game", [1.0, 0.0])], "id long, t string, e array<float>")
     out = {r.id: r.e for r in V.backfill(df, "t", "e", dim=8).collect()}
