@@ -4,7 +4,8 @@ The walk is the DataFrame form of a recursive CTE: one equi-join per level
 (children to the previous level on parent id), so the number of jobs grows
 with tree depth, not with rows.  A path-membership guard stops cycles (the
 reference's recursive SQL would loop on one).  Lineage is cut every few
-levels with ``checkpoint()`` into the session's shared checkpoint folder.
+levels with ``checkpoint()`` into the session's shared checkpoint folder, and
+the result is one checkpoint: no level stays cached.
 """
 
 from __future__ import annotations
@@ -49,7 +50,12 @@ def walk(nodes: DataFrame, roots: DataFrame, id_col: str = "dev_id", parent_col:
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
-    return out.drop("_seen")
+    # the levels are released once the result has a copy of its own
+    checkpoint_dir(out.sparkSession)
+    out = out.drop("_seen").checkpoint(eager=True)
+    for lv in [*levels, nxt]:
+        lv.unpersist()
+    return out
 
 
 def roots_of(nodes: DataFrame, id_col: str = "dev_id", parent_col: str = "parent_dev_id",

@@ -1,45 +1,30 @@
 """Text operators: lexicon sentiment (V1), snippets.
 
-All Column expressions (JVM side, whole-stage codegen); no Python UDF.
-The whole text is tokenised, never a prefix.
+All Column expressions (JVM side; the regular expressions run outside generated code); no Python UDF.
+The whole text is searched, never a prefix.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ludex import config
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased maximal runs of [a-z] (everything else separates tokens).
-
-    Same tokens as replacing every char outside [a-z] and whitespace by a
-    space and splitting on whitespace, in one regex pass; the empty tokens a
-    leading separator leaves match no lexicon word."""
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z]+")
-
-
-def lexicon_counts(toks: Column, positive=None, negative=None) -> Column:
-    """struct(p, n): positive and negative token counts in one pass over the tokens."""
-    pos = F.array(*[F.lit(w) for w in (positive or config.POSITIVE_WORDS)])
-    neg = F.array(*[F.lit(w) for w in (negative or config.NEGATIVE_WORDS)])
-    zero = F.struct(F.lit(0).alias("p"), F.lit(0).alias("n"))
-    return F.aggregate(toks, zero, lambda acc, x: F.struct(
-        (acc["p"] + F.when(F.array_contains(pos, x), 1).otherwise(0)).alias("p"),
-        (acc["n"] + F.when(F.array_contains(neg, x), 1).otherwise(0)).alias("n")))
+def word_count(text: Column, words) -> Column:
+    """How often any of ``words`` occurs in ``text`` as a whole token: a maximal run of [a-z],
+    lower-cased, whatever else separates them.  One regex pass with an alternation."""
+    some = "|".join(re.escape(w) for w in words)
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?<![a-z])(?:{some})(?![a-z])"))
 
 
 def with_lexicon(df: DataFrame, text_col: str, positive=None, negative=None, prefix: str = "lex_") -> DataFrame:
-    """Add pos, neg (token counts with multiplicity), score = pos - neg, label by sign.
-
-    Tokens are materialised once in their own projection, so the regex runs
-    once per text."""
-    cols = df.columns
-    out = (df.select(*cols, tokens(F.col(text_col)).alias("_toks"))
-             .select(*cols, lexicon_counts(F.col("_toks"), positive, negative).alias("_lex"))
-             .select(*cols, F.col("_lex.p").alias(prefix + "pos"), F.col("_lex.n").alias(prefix + "neg")))
+    """Add pos, neg (token counts with multiplicity), score = pos - neg, label by sign."""
+    out = df.withColumns({prefix + "pos": word_count(F.col(text_col), positive or config.POSITIVE_WORDS),
+                          prefix + "neg": word_count(F.col(text_col), negative or config.NEGATIVE_WORDS)})
     score = F.col(prefix + "pos") - F.col(prefix + "neg")
     return (out.withColumn(prefix + "score", score)
                .withColumn(prefix + "label", F.when(score > 0, "positive").when(score < 0, "negative")

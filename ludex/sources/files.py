@@ -59,18 +59,16 @@ def _blank_to(c: Column, default: Column) -> Column:
     return F.when(c.isNull() | (c.cast("string") == ""), default).otherwise(c)
 
 
-def with_file_name(df: DataFrame) -> DataFrame:
-    return df.withColumn("_file", F.col("_metadata.file_name")) \
-             .withColumn("_file_time", F.col("_metadata.file_modification_time"))
+def latest_path(spark: SparkSession, path: str, by: str = "name") -> str | None:
+    """The newest file under ``path`` -- of the largest name (``by='name'``) or modification time
+    (``by='time'``; ties: the larger name, then path).  None where there is no file.
 
-
-def latest_file(df: DataFrame, by: str = "name") -> DataFrame:
-    """Keep rows of the newest file -- max file name (``by='name'``) or
-    newest modification time (``by='time'``).  The max is a scalar sub-query."""
-    df = with_file_name(df)
-    col = "_file" if by == "name" else "_file_time"
-    newest = df.agg(F.max(col)).scalar()
-    return df.filter(F.col(col) == newest).drop("_file", "_file_time")
+    A ``binaryFile`` listing pruned to path and time: no file's content is read."""
+    listed = spark.read.format("binaryFile").load(path).select("path", "modificationTime")
+    name = F.substring_index("path", "/", -1)
+    order = [F.desc(name), F.desc("path")]
+    newest = listed.orderBy(*([F.desc("modificationTime")] if by == "time" else []), *order).select("path").first()
+    return newest["path"] if newest else None
 
 
 def read_snapshot(spark: SparkSession, path: str, latest_only: bool = True,
@@ -79,9 +77,9 @@ def read_snapshot(spark: SparkSession, path: str, latest_only: bool = True,
 
     A missing price becomes 0 like the reference's loader (and so counts as
     free); ``missing_price='null'`` keeps it unknown instead."""
-    raw = spark.read.csv(path, header=True, schema=SNAPSHOT_SCHEMA)
     if latest_only:
-        raw = latest_file(raw)
+        path = latest_path(spark, path) or path
+    raw = spark.read.csv(path, header=True, schema=SNAPSHOT_SCHEMA)
     ts = _blank_to(F.col("snapshot_time"), F.lit(None))
     return raw.select(
         F.col("app_id").cast("bigint").alias("app_id"),

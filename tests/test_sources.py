@@ -24,6 +24,11 @@ def test_snapshot_defaults_and_latest_file(spark, tmpdir_session):
     assert rows[0].price == Decimal("19.99") and rows[0].discount_pct == 10
     assert rows[1].name == "app_11" and rows[1].owners_estimate == "0" and rows[1].price == Decimal("0.00")
     assert rows[1].snapshot_time is not None
+    # the listing reads no content, and only the newest file is scanned
+    assert FS.latest_path(spark, d).endswith("2024-01-02.csv")
+    os.utime(f"{d}/steamspy_snapshot_2024-01-01.csv", (4_000_000_000, 4_000_000_000))
+    assert FS.latest_path(spark, d, by="time").endswith("2024-01-01.csv")
+    assert "2024-01-01" not in FS.read_snapshot(spark, d)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_app_details(spark, tmpdir_session):
