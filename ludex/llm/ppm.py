@@ -20,7 +20,6 @@ Chunks hold about ``CHUNK_BYTES`` of text whatever the corpus.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,9 +39,11 @@ BITS = 9
 #: Escape method D: every symbol seen in a context gives this much of its count to the escape.
 DISCOUNT = 0.5
 #: Coding steps handled at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 19
 #: Text bytes of a chunk of documents.
-CHUNK_BYTES = 1 << 25
+CHUNK_BYTES = 3 << 23
+#: Text bytes split into words at once.
+WORD_BYTES = 1 << 21
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -194,42 +195,68 @@ class Trie:
         return logp
 
 
-def token_counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
+def words_of(column) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """The words of ``tokens``, without the ends, of a column of texts, split and numbered by Arrow.
+
+    A few MB of texts at a time: their distinct words, the place among them of each word, and its text."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    begins = np.unique(np.searchsorted(size // WORD_BYTES, np.arange(size[-1] // WORD_BYTES + 1))) if len(size) else []
+    for i, j in zip(begins, [*begins[1:], len(column)]):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.slice(i, j - i), "")))
+        flat, row = lists.flatten(), pc.list_parent_indices(lists)
+        some = pc.not_equal(pc.binary_length(flat), 0)  # what lies before a leading space
+        found = flat.filter(some).dictionary_encode()
+        yield found.dictionary.cast(pa.binary()), found.indices.to_numpy(), row.filter(some).to_numpy() + i
+
+
+#: The end of a text, as a token.
+_END = pa.array([b""], pa.binary())
+
+
+def token_counts(docs: DataFrame) -> DataFrame:
     """docs (train boolean, t) -> (token, c): every token of any text and its number in the
     training texts.  Tasks add up before the shuffle."""
     def run(batches):
-        held: Counter = Counter()
-
-        def out():
-            b = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["token", "c"])
-            held.clear()
-            return b
-
         for b in batches:
-            for train, t in zip(b.column("train").to_pylist(), texts(b, "t")):
-                words = tokens(t)
-                if train:
-                    held.update(words)
-                else:
-                    for w in words:
-                        if w not in held:
-                            held[w] = 0
-            if len(held) >= flush:
-                yield out()
-        yield out()
+            train = np.array(b.column("train").to_pylist(), bool)
+            words, counts = [_END], [np.array([train.sum()])]
+            for some, at, text in words_of(b.column("t")):
+                words.append(some)
+                counts.append(np.bincount(at[train[text]], minlength=len(some)))
+            every = pa.concat_arrays(words).dictionary_encode()
+            c = np.bincount(every.indices.to_numpy(), np.concatenate(counts), len(every.dictionary)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([every.dictionary, pa.array(c)], names=["token", "c"])
 
     return docs.mapInArrow(run, "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Places in a sorted array where a new value begins."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[_firsts(x)]
+
+
 def _added(gram: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each gram once, sorted, with the sum of its counts."""
     order = np.argsort(gram)
     gram, count = gram[order], count[order]
-    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
+    first = _firsts(gram)
     return gram[first], np.add.reduceat(count, first) if len(first) else count
 
 
-def gram_counts(docs: DataFrame, flush: int = 1 << 22) -> DataFrame:
+def steps_of(rows, some: int = 512, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``grams`` of the texts (t) of a table or batch, ``some`` texts at a time: few bytes are held beside it."""
+    for at in range(0, rows.num_rows, some):
+        for row, sizes, gram in grams(texts(rows.slice(at, some), "t"), block):
+            yield row + at, sizes, gram
+
+
+def gram_counts(docs: DataFrame, flush: int = 1 << 21) -> DataFrame:
     """docs (train boolean, t) -> (gram, c): every gram of any text and its number in the
     training texts.  Tasks add up before the shuffle."""
     def run(batches):
@@ -242,12 +269,12 @@ def gram_counts(docs: DataFrame, flush: int = 1 << 22) -> DataFrame:
 
         for b in batches:
             train = np.array(b.column("train").to_pylist(), bool)
-            for rows, sizes, gram in grams(texts(b, "t")):
-                use = np.repeat(train[rows], sizes)
-                u, c = np.unique(gram[use], return_counts=True)
-                v = np.unique(gram[~use])
-                held += [(u, c.astype(np.int64)), (v, np.zeros(len(v), np.int64))]
-                size += len(u) + len(v)
+            for rows, sizes, gram in steps_of(b):
+                # grams and whether they train, sorted as one number
+                one = np.sort(gram << 1 | np.repeat(train[rows], sizes))
+                first = _firsts(one >> 1)
+                held.append((one[first] >> 1, np.add.reduceat(one & 1, first)))
+                size += len(first)
                 if size >= flush:
                     g, c = out()
                     size = len(g)
@@ -295,6 +322,26 @@ def coded(counted: DataFrame) -> DataFrame:
     return below.select("gram", F.col("p").alias("logp"))
 
 
+def summed(steps: np.ndarray, sizes: np.ndarray, gram: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """The sum of the steps' ``logp`` for each text of ``sizes`` steps; ``gram`` is sorted.
+
+    Steps are sorted as one number with their text, so that each gram is looked up once, in order."""
+    out = np.zeros(len(sizes))
+    bits = 63 - BITS * (ORDER + 1)
+    ends, most = np.cumsum(sizes), 1 << bits
+    for at in range(0, len(sizes), most):
+        first, last = ends[at] - sizes[at], ends[min(at + most, len(sizes)) - 1]
+        one = np.sort(steps[first:last] << bits | np.repeat(np.arange(len(sizes[at:at + most])), sizes[at:at + most]))
+        found, text = one >> bits, one & (most - 1)
+        begins = _firsts(found)
+        i = np.minimum(np.searchsorted(gram, found[begins]), len(gram) - 1)
+        if not (gram[i] == found[begins]).all():
+            raise ValueError("grams of a chunk are missing: the input changed between two reads")
+        known = np.repeat(logp[i].astype(np.float64), np.diff(np.r_[begins, len(one)]))
+        out[at:at + most] = np.bincount(text, known, len(sizes[at:at + most]))
+    return out
+
+
 def dealt(given: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Adds ``chunk``: rows are dealt one by one to as many chunks as the texts (t) fill, so a
     chunk has about ``chunk_bytes`` whatever the corpus, and copies of a row spread."""
@@ -324,46 +371,42 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     chunked = dealt(given).repartition(n, "chunk")
 
     def tokens_of(rows: pa.Table) -> pa.Table:
-        words = sorted({w for t in texts(rows, "t") for w in tokens(t)})
-        return pa.table([pa.array([rows.column("chunk")[0].as_py()] * len(words), pa.int64()), pa.array(words, pa.binary())], names=["chunk", "token"])
+        words = pc.unique(pa.concat_arrays([_END, *[some for some, _, _ in words_of(rows.column("t"))]]))
+        return pa.table([pa.array(np.full(len(words), rows.column("chunk")[0].as_py())), words], names=["chunk", "token"])
 
     def grams_of(rows: pa.Table) -> pa.Table:
-        found = np.zeros(0, np.int64)
-        for _, _, gram in grams(texts(rows, "t")):
-            found = np.union1d(found, np.unique(gram))
+        pa.default_memory_pool().release_unused()
+        found = _distinct(np.concatenate([_distinct(gram) for _, _, gram in steps_of(rows)]))
         return pa.table([pa.array(np.full(len(found), rows.column("chunk")[0].as_py())), pa.array(found)], names=["chunk", "gram"])
 
     groups = chunked.groupBy("chunk")
-    known_tokens = groups.applyInArrow(tokens_of, "chunk bigint, token binary").join(counted, "token").select("chunk", "token", F.col("c").alias("n"), F.lit(None).cast("double").alias("logp"))
-    known_grams = groups.applyInArrow(grams_of, "chunk bigint, gram bigint").join(scored, "gram").select("chunk", F.lit(None).cast("binary").alias("token"), F.col("gram").alias("n"), "logp")
-    # n is a token's training count, or a gram
+    known_tokens = groups.applyInArrow(tokens_of, "chunk bigint, token binary").join(counted, "token").select("chunk", "token", F.col("c").alias("n"), F.lit(None).cast("float").alias("logp"))
+    known_grams = groups.applyInArrow(grams_of, "chunk bigint, gram bigint").join(scored, "gram").select("chunk", F.lit(None).cast("binary").alias("token"), F.col("gram").alias("n"), F.col("logp").cast("float"))
+    # n is a token's training count, or a gram; a step's logp travels in single precision, sums are double
     wanted = known_tokens.unionByName(known_grams)
     floor = float(all_tokens + kinds + 1)
 
     def add_up(rows: pa.Table, known: pa.Table) -> pa.Table:
-        spelled = pc.is_valid(known.column("token"))
-        table_, coded_ = known.filter(spelled), known.filter(pc.invert(spelled))
-        c = table_.column("n").to_numpy()
-        base, seen = np.log10((c + 1) / floor), c > 0
-        at = {w: i for i, w in enumerate(table_.column("token").to_pylist())}
-        gram, logp = coded_.column("n").to_numpy(), coded_.column("logp").to_numpy()
-        order = np.argsort(gram)
+        pa.default_memory_pool().release_unused()  # a worker keeps what earlier stages took
+        gram, logp = known.column("n").to_numpy(), known.column("logp").to_numpy()
+        spelled = pc.is_valid(known.column("token")).to_numpy()
+        c, spelled_ = gram[spelled], pc.drop_null(known.column("token")).combine_chunks()
+        order = np.flatnonzero(~spelled)
+        order = order[np.argsort(gram[order])]
         gram, logp = gram[order], logp[order]
-        given_ = texts(rows, "t")
-        out = [[], [], []]
-        for t in given_:
-            words = tokens(t)
-            i = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-            for col, v in zip(out, (len(words), int(seen[i].sum()), base[i].sum())):
-                col.append(v)
-        scores = np.zeros(len(given_))
-        for row, sizes, found in grams(given_):
-            i = np.minimum(np.searchsorted(gram, found), len(gram) - 1)
-            if not (gram[i] == found).all():
-                raise ValueError("grams of a chunk are missing: the input changed between two reads")
-            np.add.at(scores, row, np.add.reduceat(logp[i], np.cumsum(sizes) - sizes))
-        return pa.table([rows.column("k"), rows.column("held_out"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
-                         pa.array(out[2], pa.float64()), pa.array(scores)],
+        del order, spelled
+        n = rows.num_rows
+        end = c[pc.index_in(_END, value_set=spelled_)[0].as_py()]
+        n_tokens, n_known, base = np.ones(n, np.int64), np.full(n, int(end > 0)), np.full(n, np.log10((end + 1) / floor))
+        for words, at, text in words_of(rows.column("t")):
+            of = c[pc.index_in(words, value_set=spelled_).to_numpy()]
+            n_tokens += np.bincount(text, minlength=n)
+            n_known += np.bincount(text, (of > 0)[at], n).astype(np.int64)
+            base += np.bincount(text, np.log10((of + 1) / floor)[at], n)
+        scores = np.zeros(n)
+        for row, sizes, found in steps_of(rows, block=BLOCK // 2):
+            np.add.at(scores, row, summed(found, sizes, gram, logp))
+        return pa.table([rows.column("k"), rows.column("held_out"), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(scores)],
                         names=["k", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     kind = docs.schema[key].dataType.simpleString()

@@ -365,3 +365,20 @@ def test_labelled_sample_is_bounded_where_keys_repeat(spark):
     labels = spark.createDataFrame([(i, 1) for i in (1, 1, 2, 3, 9)], "doc_id bigint, toxic int")
     got = toxicity.labelled_sample(docs, labels, "toxic", "doc_id", 2, 4, 99).collect()
     assert len(got) == 2 and all(r.text in {1: ("a",), 2: (None,), 3: ("c",)}[r.key] for r in got)
+
+
+@pytest.mark.parametrize("piece", [7, 64, 1 << 22])
+def test_ppm_words_are_the_tokens(piece, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ppm, "WORD_BYTES", piece)
+
+    rng = random.Random(8)
+    given = ["".join(rng.choice("aB é\x1c\x85\xa0\t\n\x0b\x0c\r .İ") for _ in range(rng.randrange(30))) for _ in range(300)] + ["", " ", None]
+    got = [[] for _ in given]
+    for words, at, text in ppm.words_of(pa.array(given, pa.string())):
+        words = words.to_pylist()
+        assert len(set(words)) == len(words)
+        for w, i in zip(at, text):
+            got[i].append(words[w])
+    assert got == [ppm.tokens((t or "").encode())[:-1] for t in given]
