@@ -153,8 +153,8 @@ def embed(df: DataFrame, text_col: str, out: str = "embedding", encoder=None, di
     return df.mapInPandas(run, schema)
 
 
-def backfill(df: DataFrame, text_col: str, vec_col: str, encoder=None, dim: int = 64) -> DataFrame:
+def backfill(df: DataFrame, text_col: str, vec_col: str, encoder=None, dim: int = 64, batch_size: int | None = None) -> DataFrame:
     """K8: fill ``vec_col`` where it is NULL; rows that have a vector pass through."""
     have = df.filter(F.col(vec_col).isNotNull())
-    need = embed(df.filter(F.col(vec_col).isNull()).drop(vec_col), text_col, vec_col, encoder, dim)
+    need = embed(df.filter(F.col(vec_col).isNull()).drop(vec_col), text_col, vec_col, encoder, dim, batch_size)
     return have.unionByName(need.select(*df.columns))

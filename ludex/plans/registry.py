@@ -24,5 +24,5 @@ def register(name: str, sql: str | None = None, **args):
 def load_all():
     # importing the modules fills REGISTRY
     from ludex.plans import (market, prices, series, reviews, tags, studios, search,  # noqa: F401
-                             categories, ingest_checks, reports)
+                             categories, ingest_checks, reports, feeds)
     return REGISTRY

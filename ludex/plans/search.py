@@ -100,21 +100,29 @@ def review_search_ann(t, k: int = 12, probes: int = PROBES):
 
 
 # V2 ------------------------------------------------------------------------
+#: Signed token counts by vector component, as the hashing encoder adds them up.
+CELLS_SQL = ("cells", """
+    SELECT review_id, h % 64 AS i, CAST(sum(CASE WHEN (h >> 16) % 2 = 1 THEN 1 ELSE -1 END) AS DOUBLE) AS s
+    FROM (SELECT review_id, CAST('0x' || left(md5(w), 8) AS BIGINT) AS h FROM (
+        SELECT review_id, unnest(regexp_extract_all(lower(review_text), '[a-z0-9]+')) AS w FROM reviews_full))
+    GROUP BY ALL""")
+
+
+def e6(col: str):
+    """A vector in millionths, as text."""
+    return F.array_join(F.transform(col, lambda x: F.round(x.cast("double") * 1000000).cast("bigint").cast("string")), ",")
+
+
 @register("review_embeddings", sql("""
 SELECT review_id, string_agg(CAST(CAST(round(CAST(CAST(COALESCE(s / size, 0) AS FLOAT) AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR),
                              ',' ORDER BY i) AS embedding_e6
 FROM (SELECT review_id FROM reviews_full WHERE review_text IS NOT NULL) CROSS JOIN (SELECT unnest(range(64)) AS i)
 LEFT JOIN cells USING (review_id, i) LEFT JOIN (
     SELECT review_id, NULLIF(sqrt(sum(s * s)), 0) AS size FROM cells GROUP BY review_id) USING (review_id)
-GROUP BY review_id""", [("cells", """
-    SELECT review_id, h % 64 AS i, CAST(sum(CASE WHEN (h >> 16) % 2 = 1 THEN 1 ELSE -1 END) AS DOUBLE) AS s
-    FROM (SELECT review_id, CAST('0x' || left(md5(w), 8) AS BIGINT) AS h FROM (
-        SELECT review_id, unnest(regexp_extract_all(lower(review_text), '[a-z0-9]+')) AS w FROM reviews_full))
-    GROUP BY ALL""")]))
+GROUP BY review_id""", [CELLS_SQL]))
 def review_embeddings_e6(t):
     """The embeddings in millionths, as text."""
-    e = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("bigint").cast("string"))
-    return review_embeddings(t).select("review_id", F.array_join(e, ",").alias("embedding_e6"))
+    return review_embeddings(t).select("review_id", e6("embedding").alias("embedding_e6"))
 
 
 def review_embeddings(t, dim: int = 64):
