@@ -5,7 +5,7 @@ of its paragraphs' vectors, lane by lane modulo powers of two.  The sum doesn't
 paragraphs' order, and adding or taking away a paragraph adds or takes away its vector.
 
 Lanes, each modulo 2^60:
-- ``EXACT`` lanes sum hashes of the whole paragraph: equality;
+- ``EXACT`` lanes sum 60 bits each of the whole paragraph's SHA-256, 240 in all: equality;
 - one lane counts the paragraph's pieces, runs of about two words that end at certain letters;
 - ``PACKED`` lanes hold two 30-bit fields each, sums of hash bits of the pieces, exact for
   texts of fewer than 2^29 pieces.  Each bit is a fair coin, so the squared +-1 sums of a difference of two fingerprints average to the
@@ -65,12 +65,14 @@ def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
     zero = F.lit(0).cast("long")
 
     def added(i):
-        return lambda acc, p: _add(acc, F.xxhash64(p, F.lit(i)).bitwiseAND(F.lit(MOD)))
+        # a lane takes 15 hex digits of its own of the paragraph's digest
+        return lambda acc, d: _add(acc, F.conv(F.substring(d, 1 + 15 * i, 15), 16, 10).cast("long"))
 
-    exact = {f"_x{i}": F.aggregate(F.split(whole, "\n"), zero, added(i)) for i in range(EXACT)}
+    exact = {f"_x{i}": F.aggregate("_ds", zero, added(i)) for i in range(EXACT)}
     # the lanes of whole paragraphs are made before the explode, once a row
     pieces = (rows.select(*others, F.monotonically_increasing_id().alias("_row"),
-                          *[c.alias(n) for n, c in exact.items()], F.split(whole, PIECE_END).alias("_ps"))
+                          F.transform(F.split(whole, "\n"), lambda p: F.sha2(p.cast("binary"), 256)).alias("_ds"), F.split(whole, PIECE_END).alias("_ps"))
+              .select(*others, "_row", *[c.alias(n) for n, c in exact.items()], "_ps")
               .select(*others, "_row", *exact, F.explode_outer("_ps").alias("_p"))
               .select(*others, "_row", *exact, F.when(F.col("_p") != "", F.xxhash64("_p")).otherwise(zero).alias("_h0")))
     # an empty piece hashes to zeros, which add nothing

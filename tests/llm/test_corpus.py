@@ -382,3 +382,35 @@ def test_ppm_words_are_the_tokens(piece, monkeypatch):
         for w, i in zip(at, text):
             got[i].append(words[w])
     assert got == [ppm.tokens((t or "").encode())[:-1] for t in given]
+
+
+def test_exact_lanes_are_sums_of_paragraph_digests(spark):
+    import hashlib
+
+    given = ["a\nb\na", "b\na\na", "", None, "a\n\nb", "é\n漢"]
+    df = spark.createDataFrame(list(enumerate(given)), "id int, text string")
+    got = {r.id: list(r.f)[:lthash.EXACT] for r in lthash.with_fingerprint(df, "text", "f").collect()}
+    for i, t in enumerate(given):
+        digests = [hashlib.sha256(p.encode()).hexdigest() for p in (t or "").split("\n")]
+        assert got[i] == [sum(int(d[15 * k:15 * k + 15], 16) for d in digests) % (1 << 60) for k in range(lthash.EXACT)]
+    assert got[0] == got[1] != got[4]
+
+
+def test_edited_texts_and_their_likeness(spark):
+    """The edited text is the contract's, and likeness follows the share of words that stays."""
+    import hashlib
+
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(["one ", "two ", "naïve ", "漢字 ", "line\n", "sea ", "tree "]) for _ in range(rng.randrange(60, 400))) for _ in range(12)]
+    texts[4], texts[7] = "", "x"
+    df = spark.createDataFrame([(3 * i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for r in lthash.fingerprints(df).collect():
+        i = r.doc_id // 3
+        t, follow = texts[i], texts[(i + 1) % len(texts)]
+        k = len(t) // 4
+        edited = t[:len(t) - k] + follow[:k]
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert (r.fingerprint == r.edited_fingerprint) == (sorted(t.split("\n")) == sorted(edited.split("\n")))
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        if edited == t:
+            assert r.near_edited == 1
