@@ -1,20 +1,27 @@
 """License scans: MinHash bands over overlapping text windows, then exact shingle containment.
 
 Words are lower-cased and lose the punctuation at their ends; what has no letter or digit, as
-comment marks, is no word.  A window is two neighbouring word shingles (of five words, so six
-words in all) and starts at every word.  Templates are cut into the same windows.  Each of
-``bands`` bands is one MinHash: a window and a template window meet if any of their MinHashes
-agree.  An unchanged stretch of two shingles meets surely; a template of one shingle lies in two
-windows of a text that holds it, and misses a band only if both other shingles hash lower:
-probability 1/3 a band, and 3^-8 < 2e-4 over eight bands.  Where a window was retrieved, the
-stretches around it are verified exactly, word by word: the share of the template's shingles
-that occur in a stretch must be at least ``least``.  Stretches are three templates long and
-start at every multiple of the template's length, so a template with as many words again put
-in between lies in one, and the work is linear in texts and templates.
+comment marks, is no word.  A shingle is five words.
+
+Retrieval: windows of a text start at every half of their width and are compared with the
+template's windows of that width at every shingle.  A window's MinHashes are the smallest of its shingle hashes
+under ``HASHES`` orders (xor with a constant).  Templates of 96 shingles or more use windows of 16, and two
+of the five MinHashes must agree (ten bands of two rows); those of 5 to 95 use windows of 4, and one of four
+must agree; shorter ones must stand whole, so their one window is their smallest shingle.  An unchanged
+window that starts where a text window does is retrieved surely.  At the least containment, 0.8, with the missing
+shingles spread evenly, windows have a Jaccard similarity of 2/3 and meet with probability 0.95 (of 16) or
+0.99 (of 4) each; a copy of a template of 96 shingles holds ten windows of 16 or more, one of 5 shingles one
+window of 4, of which the one missing shingle leaves 0.6: 0.97.  ``met_probability`` gives the figures.
+
+Verification: only pairs of a text and a template that retrieval gave are verified, word by word:
+the share of the template's shingles that occur in a stretch of the text must be at least ``least``.
+Stretches are three templates long and start at every multiple of the template's length, so
+a template with as many words again put in between lies in one.
 
 Phrases are shorter than a shingle; they are found where their words stand in a row.
 
-Only DataFrame expressions are used; the templates are the one broadcast side.
+Only DataFrame expressions are used; the templates' keys and shingles are the one broadcast side:
+their size is that of the templates given, not of the texts.
 """
 
 from __future__ import annotations
@@ -82,34 +89,84 @@ def _words(text: Column) -> Column:
     return F.slice(cut, 2, F.greatest(F.lit(0), F.size(cut) - 2))
 
 
-def _probes(rows: DataFrame, words: str, others: list[str], bands: int, sizes: list[int]) -> DataFrame:
-    """(others, at, size, probe, run) for the window at every word: with size 0 the bands'
-    MinHashes (the window at the last shingle has that shingle alone), with each of ``sizes``
-    the hash of as many words from there on.  ``run`` has the words, for the exact comparison."""
-    width = max([SHINGLE + 1, *sizes])
-    ahead = [F.col(words)] + [F.slice(words, i, F.size(words)) for i in range(2, width + 1)]
-    zipped = F.arrays_zip(*[c.alias(f"w{i}") for i, c in enumerate(ahead)])
-    each = rows.select(*others, zipped.alias("_z")).select(*others, F.posexplode("_z").alias("at", "_w"))
-    word = [F.col(f"_w.w{i}") for i in range(width)]
-    first, second = F.xxhash64(*word[:SHINGLE]), F.xxhash64(*word[1:SHINGLE + 1])
-    run = F.array(*word)
-    each = each.select(*others, "at", run.alias("run"), first.alias("_a"), F.when(word[SHINGLE].isNotNull(), second).otherwise(first).alias("_b"),
-                       *[F.when(word[n - 1].isNotNull(), F.xxhash64(*word[:n])).alias(f"_s{n}") for n in sizes],
-                       word[SHINGLE - 1].isNotNull().alias("_full"))
-    probes = [F.struct(F.lit(0).alias("size"), F.when(F.col("_full"), F.least(F.xxhash64("_a", F.lit(i)), F.xxhash64("_b", F.lit(i)))).alias("probe"))
-              for i in range(bands)]
-    probes += [F.struct(F.lit(n).alias("size"), F.col(f"_s{n}").alias("probe")) for n in sizes]
-    return (each.select(*others, "at", "run", F.explode(F.array(*probes)).alias("_p"))
-            .select(*others, "at", "run", "_p.size", "_p.probe").where(F.col("probe").isNotNull()))
+#: Orders of MinHashes: a shingle's hash is compared after xor with one of these.
+HASHES = [0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B, 0x6A09E667F3BCC908, 0x510E527FADE682D1]
+#: Widths of windows in shingles, and the least shingles of a template that uses them: so many that a copy
+#: holds ten windows of a text's (wide ones), or one: width + step - 1.
+WIDE, NARROW = 16, 4
+WIDE_FROM, NARROW_FROM = 6 * WIDE, NARROW + NARROW // 2 - 1
+
+
+def met_probability(jaccard: float, width: int) -> float:
+    """Probability that two windows of this Jaccard similarity meet."""
+    miss, n = 1 - jaccard, len(HASHES)
+    return 1 - miss ** n - n * jaccard * miss ** (n - 1) if width == WIDE else 1 - miss ** (n - 1)
+
+
+def _hashes(words: str, n: int) -> Column:
+    """The hash of the ``n`` words from each word on; [] where there are fewer."""
+    last = F.size(words) - n
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+                                         lambda i: F.xxhash64(*[F.get(F.col(words), i + j) for j in range(n)]))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _windows(width: int, step: int) -> Column:
+    """Keys (at, key) of the windows of ``width`` shingles at every ``step``, from the ordered hashes ``o0``, ``o1``..."""
+    pairs = [(i, j) for i in range(len(HASHES)) for j in range(i)] if width == WIDE else [(i, i) for i in range(len(HASHES) - 1)]
+    last = F.size("o0") - width
+
+    def keys(at):
+        # single places, as a slice within a lambda copies the whole array
+        least = [F.least(*[F.get(F.col(f"o{i}"), at + j) for j in range(width)]) for i in range(len(HASHES) if width == WIDE else len(HASHES) - 1)]
+        return F.transform(F.array(*[F.xxhash64(F.lit(1000 * width + 10 * i + j), least[i], least[j]) for i, j in pairs]),
+                           lambda k: F.struct(at.alias("at"), k.alias("key")))
+
+    starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))
+    return F.when(last >= 0, F.flatten(F.transform(starts, keys))).otherwise(F.array().cast("array<struct<at:int,key:bigint>>"))
+
+
+def _places(hashes: Column, label: int) -> Column:
+    """Keys (at, key) of single hashes."""
+    return F.transform(hashes, lambda h, i: F.struct(i.alias("at"), F.xxhash64(F.lit(label), h).alias("key")))
+
+
+def _ordered(rows: DataFrame, words: str, others: list[str], sizes: list[int]) -> DataFrame:
+    """``others`` with the hashes of shingles (h), of runs of each of ``sizes`` words (p<size>), and the shingles' in each order (o0, ...)."""
+    rows = rows.select(*others, _hashes(words, SHINGLE).alias("h"), *[_hashes(words, n).alias(f"p{n}") for n in sizes])
+    return rows.select("*", *[F.transform("h", lambda x, c=c: x.bitwiseXOR(F.lit(c))).alias(f"o{i}") for i, c in enumerate(HASHES)])
+
+
+def _runs(rows: DataFrame, words: str, others: list[str], sizes: list[int]) -> DataFrame:
+    """(others, at, run): the words in a row from each word on, as many as each of ``sizes``."""
+    ahead = F.arrays_zip(*[F.col(words).alias("w0")] + [F.slice(words, i + 1, F.size(words)).alias(f"w{i}") for i in range(1, max(sizes))])
+    word = [F.col(f"x.w{i}") for i in range(max(sizes))]
+    each = F.array(*[F.when(word[n - 1].isNotNull(), F.array(*word[:n])) for n in sizes])
+    return (rows.select(*others, F.posexplode(ahead).alias("at", "x"))
+            .select(*others, "at", F.explode(F.array_compact(each)).alias("run")))
+
+
+def retrieve(docs: DataFrame, kinds: DataFrame, sizes: list[int]) -> DataFrame:
+    """(tid, license, short, at): the windows and places of texts (tid, w) that meet a template's.
+
+    ``kinds``: (license, short, tw, tn); ``sizes``: the phrases' lengths."""
+    t = _ordered(kinds, "tw", ["license", "short", "tn"], sizes)
+    shingles = F.col("tn") - SHINGLE + 1
+    one = F.transform(F.array(F.array_min("h")), lambda h: F.struct(F.lit(0).alias("at"), F.xxhash64(F.lit(SHINGLE), h).alias("key")))
+    phrase = F.coalesce(*[F.when(F.col("tn") == n, _places(F.col(f"p{n}"), n)) for n in sizes], F.array().cast("array<struct<at:int,key:bigint>>"))
+    keys = (F.when(F.col("short"), phrase).when(shingles >= WIDE_FROM, _windows(WIDE, 1)).when(shingles >= NARROW_FROM, _windows(NARROW, 1)).otherwise(one))
+    probes = t.select("license", "short", F.explode(keys).alias("k")).select("license", "short", "k.key").distinct()
+    each = F.concat(_windows(WIDE, WIDE // 2), _windows(NARROW, NARROW // 2), _places(F.col("h"), SHINGLE), *[_places(F.col(f"p{n}"), n) for n in sizes])
+    own = _ordered(docs, "w", ["tid"], sizes).select("tid", F.explode(each).alias("k")).select("tid", "k.at", "k.key")
+    return own.join(F.broadcast(probes), "key").select("tid", "license", "short", "at").distinct()
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text",
-         bands: int = 8, least: float = 0.8, phrases: dict[str, str] | None = None) -> DataFrame:
+         least: float = 0.8, phrases: dict[str, str] | None = None) -> DataFrame:
     """(key, license, containment, from_word, matches) per row and template found in it.
 
     ``containment``: the best share of the template's shingles in one stretch of the text;
     ``from_word``: the first shingle's first word in such stretches, from 0, words as above;
-    ``matches``: windows retrieved in them (phrases: places).  Templates need five words or
+    ``matches``: windows of the text that retrieved the template (phrases: places).  Templates need five words or
     more (ValueError), ``phrases`` one to four.  What is shipped is scanned if neither is given.
 
     Null, blank and short texts match nothing; repeated rows are found each; null keys stay;
@@ -127,27 +184,29 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "d
     wrong = [name for (name, is_short), n in counted.items() if (not 1 <= n < SHINGLE if is_short else n < SHINGLE)]
     if wrong:
         raise ValueError(f"templates need {SHINGLE} words, phrases 1 to {SHINGLE - 1}: {wrong}")
-    sizes = sorted({n for (_, is_short), n in counted.items() if is_short} | {SHINGLE})
-    own = F.when(F.col("short"), F.col("tn")).otherwise(F.lit(SHINGLE))
-    probes = (_probes(kinds, "tw", ["license", "tn", "short"], bands, sizes)
-              .where((F.col("size") == own) | ((F.col("size") == 0) & ~F.col("short")))
-              .select("license", "tn", "short", "size", "probe", F.when(F.col("size") > 0, F.slice("run", 1, F.greatest("size", F.lit(1)))).alias("wording"))
-              .distinct())
-    shares = probes.where("size > 0").groupBy("license", "short").agg(F.count(F.lit(1)).alias("of"))
-    own_rows = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), _words(F.col(text)).alias("w"))
-    met = (_probes(own_rows, "w", ["key", "row"], bands, sizes).join(F.broadcast(probes), ["size", "probe"])
-           .where((F.col("size") == 0) | (F.slice("run", 1, F.greatest("size", F.lit(1))) == F.col("wording")))
-           .select("key", "row", "license", "short", "tn", "at", F.when(F.col("size") > 0, F.array_join("wording", " ")).alias("shingle"))
-           .distinct())
+    sizes = sorted({n for (_, is_short), n in counted.items() if is_short})
+    # retrieval depends on the text alone: texts are known by their hash, and texts that share one are verified for both
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tid"))
+    met = retrieve(own.select("tid", _words(F.col("text")).alias("w")), kinds, sizes)
+    # a row a text: the templates to verify there, each with the windows retrieved (at most the templates given)
+    wanted = (met.groupBy("tid", "license", "short").agg(F.count(F.lit(1)).alias("met"))
+              .groupBy("tid").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("license", "short"), "met"))).alias("wanted")))
+    lengths = sorted({SHINGLE, *sizes})
+    own_size = F.when(F.col("short"), F.col("tn")).otherwise(F.lit(SHINGLE))
+    runs = _runs(kinds, "tw", ["license", "short", "tn"], lengths).where(F.size("run") == own_size).drop("at").distinct()
+    shares = runs.groupBy("license", "short").agg(F.count(F.lit(1)).alias("of"))
+    # the pairs of retrieval alone are compared, word by word
+    candidates = own.join(wanted, "tid").select(F.monotonically_increasing_id().alias("row"), "key", "wanted", _words(F.col("text")).alias("w"))
+    each = _runs(candidates, "w", ["row", "key", "wanted"], lengths)
+    found = (each.join(F.broadcast(runs), "run").withColumn("met", F.element_at("wanted", F.struct("license", "short")))
+             .where(F.col("met").isNotNull()).drop("wanted"))
     # a place lies in the stretches that start at the last three multiples of the template's length
     block = F.floor(F.col("at") / F.col("tn"))
-    spread = met.select("*", F.explode(F.when(F.col("short"), F.array(F.lit(0).cast("long"))).otherwise(F.array(block - 2, block - 1, block))).alias("stretch"))
+    spread = found.select("*", F.explode(F.when(F.col("short"), F.array(F.lit(0).cast("long"))).otherwise(F.array(block - 2, block - 1, block))).alias("stretch"))
     found = (spread.groupBy("row", "key", "license", "short", "stretch")
-             .agg(F.countDistinct("shingle").alias("n"), F.min(F.when(F.col("shingle").isNotNull(), F.col("at"))).alias("place"),
-                  F.collect_set(F.when(F.col("shingle").isNull() | F.col("short"), F.col("at"))).alias("windows"))
+             .agg(F.countDistinct("run").alias("n"), F.min("at").alias("place"), F.max("met").alias("met"))
              .join(F.broadcast(shares), ["license", "short"]).withColumn("share", F.col("n") / F.col("of"))
-             .where((F.col("share") >= least) & (F.size("windows") > 0)))
+             .where(F.col("share") >= least))
     return (found.groupBy("row", "key", "license")
-            .agg(F.max("share").alias("containment"), F.min("place").cast("long").alias("from_word"),
-                 F.size(F.array_distinct(F.flatten(F.collect_list("windows")))).cast("long").alias("matches"))
+            .agg(F.max("share").alias("containment"), F.min("place").cast("long").alias("from_word"), F.max("met").cast("long").alias("matches"))
             .select(F.col("key").alias(key), "license", "containment", "from_word", "matches"))
