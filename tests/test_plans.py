@@ -7,7 +7,7 @@ import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"]
-PYTHON_ALLOWED = {"review_embeddings", "review_knn_join"}
+PYTHON_ALLOWED = {"embedding_backfill", "review_embeddings", "review_knn_join"}
 
 
 @pytest.mark.parametrize("name", sorted(E.queries()))
