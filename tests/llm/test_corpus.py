@@ -287,37 +287,6 @@ def test_license_scan(docs, empty):
         licenses.scan(docs, {"x": "All rights reserved."})
 
 
-def test_license_windows_meet_as_often_as_stated():
-    rng = random.Random(3)
-    for width, low in ((licenses.WIDE, 0.93), (licenses.NARROW, 0.97)):
-        met = 0
-        for _ in range(3000):
-            common = [rng.getrandbits(64) for _ in range(2 * width)]
-            a = common + [rng.getrandbits(64) for _ in range(width // 2)]
-            b = common + [rng.getrandbits(64) for _ in range(width // 2)]
-            same = sum(min(x ^ c for x in a) == min(x ^ c for x in b) for c in licenses.HASHES[:5 if width == licenses.WIDE else 4])
-            met += same >= (2 if width == licenses.WIDE else 1)
-        jaccard = 2 * width / (3 * width)
-        assert met / 3000 >= low and abs(met / 3000 - licenses.met_probability(jaccard, width)) < 0.02
-
-
-def test_license_verification_touches_retrieved_pairs_only(spark, monkeypatch):
-    """Without retrieval nothing is verified, though the text holds the template whole."""
-    df = spark.createDataFrame([(1, "Released under the MIT License today")], "doc_id bigint, text string")
-    assert [r.license for r in licenses.scan(df).collect()] == ["mit"]
-    found = licenses.retrieve
-    monkeypatch.setattr(licenses, "retrieve", lambda *a: found(*a).where("false"))
-    assert licenses.scan(df).count() == 0
-
-
-def test_license_scan_where_row_order_isnt_fixed(spark):
-    """Equal texts, null keys and a table dealt anew on every read."""
-    mit = "Released under the MIT License"
-    df = spark.createDataFrame([(None, mit), (None, mit), (1, mit), (2, None), (3, "x " * 40 + mit)] * 20, "doc_id bigint, text string").repartition(7)
-    got = [tuple(r) for r in licenses.scan(df).collect()]
-    assert len(got) == 80 and sum(r[0] is None for r in got) == 40 and {r[3] for r in got if r[0] == 3} == {40}
-
-
 def test_license_scan_against_brute_force(spark):
     def words(t):
         out = [re.sub(r"^[\W_]+|[\W_]+$", "", w) for w in (t or "").lower().split()]
