@@ -40,13 +40,17 @@ def collapse(feed: DataFrame, keys, tracked, ts: str, tiebreak=(), keep=(), **cu
     ``sequence.runs`` (``sample``: a frame with the keys, ``ts`` and ``tiebreak``).
     """
     keys, tracked, keep = list(keys), list(tracked), list(keep)
-    order = ["valid_from", *[f"_tb{i}" for i in range(len(tiebreak))]]
-    named = [F.col(ts).alias("valid_from"), *[F.col(c).alias(f"_tb{i}") for i, c in enumerate(tiebreak)]]
+    # a tracked column that breaks ties is carried once
+    names = [c if c in tracked else f"_tb{i}" for i, c in enumerate(tiebreak)]
+    order = ["valid_from", *names]
+    named = [F.col(ts).alias("valid_from"), *[F.col(c).alias(n) for c, n in zip(tiebreak, names)]]
     if cut.get("sample") is not None:
         cut = cut | {"sample": cut["sample"].select(*keys, *named)}
-    f = runs(feed.select(*keys, *tracked, *keep, *named), keys, order, **cut)
+    extra = [named[0], *[c for c, n in zip(named[1:], names) if n not in tracked]]
+    f = runs(feed.select(*keys, *tracked, *keep, *extra), keys, order, **cut)
     f = f.neighbour(tracked, -1, "prev_", marker="_has")
-    opens = f.on(f.df.filter(~F.col("_has") | _changed(tracked)).select(*keys, *tracked, *keep, *order, *f.columns()))
+    opens = f.on(f.df.filter(~F.col("_has") | _changed(tracked))
+                 .select(*keys, *tracked, *keep, *[c for c in order if c not in tracked], *f.columns()))
     out = opens.neighbour(["valid_from"], 1, "_next_").df
     valid_to = F.col("_next_valid_from")
     return out.select(*keys, *tracked, *keep, "valid_from", valid_to.alias("valid_to"),

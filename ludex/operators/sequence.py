@@ -148,7 +148,8 @@ def runs(df: DataFrame, keys, order, sample: DataFrame | None = None, one_in: in
     run = F.when(group > 0, (group - 1) * width + within).otherwise(0)
     b = df.join(F.broadcast(points), _same(df, points, keys), "left")
     b = b.withColumns({"_hot": F.col("_cuts").isNotNull(), "_run": F.coalesce(F.when(F.col("_cuts").isNotNull(), run), F.lit(0))})
-    return Runs(b.drop("_cuts", *["_of_" + c for c in keys]), keys, order, True)
+    # dealt out by run: rows that come shuffled by key alone would keep a hot key in one task
+    return Runs(b.drop("_cuts", *["_of_" + c for c in keys]).repartition(*keys, "_run"), keys, order, True)
 
 
 def lag_within(df: DataFrame, keys, order, cols, prefix: str = "prev_", marker: str | None = None, **cut) -> DataFrame:
