@@ -89,7 +89,9 @@ def genre_names(raw: Raw) -> DataFrame:
 
 
 def player_counts(raw: Raw) -> DataFrame:
-    li = raw["lineitem"]
+    # dealt by ranges of the game and time before they are added up: the one shuffle also
+    # clusters the stored table, and a hot game is cut at times
+    li = raw["lineitem"].select("l_partkey", "l_shipdate", "l_quantity").repartitionByRange("l_partkey", "l_shipdate")
     g = li.groupBy(F.col("l_partkey").alias("app_id"), F.col("l_shipdate").alias("snapshot_time")) \
           .agg(F.sum("l_quantity").alias("_q"))
     s = F.floor(F.col("_q")).cast("int")
@@ -102,12 +104,13 @@ def player_counts(raw: Raw) -> DataFrame:
     )
 
 
-def price_feed(raw: Raw) -> DataFrame:
+def price_feed(raw: Raw, join: str | None = None) -> DataFrame:
+    """Price states of the games in both currencies; ``join``: a hint how to look up the parts."""
     li = raw["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                                 "l_quantity", "l_discount", "l_tax", "l_linestatus", "l_shipdate")
     p = raw["part"].filter(~((F.col("p_partkey") % NULL_PRICE_EVERY == 0) & (F.col("p_partkey") % 5 < 3))) \
                    .select("p_partkey", "p_size")
-    j = li.join(p, li.l_partkey == p.p_partkey)
+    j = li.join(p.hint(join) if join else p, li.l_partkey == p.p_partkey)
     usd = F.col("l_linestatus") == "O"
     factor = F.lit(Decimal("0.9")) + F.col("l_tax").cast("decimal(4,2)")
     price = (F.when(F.col("p_size") <= 5, F.lit(Decimal("0")))
@@ -125,14 +128,29 @@ def price_feed(raw: Raw) -> DataFrame:
 FEED_ORDER = ["l_orderkey", "l_linenumber", "price", "discount_pct", "l_suppkey", "l_quantity"]
 
 
-def collapse_feed(feed: DataFrame) -> DataFrame:
+def feed_places(raw: Raw) -> DataFrame:
+    """Keys and order of the price feed from the line items alone, prices left null: where to
+    cut hot keys needs no join."""
+    return raw["lineitem"].select(
+        F.col("l_partkey").alias("app_id"),
+        F.when(F.col("l_linestatus") == "O", F.lit("USD")).otherwise(F.lit("INR")).alias("currency_code"),
+        F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber",
+        F.lit(None).cast("decimal(10,2)").alias("price"), F.lit(None).cast("int").alias("discount_pct"),
+        "l_suppkey", "l_quantity")
+
+
+def collapse_feed(feed: DataFrame, **cut) -> DataFrame:
     """SCD2 versions of a price feed per (app_id, currency_code)."""
     return scd2.collapse(feed, keys=["app_id", "currency_code"], tracked=["price", "discount_pct"],
-                         ts="ts", tiebreak=FEED_ORDER)
+                         ts="ts", tiebreak=FEED_ORDER, **cut)
+
 
+def price_history(raw: Raw, feed: DataFrame | None = None) -> DataFrame:
+    """Versions of the price feed (of a stored one when given).
 
-def price_history(raw: Raw) -> DataFrame:
-    return collapse_feed(price_feed(raw))
+    The parts are looked up by a shuffled hash join: the line items are shuffled once, by
+    game, for the join and the windows alike, and sorted once, for the windows."""
+    return collapse_feed(price_feed(raw, "shuffle_hash") if feed is None else feed, sample=feed_places(raw))
 
 
 def reviews(raw: Raw) -> DataFrame:
@@ -205,7 +223,7 @@ class Warehouse(dict):
         elif name == "game_genres":
             df = genre_names(raw).join(self["genres"], "genre_name").select("app_id", "genre_id")
         elif name == "price_history":
-            df = collapse_feed(self["price_feed"])
+            df = price_history(raw, self.get("price_feed"))
         elif name in ("review_cells", "review_index"):
             vectors = ivf.units(self["reviews_full"], "review_id", "review_embedding")
             if self.centroids is None:
@@ -259,9 +277,11 @@ class Materialized(dict):
 
 # Physical layout of stored tables: partition columns (pruned on read) and
 # the sort inside files (min/max statistics let Parquet skip row groups).
+# ``clustered``: the frame comes shuffled by the first sort column; another
+# shuffle, before which Spark would compute the frame twice, isn't made.
 LAYOUT = {
-    "price_history": dict(partition=["is_current", "currency_code"], sort=["app_id", "valid_from"]),
-    "player_counts": dict(partition=[], sort=["app_id", "snapshot_time"]),
+    "price_history": dict(partition=["is_current", "currency_code"], sort=["app_id", "valid_from"], clustered=True),
+    "player_counts": dict(partition=[], sort=["app_id", "snapshot_time"], clustered=True),
     "reviews": dict(partition=[], sort=["app_id", "review_time"]),
     "game_tags": dict(partition=[], sort=["tag_id", "app_id"]),
     "price_feed": dict(partition=[], sort=["app_id", "ts"]),
@@ -269,26 +289,31 @@ LAYOUT = {
 }
 
 
+def laid_out(df: DataFrame, name: str) -> DataFrame:
+    """A table's rows in the order of their files."""
+    lay = LAYOUT.get(name, {})
+    if not lay.get("sort"):
+        return df
+    if not lay.get("clustered"):
+        df = df.repartitionByRange(lay["sort"][0])
+    return df.sortWithinPartitions(*lay["partition"], *lay["sort"])
+
+
 def materialize(wh: Warehouse, root: str, names=None) -> Materialized:
     """Write the tables once (e.g. by the ingest job) and return a reader.
 
     ``price_history`` is partitioned by (is_current, currency_code): the
     current-price lookups of nearly every query read one small partition.
     Fact tables are clustered by app_id (range partitioning, then a sort), so
-    per-game filters skip row groups by Parquet statistics."""
+    per-game filters skip row groups by Parquet statistics; ``price_history`` keeps
+    the hash partitions of its windows, so a game's versions lie together in the
+    files of one task and filters skip pages of the others.  Files are sorted
+    behind their partition columns: the writer needs no sort of its own."""
     stored = Materialized(wh.spark, root)
     for name in names or TABLES:
-        df = wh[name]
-        lay = LAYOUT.get(name)
-        w = df
-        if lay:
-            if lay["sort"]:
-                w = df.repartitionByRange(lay["sort"][0]).sortWithinPartitions(*lay["sort"])
-            writer = w.write.mode("overwrite")
-            if lay["partition"]:
-                writer = writer.partitionBy(*lay["partition"])
-        else:
-            writer = w.write.mode("overwrite")
+        writer = laid_out(wh[name], name).write.mode("overwrite")
+        if partition := LAYOUT.get(name, {}).get("partition"):
+            writer = writer.partitionBy(*partition)
         writer.parquet(f"{root.rstrip('/')}/{name}")
         # later tables derive from the stored copy (price_history from price_feed,
         # game_tags from tags), not from a re-derivation of the raw tables
