@@ -6,9 +6,10 @@ which Spark plans as TakeOrderedAndProject: every task keeps its own top k and
 only k rows per task reach the final merge.  The query vector is a Column
 (a literal of the embedding width).
 
-Embedding is the one place Python runs per batch: ``mapInPandas`` hands Arrow
-batches to a caller-supplied encoder (a sentence model where installed; the
-default here is a hashing encoder, since no model is installed).
+Embedding is the one place Python runs per batch: ``mapInArrow`` hands pieces of
+Arrow batches, cut by bytes of text, to a caller-supplied encoder (a sentence
+model where installed; the default here is a hashing encoder, since no model is
+installed).
 """
 
 from __future__ import annotations
@@ -17,9 +18,14 @@ from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of text handed to an encoder at once.
+PIECE_BYTES = 1 << 20
+
 
 def _as_double(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
@@ -136,8 +142,9 @@ def embed(df: DataFrame, text_col: str, out: str = "embedding", encoder=None, di
           batch_size: int | None = None) -> DataFrame:
     """V2: add ``out`` = encoder(text) as array<float>, batch by batch (Arrow).
 
-    ``batch_size`` (K12) caps rows per Arrow batch handed to the encoder
-    (the reference encodes 500 texts at a time)."""
+    A worker holds the tokens of about ``PIECE_BYTES`` of text, whatever rows an
+    Arrow batch has and however long they are.  ``batch_size`` (K12) caps rows
+    handed to the encoder (the reference encodes 500 texts at a time)."""
     encoder = encoder or hashing_encoder(dim)
     from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
     schema = StructType(df.schema.fields + [StructField(out, ArrayType(FloatType()), True)])
@@ -145,12 +152,22 @@ def embed(df: DataFrame, text_col: str, out: str = "embedding", encoder=None, di
 
     def run(batches):
         for whole in batches:
-            step = batch_size or max(1, len(whole))
-            for i in range(0, len(whole), step):
-                pdf = whole[cols].iloc[i:i + step].copy()
-                pdf[out] = list(np.asarray(encoder(pdf[text_col].reset_index(drop=True)), dtype=np.float32))
-                yield pdf
-    return df.mapInPandas(run, schema)
+            for i, j in pieces(whole.column(text_col), batch_size):
+                some = whole.select(cols).slice(i, j - i)
+                # the encoder's rows as one flat Arrow list, without a Python object a row
+                made = np.ascontiguousarray(encoder(some.column(text_col).to_pandas()), dtype=np.float32)
+                ends = pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1])
+                vectors = pa.ListArray.from_arrays(ends, pa.array(made.ravel()))
+                yield pa.RecordBatch.from_arrays([*some.columns, vectors], names=[*cols, out])
+    return df.mapInArrow(run, schema)
+
+
+def pieces(column: pa.Array, rows: int | None = None, size: int = PIECE_BYTES) -> list[tuple[int, int]]:
+    """Bounds (from, to) of runs of a text column: ``size`` bytes beside the longest text, ``rows`` rows at most."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    cuts = np.flatnonzero(np.diff(ends // size)) + 1 if len(ends) else []
+    bounds = [0, *map(int, cuts), len(column)]
+    return [(a, min(a + (rows or len(column)), j)) for i, j in zip(bounds, bounds[1:]) for a in range(i, j, rows or len(column))]
 
 
 def backfill(df: DataFrame, text_col: str, vec_col: str, encoder=None, dim: int = 64, batch_size: int | None = None) -> DataFrame:

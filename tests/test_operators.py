@@ -1,6 +1,7 @@
 """Hierarchy, vectors, tags, ingest and quality operators."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ludex.operators import hierarchy as H
@@ -65,6 +66,23 @@ def test_embed_and_backfill(spark):
     assert abs(sum(x * x for x in out[1]) - 1) < 1e-5
 
 
+def test_embed_hands_out_pieces_of_bounded_bytes(spark):
+    plain = V.hashing_encoder(8)
+
+    def encoder(texts):
+        sizes = [len(x or "") + 1 for x in texts]
+        assert sum(sizes) - max(sizes) <= 1 << 20, sizes  # beside the longest text
+        return plain(texts)
+    rows = [(i, None if i % 50 == 0 else f"w{i} " * (i % 40) * 200) for i in range(300)] + [(300, "long " * (1 << 20)), (301, "")]
+    df = spark.createDataFrame(rows, "id long, txt string").coalesce(1)
+    got = {r.id: r for r in V.embed(df, "txt", "v", encoder=encoder, dim=8).collect()}
+    assert len(got) == 302
+    for (i, txt), want in zip(rows, plain(pd.Series([t for _, t in rows]))):
+        assert got[i].txt == txt and np.array_equal(np.float32(got[i].v), want)
+    small = V.embed(df, "txt", "v", encoder=lambda x: plain(x) if len(x) <= 7 else 1 / 0, dim=8, batch_size=7)
+    assert small.count() == 302
+
+
 def test_pair_counts_symmetric_and_lift(spark):
     gt = spark.createDataFrame([(a, t) for a in range(40) for t in ([1, 2] if a % 2 else [1, 3])],
                                "app_id long, tag_id long")
