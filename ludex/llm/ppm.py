@@ -28,6 +28,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ludex.functions.batches import pieces
+
 from .common import crc_bucket, parts, stored, texts
 
 ORDER = 5
@@ -40,6 +42,9 @@ BITS = 9
 DISCOUNT = 0.5
 #: Coding steps handled at once.
 BLOCK = 1 << 19
+#: What is left of a long beside a gram: a count of up to so much is held with it.
+FREE = 63 - BITS * (ORDER + 1)
+MOST = (1 << FREE) - 1
 #: Text bytes of a chunk of documents.
 CHUNK_BYTES = 3 << 23
 #: Text bytes split into words at once.
@@ -218,6 +223,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """docs (train boolean, t) -> (token, c): every token of any text and its number in the
     training texts.  Tasks add up before the shuffle."""
     def run(batches):
+        pa.default_memory_pool().release_unused()
         for b in batches:
             train = np.array(b.column("train").to_pylist(), bool)
             words, counts = [_END], [np.array([train.sum()])]
@@ -241,19 +247,52 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[_firsts(x)]
 
 
-def _added(gram: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each gram once, sorted, with the sum of its counts."""
-    order = np.argsort(gram)
-    gram, count = gram[order], count[order]
-    first = _firsts(gram)
-    return gram[first], np.add.reduceat(count, first) if len(first) else count
+def packed(gram: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A gram and its count as one long; a count beyond ``MOST`` takes several."""
+    whole, rest = np.divmod(count, MOST)
+    one = gram << FREE | rest
+    return np.concatenate([one, np.repeat(gram << FREE | MOST, whole)]) if whole.any() else one
+
+
+def added(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each gram of ``packed`` ones once, sorted, with the sum of its counts; empties ``held``.
+
+    They are sorted in place, so little is held beside one copy."""
+    one = np.concatenate(held)
+    held.clear()
+    one.sort()
+    first = _firsts(one >> FREE)
+    gram = one[first] >> FREE
+    one &= MOST
+    return gram, np.add.reduceat(one, first) if len(first) else one
+
+
+def distinct(blocks: Iterator[np.ndarray], flush: int = 1 << 21) -> np.ndarray:
+    """The different grams of the blocks, sorted.  They are merged whenever as many as before came in, and ``flush``."""
+    held, size, merged = [], 0, 0
+    for b in blocks:
+        held.append(_distinct(b))
+        size += len(held[-1])
+        if size >= 2 * merged + flush:
+            held = [_merged(held)]
+            size = merged = len(held[0])
+    return _merged(held) if held else np.zeros(0, np.int64)
+
+
+def _merged(held: list[np.ndarray]) -> np.ndarray:
+    """The different values of the arrays, sorted in place; empties ``held``."""
+    one = np.concatenate(held)
+    held.clear()
+    one.sort()
+    return one[_firsts(one)]
 
 
 def steps_of(rows, some: int = 512, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``grams`` of the texts (t) of a table or batch, ``some`` texts at a time: few bytes are held beside it."""
-    for at in range(0, rows.num_rows, some):
-        for row, sizes, gram in grams(texts(rows.slice(at, some), "t"), block):
-            yield row + at, sizes, gram
+    """``grams`` of the texts (t) of a table or batch, ``some`` texts of about two blocks of bytes
+    at a time, or a longer one: few bytes are held beside it."""
+    for i, j in pieces(rows.column("t"), some, 2 * block):
+        for row, sizes, gram in grams(texts(rows.slice(i, j - i), "t"), block):
+            yield row + i, sizes, gram
 
 
 def gram_counts(docs: DataFrame, flush: int = 1 << 21) -> DataFrame:
@@ -261,28 +300,27 @@ def gram_counts(docs: DataFrame, flush: int = 1 << 21) -> DataFrame:
     training texts.  Tasks add up before the shuffle."""
     def run(batches):
         held, size = [], 0
-
-        def out():
-            g, c = _added(*(np.concatenate(x) for x in zip(*held)))
-            held[:] = [(g, c)]
-            return g, c
-
+        pa.default_memory_pool().release_unused()
         for b in batches:
             train = np.array(b.column("train").to_pylist(), bool)
             for rows, sizes, gram in steps_of(b):
                 # grams and whether they train, sorted as one number
-                one = np.sort(gram << 1 | np.repeat(train[rows], sizes))
+                one = gram << 1 | np.repeat(train[rows], sizes)
+                one.sort()
                 first = _firsts(one >> 1)
-                held.append((one[first] >> 1, np.add.reduceat(one & 1, first)))
-                size += len(first)
+                held.append(packed(one[first] >> 1, np.add.reduceat(one & 1, first)))
+                size += len(held[-1])
                 if size >= flush:
-                    g, c = out()
-                    size = len(g)
-                    if 2 * size >= flush:
-                        held, size = [], 0
+                    g, c = added(held)
+                    if 2 * len(g) >= flush:
+                        size = 0
                         yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c)], names=["gram", "c"])
+                    else:
+                        held.append(packed(g, c))
+                        size = len(held[0])
+                    del g, c
         if held:
-            g, c = out()
+            g, c = added(held)
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c)], names=["gram", "c"])
 
     return docs.mapInArrow(run, "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
@@ -376,7 +414,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
 
     def grams_of(rows: pa.Table) -> pa.Table:
         pa.default_memory_pool().release_unused()
-        found = _distinct(np.concatenate([_distinct(gram) for _, _, gram in steps_of(rows)]))
+        found = distinct(gram for _, _, gram in steps_of(rows, block=BLOCK // 2))
         return pa.table([pa.array(np.full(len(found), rows.column("chunk")[0].as_py())), pa.array(found)], names=["chunk", "gram"])
 
     groups = chunked.groupBy("chunk")
@@ -391,10 +429,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
         gram, logp = known.column("n").to_numpy(), known.column("logp").to_numpy()
         spelled = pc.is_valid(known.column("token")).to_numpy()
         c, spelled_ = gram[spelled], pc.drop_null(known.column("token")).combine_chunks()
-        order = np.flatnonzero(~spelled)
-        order = order[np.argsort(gram[order])]
+        gram, logp = gram[~spelled], logp[~spelled]
+        del known, spelled
+        order = np.argsort(gram)
         gram, logp = gram[order], logp[order]
-        del order, spelled
+        del order
         n = rows.num_rows
         end = c[pc.index_in(_END, value_set=spelled_)[0].as_py()]
         n_tokens, n_known, base = np.ones(n, np.int64), np.full(n, int(end > 0)), np.full(n, np.log10((end + 1) / floor))

@@ -19,12 +19,10 @@ from hashlib import md5
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text handed to an encoder at once.
-PIECE_BYTES = 1 << 20
+from ludex.functions.batches import pieces
 
 
 def _as_double(v: Column) -> Column:
@@ -162,14 +160,6 @@ def embed(df: DataFrame, text_col: str, out: str = "embedding", encoder=None, di
     return df.mapInArrow(run, schema)
 
 
-def pieces(column: pa.Array, rows: int | None = None, size: int = PIECE_BYTES) -> list[tuple[int, int]]:
-    """Bounds (from, to) of runs of a text column: ``size`` bytes beside the longest text, ``rows`` rows at most."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-    cuts = np.flatnonzero(np.diff(ends // size)) + 1 if len(ends) else []
-    bounds = [0, *map(int, cuts), len(column)]
-    return [(a, min(a + (rows or len(column)), j)) for i, j in zip(bounds, bounds[1:]) for a in range(i, j, rows or len(column))]
-
-
 def backfill(df: DataFrame, text_col: str, vec_col: str, encoder=None, dim: int = 64, batch_size: int | None = None) -> DataFrame:
     """K8: fill ``vec_col`` where it is NULL; rows that have a vector pass through."""
     have = df.filter(F.col(vec_col).isNotNull())

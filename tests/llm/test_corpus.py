@@ -271,6 +271,39 @@ def test_ppm_contexts_are_exact_and_long_texts_go_on():
     assert (whole == cut).all() and len(whole) == len(text) + 1 + 1 + 3
 
 
+def test_ppm_counts_are_packed_beside_their_grams():
+    rng = np.random.default_rng(3)
+    top = (1 << ppm.BITS * (ppm.ORDER + 1)) - 1
+    gram = np.concatenate([rng.integers(0, 50, 400), [top, top, 0]])
+    count = np.concatenate([rng.integers(0, 4000, 400), [0, 10 ** 6, ppm.MOST]])
+    held = [ppm.packed(gram[:200], count[:200]), ppm.packed(gram[200:], count[200:])]
+    assert all(h.min() >= 0 and h.dtype == np.int64 for h in held)
+    want = Counter()
+    for g, c in zip(gram.tolist(), count.tolist()):
+        want[g] += c
+    got, c = ppm.added(held)
+    assert dict(zip(got.tolist(), c.tolist())) == dict(want) and not held and (np.diff(got) > 0).all()
+
+
+def test_ppm_gram_counts_hold_few_bytes(spark):
+    import tracemalloc
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 123, 6000, np.uint8)).decode() for _ in range(2000)] + ["same words " * 20000] * 200
+    steps = ppm.steps_of(pa.table({"t": texts}))
+    tracemalloc.start()
+    try:
+        n = sum(len(gram) for _, _, gram in steps)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == sum(len(t) + 1 for t in texts)
+    assert peak < 64 << 20, peak
+    df = spark.createDataFrame([(i % 3 > 0, t) for i, t in enumerate(texts[:40] + texts[-3:])], "train boolean, t string").coalesce(1)
+    want = {r.gram: r.c for r in ppm.gram_counts(df).collect()}
+    assert {r.gram: r.c for r in ppm.gram_counts(df, flush=20000).collect()} == want
+
+
 def test_ppm_chunks_are_bounded_in_bytes(spark):
     copies = spark.createDataFrame([(None, "x" * 999)] * 2000, "k bigint, t string")
     size = Counter(r.chunk for r in ppm.dealt(copies, 100_000).select("chunk").collect())
