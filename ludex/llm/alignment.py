@@ -29,7 +29,9 @@ import pyspark.sql.types as T
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from ludex.functions.batches import pieces
+
+from .common import map_arrow, stored
 
 #: Bytes of text handed to the tokenizers at once, and in one block.
 BATCH_BYTES, BLOCK_BYTES = 1 << 20, 8 << 20
@@ -156,15 +158,11 @@ def default_paths() -> tuple[str, str]:
 
 
 def _pieces(batches, most: int) -> Iterator[tuple[pa.Array, list[str], int]]:
-    """(keys, texts, bytes) of at most ``most`` bytes of text, or of one longer text."""
+    """(keys, texts, bytes) of ``most`` bytes of text beside the longest; only one piece's texts are strings at a time."""
     for batch in batches:
-        keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-        sizes = np.array([4 * len(t) if not t.isascii() else len(t) for t in texts], np.int64)
-        i = 0
-        while i < len(texts):
-            j = max(i + 1, int(np.searchsorted(np.cumsum(sizes[i:]), most, "right")) + i)
-            yield keys.slice(i, j - i), texts[i:j], int(sizes[i:j].sum())
-            i = j
+        for i, j in pieces(batch.column(1), size=most):
+            texts = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
+            yield batch.column(0).slice(i, j - i), texts, sum(4 * len(t) if not t.isascii() else len(t) for t in texts)
 
 
 def align(docs: DataFrame, paths: tuple[str, str], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -184,7 +182,7 @@ def align(docs: DataFrame, paths: tuple[str, str], key: str = "doc_id", text: st
                 [keys, *[pa.array([r[i].astype(np.int32) for r in rows], pa.list_(pa.int32())) for i in range(4)]],
                 names=schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return map_arrow(docs.select(key, text), run, schema)
 
 
 #: Ids of a pair in one number: the one of A, then that of B.
@@ -239,7 +237,7 @@ def _blocks(docs: DataFrame, paths, key: str, text: str) -> DataFrame:
         if found:
             yield from block(number, keys, figures, found)
 
-    out = docs.select(key, text).mapInArrow(run, schema)
+    out = map_arrow(docs.select(key, text), run, schema)
     return out.toDF("block", "key", "n_a", "n_b", "n_groups", "groups_sha256", "at", "times", "pairs")
 
 

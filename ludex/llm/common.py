@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ludex.session import checkpoint_dir
 
+#: MB of rows that a Python worker gets at once.
+BATCH_MB = 4
+
 #: Word characters of every contract: anything but space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,6 +44,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow`` whose workers get batches of about ``BATCH_MB`` MB: long texts aren't
+    gathered to ten thousand in the JVM's and the worker's memory.  A session that has its own
+    setting keeps it.  It is read when the rows are asked for, so it stays set."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) == "67108864b":  # Spark's default
+        conf.set(name, f"{BATCH_MB}m")
+    return df.mapInArrow(fn, schema)
+
+
 def crc_bucket(col: str | Column, n: int) -> Column:
     """crc32 of an id as text, modulo n (null ids: the empty text)."""
     c = F.col(col) if isinstance(col, str) else col

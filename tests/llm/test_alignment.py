@@ -3,6 +3,8 @@
 import hashlib
 from collections import Counter
 
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from ludex.llm import alignment as A
 
@@ -112,3 +114,16 @@ def test_quick_encoder_is_the_library(spark):
     assert al.quick is not None
     for text in filter(None, TEXTS):
         assert al._byte_ids([" " + text])[0] == [i for i, _ in _tokens(text)[0]]
+
+
+def test_workers_get_texts_by_a_few_mb(spark):
+    from ludex.llm.common import BATCH_MB, map_arrow
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    docs = spark.range(0, 400, 1, 1).select("id", F.repeat(F.lit("word "), 20_000).alias("text"))
+    got = map_arrow(docs, sizes, "n bigint, size bigint").collect()
+    assert sum(r.n for r in got) == 400
+    assert max(r.size for r in got) < (BATCH_MB + 1) << 20
