@@ -65,6 +65,10 @@ class WordEncoder:
             ids = self.words[run] = self._run(run)
         return ids
 
+    def forget(self) -> None:
+        """Empty the memo: a worker that goes on with other work doesn't keep it."""
+        self.words, self.old = {}, {}
+
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
@@ -91,7 +95,7 @@ class WordEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each path and Python worker; its memo serves the worker's later tasks too."""
+    """One encoder for each path and Python worker; a task empties its memo at its end."""
     return WordEncoder(path)
 
 

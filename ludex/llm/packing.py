@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import map_arrow, stored
 from .encoding import encoder
 
 
@@ -42,10 +42,11 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], b.schema.field("k").type), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])],
                 names=[key, "piece", "start", "length", "ids_crc32"])
+        enc.forget()
 
     kind = docs.schema[key].dataType.simpleString()
-    return (docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-            .mapInArrow(run, f"{key} {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"))
+    return map_arrow(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), run,
+                     f"{key} {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def best_fit(items, sizes, bins: list[list[int]], capacity: int) -> list[list[int]]:

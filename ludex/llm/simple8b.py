@@ -123,6 +123,7 @@ def _writer(path: str, end: int | None, block_ids: int, key_type: pa.DataType):
                     docs, held, lengths, first, size, seq = [], [], [], first + size, 0, seq + 1
         if docs:
             yield block()
+        enc.forget()
     return run
 
 

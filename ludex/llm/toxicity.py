@@ -20,11 +20,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_bucket, texts
+from .common import crc_bucket, map_arrow, texts
 
 BUCKETS = 1 << 15
 LEAST, MOST = 3, 5
 GAIN = 32.0
+#: Bags that a worker holds at once.
+BAGS = 128
 #: Zero vectors averaged in with a text's words: a few words alone can't decide.
 PAD = 16
 
@@ -165,11 +167,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     ``BUCKETS`` numbers) meet in one task, which trains; the driver gets the pulls alone, one
     number a bucket.  A lost task trains the same model again: rows are taken by key."""
     def bags(batches):
-        for b in batches:
-            each = [bag(t) for t in texts(b, "text")]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("key"), b.column("y"), pa.array([x[0] for x in each], pa.list_(pa.int32())),
-                 pa.array([x[1] for x in each], pa.list_(pa.float32()))], names=["key", "y", "at", "weight"])
+        for whole in batches:
+            for b in (whole.slice(s, BAGS) for s in range(0, whole.num_rows, BAGS)):
+                each = [bag(t) for t in texts(b, "text")]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("key"), b.column("y"), pa.array([x[0] for x in each], pa.list_(pa.int32())),
+                     pa.array([x[1] for x in each], pa.list_(pa.float32()))], names=["key", "y", "at", "weight"])
 
     def learn(batches):
         rows_of, keys, marks = [], [], []  # rows are views of the batches: they are held once
@@ -186,8 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     kind = docs.schema[key].dataType.simpleString()
     sample = labelled_sample(docs.select(key, F.col(text).alias("text")), labels, label, key, rows, modulus, held)
-    got = (sample.mapInArrow(bags, f"key {kind}, y int, at array<int>, weight array<float>").repartition(1)
-           .mapInArrow(learn, "pull array<double>, bias double").toArrow())
+    bagged = map_arrow(sample, bags, f"key {kind}, y int, at array<int>, weight array<float>")
+    got = map_arrow(bagged.repartition(1), learn, "pull array<double>, bias double").toArrow()
     if not got.num_rows:  # no task ran, as no row is labelled
         return train([], np.zeros(0, np.int64))
     return Model(got.column("pull").combine_chunks().flatten().to_numpy(), got.column("bias")[0].as_py())
@@ -206,8 +209,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("held_out"), pa.array(s, pa.float64())], names=["k", "held_out", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return (docs.select(F.col(key).alias("k"), (crc_bucket(key, modulus) == held).alias("held_out"), F.col(text).alias("t"))
-            .mapInArrow(run, f"k {kind}, held_out boolean, score double")
+    rows = docs.select(F.col(key).alias("k"), (crc_bucket(key, modulus) == held).alias("held_out"), F.col(text).alias("t"))
+    return (map_arrow(rows, run, f"k {kind}, held_out boolean, score double")
             .select(F.col("k").alias(key), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted")))
 
 
@@ -222,4 +225,4 @@ def keep(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0
             low = [scorer(t) < threshold for t in texts(b, b.schema.names[place])]
             yield b.filter(pa.array(low, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -184,3 +184,21 @@ def test_no_labels_keep_everything(spark, folder, tmpdir_session):
     spark.createDataFrame([], LABELS).write.parquet(f"{path}/labels.parquet")
     docs = read(spark, folder)
     assert pipeline.drop_poor(spark, docs, path).count() == docs.count()
+
+
+def test_workers_forget_words_after_packing(spark):
+    import pyarrow as pa
+
+    from ludex.llm import packing
+    from ludex.llm.encoding import encoder
+
+    path = default_path()
+    docs = spark.range(0, 800, 1, 4).selectExpr("id AS doc_id", "concat('some text ', id) AS text")
+    assert packing.pieces(docs, path).count() == 800
+
+    def known(batches):
+        for _ in batches:
+            e = encoder(path)  # the worker's own
+            yield pa.RecordBatch.from_arrays([pa.array([len(e.words) + len(e.old)])], names=["n"])
+
+    assert [r.n for r in docs.mapInArrow(known, "n bigint").collect()] == [0] * 4
